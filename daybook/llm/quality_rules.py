@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daybook.llm.common import bare, fresh, let, small, stage, table, words
+from daybook.llm.common import bare, fresh, let, stage, table, words
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50

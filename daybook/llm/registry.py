@@ -1,11 +1,17 @@
 """The queries of the training-data operators, and their SQL where SQL can express them."""
 
+from daybook.llm.decontamination import op6_decontamination, op6_sql
 from daybook.llm.quality_rules import op1_quality_rules, op1_sql
+from daybook.llm.sharding import op4_sharding
 
 
 def queries() -> dict:
-    return {"op1_quality_rules": op1_quality_rules}
+    return {
+        "op1_quality_rules": op1_quality_rules,
+        "op4_sharding": op4_sharding,
+        "op6_decontamination": op6_decontamination,
+    }
 
 
 def oracle_sql() -> dict:
-    return {"op1_quality_rules": op1_sql()}
+    return {"op1_quality_rules": op1_sql(), "op6_decontamination": op6_sql()}
