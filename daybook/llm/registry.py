@@ -1,6 +1,7 @@
 """The queries of the training-data operators, and their SQL where SQL can express them."""
 
 from daybook.llm.decontamination import op6_decontamination, op6_sql
+from daybook.llm.license_scan import op7_license_scan
 from daybook.llm.quality_rules import op1_quality_rules, op1_sql
 from daybook.llm.sharding import op4_sharding
 
@@ -10,6 +11,7 @@ def queries() -> dict:
         "op1_quality_rules": op1_quality_rules,
         "op4_sharding": op4_sharding,
         "op6_decontamination": op6_decontamination,
+        "op7_license_scan": op7_license_scan,
     }
 
 
