@@ -1,6 +1,7 @@
 """The queries of the training-data operators, and their SQL where SQL can express them."""
 
 from daybook.llm.decontamination import op6_decontamination, op6_sql
+from daybook.llm.jaccard_join import op3_jaccard_join, op3_sql
 from daybook.llm.license_scan import op7_license_scan
 from daybook.llm.quality_rules import op1_quality_rules, op1_sql
 from daybook.llm.sharding import op4_sharding
@@ -9,6 +10,7 @@ from daybook.llm.sharding import op4_sharding
 def queries() -> dict:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op3_jaccard_join": op3_jaccard_join,
         "op4_sharding": op4_sharding,
         "op6_decontamination": op6_decontamination,
         "op7_license_scan": op7_license_scan,
@@ -16,4 +18,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op1_quality_rules": op1_sql(), "op6_decontamination": op6_sql()}
+    return {"op1_quality_rules": op1_sql(), "op3_jaccard_join": op3_sql(), "op6_decontamination": op6_sql()}
