@@ -3,6 +3,7 @@
 from daybook.llm.decontamination import op6_decontamination, op6_sql
 from daybook.llm.jaccard_join import op3_jaccard_join, op3_sql
 from daybook.llm.license_scan import op7_license_scan
+from daybook.llm.packing import op9_packing
 from daybook.llm.quality_rules import op1_quality_rules, op1_sql
 from daybook.llm.secret_scan import op2_secret_scan
 from daybook.llm.sharding import op4_sharding
@@ -16,6 +17,7 @@ def queries() -> dict:
         "op4_sharding": op4_sharding,
         "op6_decontamination": op6_decontamination,
         "op7_license_scan": op7_license_scan,
+        "op9_packing": op9_packing,
     }
 
 
