@@ -2,19 +2,19 @@
 
 A window of ``SPAN`` tokens is hashed under each fixed mask, which looks at some positions and ignores the others, so a
 substituted token leaves the hash of every mask alone that ignores its place. The hashes of all windows of the
-benchmark are joined with those of all windows of the documents. A hit fixes how the two texts lie against each other;
-around each hit the item is compared with the document token by token, and an overlap counts if at least
-``MIN_MATCH`` of the item's tokens agree. Items shorter than a window are compared at every place where their first
-token and last token agree.
+benchmark are joined with those of all windows of the documents. A hit says how the two texts would lie against each
+other; where ``MIN_HITS`` hits agree on a lie, the item is compared with the document token by token, and an overlap
+counts if at least ``MIN_MATCH`` of the item's tokens agree. Items shorter than a window are compared wherever their
+first token stands.
 
-Only DataFrame operations are used. A window is hashed in the scan's own stage, with no shuffle; only hits move. The
-benchmark side is broadcast if it was counted and is small, else the hashes are joined by shuffling (a document without
-id is then left out).
+Only DataFrame operations are used. A window is hashed in the scan's own stage, with no shuffle; only hits move, and
+they are summed before they do. Benchmark and lies are broadcast if they were counted and are small, else joined by
+shuffling.
 
 Defined cases: null and empty texts have no tokens and match nothing; tokens are runs of letters and digits in lower
 case, so case and punctuation don't matter; items without tokens match nothing; an item or document that repeats is
 reported under each of its ids once; several places of one pair give the best one, of equals the first; empty tables
-give no rows; extra columns are ignored.
+give no rows; a document or item without id is left out; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,13 +22,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daybook.llm.common import bare, fresh, is_small, small, stage, table
+from daybook.llm.common import bare, fresh, small, stage, table
 
 SPAN = 9
 #: Fixed masks over 9 positions, six of them looked at: any two substitutions in a window leave one of them whole
 #: for most places, and neighbouring windows give further chances.
 MASKS = ("111001011", "110110101", "101011011")
 MIN_MATCH = 0.7
+#: Hits that must agree on a lie before it is verified; a single whole window gives one for each mask.
+MIN_HITS = 2
 
 
 def token_hashes(text: Column) -> Column:
@@ -54,27 +56,18 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     docs: doc_id, text; items: item_id, text."""
     tests = stage(items.select("item_id", token_hashes(F.col("text")).alias("it")).where(F.size("it") > 0), "benchmark-items")
-    seeds = stage(_windows(tests, "it").select("seed", "item_id", F.col("place").alias("item_place"), "it").dropDuplicates(["seed", "item_id", "item_place"]), "benchmark-seeds")
+    seeds = stage(_windows(tests, "it").select("seed", "item_id", F.col("place").alias("item_place")).distinct(), "benchmark-seeds")
     hashed = docs.select("doc_id", token_hashes(F.col("text")).alias("dt"))
-    # The item's tokens around the hit are laid against the document's in the same row: only pairs leave the scan.
-    start = F.col("place") - F.col("item_place")
-    agree = lambda start: F.size(F.filter(F.transform("it", lambda x, k: F.get(F.col("dt"), start + k) == x), lambda same: same))
-    windows = _windows(hashed, "dt")
-    if is_small(seeds):
-        hits = windows.join(F.broadcast(seeds), "seed")
-    else:  # a benchmark too large to broadcast: seeds alone are shuffled, and the pairs that they find get their tokens back
-        pairs = windows.select("doc_id", "place", "seed").join(seeds.drop("it"), "seed").select("doc_id", "item_id", start.alias("place")).distinct()
-        hits = pairs.withColumn("item_place", F.lit(0)).join(tests, "item_id").join(hashed, "doc_id")
-    hit = hits.select("doc_id", "item_id", start.alias("start"), F.size("it").alias("n_tokens"), agree(start).alias("n_match"))
-    short = small(stage(tests.where(F.size("it") < SPAN).withColumn("first", F.get("it", F.lit(0))), "benchmark-short"))
-    ends = hashed.withColumn("start", F.explode(F.when(F.size("dt") > 0, F.sequence(F.lit(0), F.size("dt") - 1)))).withColumn("first", F.get("dt", F.col("start")))
-    brief = (
-        ends.join(short, "first")
-        .where(F.get("dt", F.col("start") + F.size("it") - 1) == F.get("it", F.size("it") - 1))
-        .select("doc_id", "item_id", "start", F.size("it").alias("n_tokens"), agree(F.col("start")).alias("n_match"))
-    )
-    found = hit.unionByName(brief) if not short.isEmpty() else hit
-    good = found.where(F.col("n_match") >= MIN_MATCH * F.col("n_tokens"))
+    hits = _windows(hashed, "dt").select("doc_id", "place", "seed").join(small(seeds), "seed")
+    lies = hits.groupBy("doc_id", "item_id", (F.col("place") - F.col("item_place")).alias("start")).count().where(F.col("count") >= MIN_HITS).drop("count")
+    brief = tests.where(F.size("it") < SPAN).select("item_id", F.get("it", F.lit(0)).alias("first"))
+    if not brief.isEmpty():
+        places = hashed.select("doc_id", F.posexplode("dt").alias("start", "first"))
+        lies = lies.unionByName(places.join(small(stage(brief, "benchmark-short")), "first").select("doc_id", "item_id", "start"))
+    lies = stage(lies, "benchmark-lies")
+    agree = F.size(F.filter(F.transform("it", lambda x, k: F.get(F.col("dt"), F.col("start") + k) == x), lambda same: same))
+    laid = hashed.join(small(lies), "doc_id").join(small(tests), "item_id").select("doc_id", "item_id", "start", F.size("it").alias("n_tokens"), agree.alias("n_match"))
+    good = laid.where(F.col("n_match") >= MIN_MATCH * F.col("n_tokens"))
     best = F.max(F.struct("n_match", (-F.col("start")).alias("s"), "n_tokens")).alias("b")
     return good.groupBy("doc_id", "item_id").agg(best).select(
         "doc_id", "item_id", (-F.col("b.s")).cast("long").alias("start"), F.col("b.n_tokens").cast("long").alias("n_tokens"), F.col("b.n_match").cast("long").alias("n_match")
@@ -102,7 +95,8 @@ def op6_sql() -> str:
     docs, items = (side.format(id=i, table=t).replace("{{", "{").replace("}}", "}") for i, t in (("doc_id", "documents"), ("item_id", "benchmark")))
     return rf"""
 WITH d AS {docs}, b AS {items},
-h AS (SELECT DISTINCT d.id AS doc_id, b.id AS item_id, d.p - b.p AS s, d.t AS dt, b.t AS it FROM d JOIN b ON d.m = b.m AND d.seed = b.seed),
+h AS (SELECT d.id AS doc_id, b.id AS item_id, d.p - b.p AS s, any_value(d.t) AS dt, any_value(b.t) AS it FROM d JOIN b ON d.m = b.m AND d.seed = b.seed
+      GROUP BY 1, 2, 3 HAVING count(*) >= {MIN_HITS}),
 v AS (SELECT doc_id, item_id, s, len(it) AS n,
         len(list_filter(range(1, CAST(len(it) AS BIGINT) + 1), lambda k: k + s >= 1 AND coalesce(dt[k + s] = it[k], false))) AS m FROM h),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY m DESC, s) AS r FROM v WHERE m >= {MIN_MATCH} * n)

@@ -7,6 +7,7 @@ from daybook.llm.packing import op9_packing
 from daybook.llm.quality_rules import op1_quality_rules, op1_sql
 from daybook.llm.secret_scan import op2_secret_scan
 from daybook.llm.sharding import op4_sharding
+from daybook.llm.warc import op5_warc
 
 
 def queries() -> dict:
@@ -15,6 +16,7 @@ def queries() -> dict:
         "op2_secret_scan": op2_secret_scan,
         "op3_jaccard_join": op3_jaccard_join,
         "op4_sharding": op4_sharding,
+        "op5_warc": op5_warc,
         "op6_decontamination": op6_decontamination,
         "op7_license_scan": op7_license_scan,
         "op9_packing": op9_packing,
