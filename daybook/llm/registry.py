@@ -2,6 +2,7 @@
 
 from daybook.llm.decontamination import op6_decontamination, op6_sql
 from daybook.llm.jaccard_join import op3_jaccard_join, op3_sql
+from daybook.llm.katz import op8_katz
 from daybook.llm.license_scan import op7_license_scan
 from daybook.llm.packing import op9_packing
 from daybook.llm.quality_rules import op1_quality_rules, op1_sql
@@ -19,6 +20,7 @@ def queries() -> dict:
         "op5_warc": op5_warc,
         "op6_decontamination": op6_decontamination,
         "op7_license_scan": op7_license_scan,
+        "op8_katz": op8_katz,
         "op9_packing": op9_packing,
     }
 
