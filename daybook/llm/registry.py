@@ -9,6 +9,7 @@ from daybook.llm.quality_rules import op1_quality_rules, op1_sql
 from daybook.llm.secret_scan import op2_secret_scan
 from daybook.llm.sharding import op4_sharding
 from daybook.llm.warc import op5_warc
+from daybook.llm.weak_labels import op10_weak_labels
 
 
 def queries() -> dict:
@@ -22,6 +23,7 @@ def queries() -> dict:
         "op7_license_scan": op7_license_scan,
         "op8_katz": op8_katz,
         "op9_packing": op9_packing,
+        "op10_weak_labels": op10_weak_labels,
     }
 
 
