@@ -1,9 +1,13 @@
 """Every query of the history engine, with the SQL it is held against."""
 
+from daybook.queries import history_queries, redact_queries, search_queries
+
+MODULES = (search_queries, redact_queries, history_queries)
+
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for m in MODULES for f in m.NAMES}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {k: v for m in MODULES for k, v in m.sql().items()}
