@@ -22,7 +22,7 @@ from daybook.functions.text import tokens
 
 BUCKETS = 32
 ENTRIES = "path string, generation int, entry_id string, parent_id string, ts string, kind string, role string, name string, chars int, tokens_before double, offset bigint, length int, dl int, batch string"
-POSTINGS = "term string, path string, generation int, entry_id string, positions array<int>, batch string, tb int"
+POSTINGS = "term string, path string, generation int, offset bigint, positions array<int>, batch string, tb int"
 JOURNALS = "path string, generation int, session_id string, cwd string, started_at string, header_at bigint, bytes bigint, batch string"
 
 
@@ -59,10 +59,10 @@ class Index:
             before = self._read("entries", ENTRIES).where(F.col("batch") != batch).select("path", "generation", "entry_id")
             entries = entries.join(before, ["path", "generation", "entry_id"], "left_anti")
         entries = entries.persist()
-        entries.select(*own[:-1]).sortWithinPartitions("ts").write.mode("overwrite").parquet(f"{self.folder}/entries/batch={batch}")
-        terms = entries.select("path", "generation", "entry_id", F.posexplode("tk").alias("pos", "term"))
-        posted = terms.groupBy("term", "path", "generation", "entry_id").agg(F.sort_array(F.collect_list("pos")).alias("positions"))  # of one entry
-        posted.withColumn("tb", bucket_of(F.col("term"))).repartition("tb").sortWithinPartitions("term").write.mode("overwrite").partitionBy("tb").parquet(f"{self.folder}/postings/batch={batch}")
+        entries.select(*own[:-1]).sortWithinPartitions("ts").write.mode("overwrite").option("compression", "zstd").parquet(f"{self.folder}/entries/batch={batch}")
+        posted = entries.select("path", "generation", "offset", F.posexplode("tk").alias("pos", "term")).groupBy("term", "path", "generation", "offset").agg(F.sort_array(F.collect_list("pos")).alias("positions"))  # of one entry
+        posted = posted.withColumn("tb", bucket_of(F.col("term"))).repartition("tb").sortWithinPartitions("term", "path", "offset")
+        posted.write.mode("overwrite").option("compression", "zstd").partitionBy("tb").parquet(f"{self.folder}/postings/batch={batch}")
         heads = rows.groupBy("path", "generation").agg(
             F.min_by("header", F.when(F.col("header").isNotNull(), F.col("offset"))).alias("h"), F.min(F.when(F.col("header").isNotNull(), F.col("offset"))).alias("header_at"),
             F.max(F.col("offset") + F.col("length") + 1).alias("bytes"),
