@@ -4,8 +4,9 @@ Each rule compares one statistic of a text with a cutoff. Cutoffs are chosen per
 cutoff is admissible if an exact binomial bound shows that it rejects at most ``alpha / rules`` of the good documents
 of the stratum. Cutoffs of a rule are tested from lenient to strict and testing stops at the first that fails (a fixed
 sequence needs no correction of its own); the error budget ``delta`` is divided over all pairs of stratum and rule.
-Of the admissible cutoffs the one that rejects most bad documents is taken, the most lenient of equals; a rule that
-rejects no bad document, or has too few labels for its bound, stays off. So with probability ``1 - delta`` no stratum
+Of the admissible cutoffs whose share of bad documents caught is at least ``lift`` times that of good ones lost, the one
+that rejects most bad documents is taken, the most lenient of equals; a rule without such a cutoff, or with too few
+labels for its bound, stays off. So with probability ``1 - delta`` no stratum
 loses more than ``alpha`` of its good documents to the rules.
 
 Only DataFrame operations are used. Defined cases: a null or empty text has no words and fails the base test; a null
@@ -41,10 +42,12 @@ RULES: dict[str, tuple[int, tuple[float, ...]]] = {
 
 @dataclass(frozen=True)
 class Risk:
-    """alpha: share of good documents that may be lost per stratum; delta: chance that this fails anywhere."""
+    """alpha: share of good documents that may be lost per stratum; delta: chance that this fails anywhere; lift: how
+    much larger the share of bad documents caught must be than that of good ones lost."""
 
     alpha: float = 0.02
     delta: float = 0.05
+    lift: float = 10.0
     max_strata: int = 256
 
 
@@ -191,7 +194,8 @@ def choose_cutoffs(measured: DataFrame, labels: DataFrame, key: str = "doc_id",
         F.min(F.when(~F.col("_passes"), F.col("step"))).alias("_fails_at"), F.max("good").alias("good"), F.max("bad").alias("bad"),
         F.sort_array(F.collect_list(F.struct("step", "cutoff", "good_lost", "bad_caught"))).alias("_steps"),
     )  # at most as many elements as a rule has cutoffs
-    open_ = F.filter("_steps", lambda s: (F.col("_fails_at").isNull() | (s["step"] < F.col("_fails_at"))) & (s["bad_caught"] > 0))
+    pays = lambda s: (s["bad_caught"] > 0) & (s["bad_caught"] * F.col("good") > risk.lift * s["good_lost"] * F.col("bad"))
+    open_ = F.filter("_steps", lambda s: (F.col("_fails_at").isNull() | (s["step"] < F.col("_fails_at"))) & pays(s))
     best = F.array_max(F.transform(open_, lambda s: F.struct(s["bad_caught"].alias("caught"), (-s["step"]).alias("lenient"), s.alias("s"))))
     return held.withColumn("_best", best).where(F.col("_best").isNotNull()).select(
         F.when(~F.col("_null"), F.col("_stratum")).alias("stratum"), F.col("_null").alias("is_null"), "rule",
@@ -265,7 +269,7 @@ b AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERC
 m AS ({measured}),
 l AS (SELECT doc_id, min(quality) = 1 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
 c AS ({_sql_tests()}),
-s AS (SELECT lang, c.rule, c.step, any_value(c.cutoff) AS cutoff, any_value(c.sign) AS sign, count(*) FILTER (WHERE good) AS n,
+s AS (SELECT lang, c.rule, c.step, any_value(c.cutoff) AS cutoff, any_value(c.sign) AS sign, count(*) FILTER (WHERE good) AS n, count(*) FILTER (WHERE NOT good) AS nb,
         count(*) FILTER (WHERE good AND sign * v > sign * cutoff) AS k, count(*) FILTER (WHERE NOT good AND sign * v > sign * cutoff) AS caught
       FROM m JOIN l USING (doc_id) JOIN c ON c.rule = m.rule WHERE NOT base_failed GROUP BY lang, c.rule, c.step),
 q AS (SELECT *, CASE WHEN n <= 0 OR k >= n * {p!r} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda i:
@@ -273,7 +277,7 @@ q AS (SELECT *, CASE WHEN n <= 0 OR k >= n * {p!r} THEN 1.0 ELSE list_sum(list_t
         <= {level!r} / (SELECT count(DISTINCT coalesce(lang, chr(0))) FROM s) AS passes FROM s),
 o AS (SELECT *, min(CASE WHEN NOT passes THEN step END) OVER (PARTITION BY lang, rule) AS stop FROM q),
 best AS (SELECT lang, rule, arg_max(cutoff, caught * 1000 - step) AS cutoff, any_value(sign) AS sign FROM o
-         WHERE (stop IS NULL OR step < stop) AND caught > 0 GROUP BY lang, rule),
+         WHERE (stop IS NULL OR step < stop) AND caught > 0 AND caught * n > {risk.lift!r} * k * nb GROUP BY lang, rule),
 bad AS (SELECT m.doc_id, string_agg(m.rule, ',' ORDER BY list_position({list(RULES)!r}, m.rule)) AS broken FROM m
         JOIN best ON best.rule = m.rule AND best.lang IS NOT DISTINCT FROM m.lang WHERE sign * v > sign * cutoff GROUP BY m.doc_id)
 SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
