@@ -25,7 +25,8 @@ from daybook.llm.tokens import U, text_chunks, word_hashes
 
 SAMPLE = 16_384
 BITS = 14
-KEEP = 0.5
+#: Documents with at least this score are kept: doubtful ones stay.
+KEEP = 0.3
 ROUNDS = 200
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>{}[]\\^~@="]] = True
@@ -33,16 +34,18 @@ UPPER, LETTER = np.zeros(256, bool), np.zeros(256, bool)
 UPPER[65:91] = True
 LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
-#: Labellers: name, what they look at, good at or below, bad at or above; between the two they abstain.
+#: Labellers of symptoms: name, what they look at, normal at or below, a vote for bad at or above; else they abstain.
+#: One more labeller, prose, votes for good where all of these are normal, and else abstains.
 LABELLERS = (
-    ("symbols", "symbol_share", 0.002, 0.05),
+    ("symbols", "symbol_share", 0.01, 0.05),
     ("repetition", "top_word_share", 0.12, 0.3),
-    ("variety", "repeat_share", 0.75, 0.92),
+    ("variety", "repeat_share", 0.8, 0.92),
     ("shouting", "upper_share", 0.08, 0.35),
-    ("word_length", "odd_length", 1.6, 2.6),
+    ("word_length", "odd_length", 2.2, 2.8),
     ("runs", "same_neighbour", 0.01, 0.15),
 )
 N_DENSE = len(LABELLERS)
+VOTERS = (*[x[0] for x in LABELLERS], "prose")
 
 
 def features(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -73,9 +76,9 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
 
 
 def votes(dense: np.ndarray) -> np.ndarray:
-    """+1 good, -1 bad, 0 none, of each labeller."""
-    good, bad = np.array([x[2] for x in LABELLERS]), np.array([x[3] for x in LABELLERS])
-    return np.where(dense <= good, 1, np.where(dense >= bad, -1, 0))
+    """+1 good, -1 bad, 0 none, of each voter."""
+    normal, bad = np.array([x[2] for x in LABELLERS]), np.array([x[3] for x in LABELLERS])
+    return np.append(np.where(dense >= bad, -1, 0), int((dense <= normal).all()))
 
 
 def pattern_of(v: np.ndarray) -> int:
@@ -83,7 +86,7 @@ def pattern_of(v: np.ndarray) -> int:
 
 
 def votes_of(pattern: int) -> np.ndarray:
-    return pattern // 3 ** np.arange(N_DENSE) % 3 - 1
+    return pattern // 3 ** np.arange(len(VOTERS)) % 3 - 1
 
 
 def vote_patterns(docs: DataFrame) -> DataFrame:
@@ -103,16 +106,16 @@ class LabelModel:
     def __init__(self, counts: dict[int, int], rounds: int = ROUNDS):
         patterns = np.array(sorted(counts), np.int64)
         n = np.array([counts[p] for p in patterns.tolist()], float)
-        v = np.array([votes_of(p) for p in patterns.tolist()]).reshape(-1, N_DENSE)
+        v = np.array([votes_of(p) for p in patterns.tolist()]).reshape(-1, len(VOTERS))
         self.prior = 0.5
         # Rates of the votes -1, 0, 1 given bad and given good: better than chance to begin with, which says which class is which.
-        self.rates = np.tile(np.array([[0.4, 0.3, 0.3], [0.1, 0.2, 0.7]]), (N_DENSE, 1, 1))
+        self.rates = np.tile(np.array([[0.4, 0.3, 0.3], [0.1, 0.2, 0.7]]), (len(VOTERS), 1, 1))
         for _ in range(rounds if len(patterns) else 0):
             q = self._posterior(v)
             good, bad = n * q, n * (1 - q)
             before = self.rates.copy()
             self.prior = float(np.clip(good.sum() / n.sum(), 0.05, 0.95))
-            for k in range(N_DENSE):
+            for k in range(len(VOTERS)):
                 for x in (-1, 0, 1):
                     at = v[:, k] == x
                     self.rates[k, 0, x + 1] = (bad[at].sum() + 1) / (bad.sum() + 3)
@@ -121,7 +124,7 @@ class LabelModel:
                 break
 
     def _posterior(self, v: np.ndarray) -> np.ndarray:
-        k = np.arange(N_DENSE)
+        k = np.arange(len(VOTERS))
         log = lambda c: np.log(self.rates[k, c, v + 1]).sum(1)
         return 1 / (1 + np.exp(np.clip(log(0) - log(1) + np.log((1 - self.prior) / self.prior), -500, 500)))
 
@@ -133,7 +136,7 @@ class LabelModel:
         """Of each labeller, where it votes: the chance that its vote is right."""
         right = self.prior * self.rates[:, 1, 2] + (1 - self.prior) * self.rates[:, 0, 0]
         voted = self.prior * (1 - self.rates[:, 1, 1]) + (1 - self.prior) * (1 - self.rates[:, 0, 1])
-        return {x[0]: float(r / t) for x, r, t in zip(LABELLERS, right, voted, strict=True)}
+        return {x: float(r / t) for x, r, t in zip(VOTERS, right, voted, strict=True)}
 
 
 def fit_scorer(rows: list[tuple[list[float], list[int], list[float], float]], passes: int = 8, seed: int = 1) -> np.ndarray:

@@ -363,7 +363,7 @@ def test_weak_labels_agree_with_held_out_labels(spark):
 def test_em_finds_accurate_labellers():
     rng = np.random.default_rng(5)
     counts = collections.Counter()
-    rates = [0.95, 0.9, 0.85, 0.75, 0.6, 0.55]
+    rates = [0.95, 0.9, 0.85, 0.75, 0.7, 0.6, 0.55]
     for _ in range(20_000):
         y = 1 if rng.random() < 0.8 else -1
         v = np.array([0 if rng.random() < 0.2 else y if rng.random() < a else -y for a in rates])
