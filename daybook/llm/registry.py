@@ -3,12 +3,12 @@
 from daybook.llm.decontamination import op6_decontamination, op6_sql
 from daybook.llm.jaccard_join import op3_jaccard_join, op3_sql
 from daybook.llm.katz import op8_katz
-from daybook.llm.license_scan import op7_license_scan
+from daybook.llm.license_scan import op7_license_scan, op7_sql
 from daybook.llm.packing import op9_packing
 from daybook.llm.quality_rules import op1_quality_rules, op1_sql
 from daybook.llm.secret_scan import op2_secret_scan
 from daybook.llm.sharding import op4_sharding
-from daybook.llm.warc import op5_warc
+from daybook.llm.warc import OP5_SQL, op5_warc
 from daybook.llm.weak_labels import op10_weak_labels
 
 
@@ -28,4 +28,10 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op1_quality_rules": op1_sql(), "op3_jaccard_join": op3_sql(), "op6_decontamination": op6_sql()}
+    return {
+        "op1_quality_rules": op1_sql(),
+        "op3_jaccard_join": op3_sql(),
+        "op5_warc": OP5_SQL,
+        "op6_decontamination": op6_sql(),
+        "op7_license_scan": op7_sql(),
+    }

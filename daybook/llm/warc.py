@@ -236,3 +236,14 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(spark, folder, files).where("gap IS NULL").select(
         page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to")
     )
+
+
+OP5_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h),
+b AS (SELECT p.page_id, CAST(strlen(p.h) AS BIGINT) AS payload_bytes, CAST(CAST(unhex(sha1(p.h)) AS BIT) AS VARCHAR) AS bits, nullif(first, p.page_id) AS refers_to FROM p JOIN f USING (h))
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * CAST(bits[5 * i + 1] AS INT) + 8 * CAST(bits[5 * i + 2] AS INT)
+    + 4 * CAST(bits[5 * i + 3] AS INT) + 2 * CAST(bits[5 * i + 4] AS INT) + CAST(bits[5 * i + 5] AS INT), 1)), '') AS payload_digest,
+  CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to
+FROM b
+"""
