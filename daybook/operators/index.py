@@ -3,7 +3,8 @@
 Each ingested batch is a folder of its own, written over if the batch is run again, so that rows and cursor stay in
 step with the stream's checkpoint. A journal's rows hold its generation; readers keep the latest only, so a rewritten
 journal's old rows are dead at once and go when the index is compacted. Postings are split into folders by a hash of
-the term: a search reads the folders of its own terms."""
+the term: a search reads the folders of its own terms. Joins with the journals carry no hint: Spark broadcasts them while
+they are small, and shuffles them when they are not."""
 
 from __future__ import annotations
 
@@ -107,20 +108,20 @@ class Index:
 
     def journals(self) -> DataFrame:
         """A row for each journal of its latest generation: the first header, the bytes indexed."""
-        held = self._read("journals", JOURNALS).join(F.broadcast(self._live()), ["path", "generation"])
+        held = self._read("journals", JOURNALS).join(self._live(), ["path", "generation"])
         first = lambda c: F.min_by(c, "header_at").alias(c)
         return held.groupBy("path", "generation").agg(first("session_id"), first("cwd"), first("started_at"), F.min("header_at").alias("header_at"), F.max("bytes").alias("bytes"))
 
     def entries(self, joined: bool = True) -> DataFrame:
-        held = self._read("entries", ENTRIES).join(F.broadcast(self._live()), ["path", "generation"])
-        return held.join(F.broadcast(self.journals().select("path", "session_id", "cwd")), "path") if joined else held
+        held = self._read("entries", ENTRIES).join(self._live(), ["path", "generation"])
+        return held.join(self.journals().select("path", "session_id", "cwd"), "path") if joined else held
 
     def postings(self, terms: list[str] | None = None) -> DataFrame:
         held = self._read("postings", POSTINGS)
         if terms is not None:
             buckets = self.spark.createDataFrame([(t,) for t in terms], "t string").select(bucket_of(F.col("t")).alias("b")).distinct().collect() if terms else []
             held = held.where(F.col("tb").isin(*[r["b"] for r in buckets]) & F.col("term").isin(*terms))
-        return held.join(F.broadcast(self._live()), ["path", "generation"])
+        return held.join(self._live(), ["path", "generation"])
 
     def cwds(self) -> list[str]:
         return [r["cwd"] for r in self.journals().select("cwd").dropna().distinct().collect()]
