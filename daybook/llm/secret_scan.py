@@ -171,5 +171,8 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: all documents, their secrets replaced."""
-    return redact(docs, dictionary(docs.select("text")))
+    """Pipeline stage: all documents, their secrets replaced and n_chars, where they have it, counted anew."""
+    out = redact(docs, dictionary(docs.select("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), "n_chars"))
+    return out
