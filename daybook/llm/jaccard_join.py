@@ -28,10 +28,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from daybook.llm.common import small, stage, table
+from daybook.llm.common import fresh, small, stage, table
 from daybook.llm.tokens import U, mix, shingle_sets
 
 #: Shared blocks that a near pair is sure to have among those joined, where its sets have so many to spare.
@@ -147,7 +147,8 @@ def block_rows(docs: DataFrame, listed: np.ndarray) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, n, set, sketch) of the documents in ids (column id)."""
+    """(id, n, set, sketch) of the documents in ids (column id); rows that repeat an id give a row each, which does no
+    harm: links are sets of pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,7 +161,7 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(sketches, pa.binary())], names=["id", "n", "set", "sketch"])
 
     wanted = docs.select(F.col("doc_id").cast("long"), "text").join(small(ids), F.col("doc_id") == F.col("id"), "left_semi")
-    return wanted.mapInArrow(run, "id long, n long, set binary, sketch binary").dropDuplicates(["id"])
+    return wanted.mapInArrow(run, "id long, n long, set binary, sketch binary")
 
 
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -196,11 +197,11 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         flat = large.join(least, "u")
         nxt = flat.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(flat.select("u", F.col("m").alias("v"))).distinct()
-        now = stage(nxt, "stars")
-        found = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.col("v").cast("decimal(38,0)"))).first()
-        if mark == tuple(found):
+        seen = Observation()
+        now = stage(nxt.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"), F.sum(F.col("v").cast("decimal(38,0)")).alias("v")), "stars")
+        if mark == seen.get:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        mark = tuple(found)
+        mark = seen.get
 
 
 def _square(block: pd.DataFrame, all_pairs: bool) -> pd.DataFrame:
@@ -283,7 +284,16 @@ def near_components(docs: DataFrame) -> DataFrame:
         .where("4 * least(nx, ny) >= 3 * greatest(nx, ny) AND x <> y")
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     )
-    links = stage(verified(docs, stage(pairs, "jaccard-pairs")), "jaccard-links")
+    # First one pair for each set, then of the others only those that the links so far leave apart.
+    pairs = stage(pairs, "jaccard-pairs")
+    one = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = stage(verified(docs, stage(one, "jaccard-first")), "jaccard-links")
+    comp = components(links)
+    side = lambda c: comp.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    apart = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+    apart = stage(apart.join(one, ["a", "b"], "left_anti"), "jaccard-apart")
+    if not apart.isEmpty():
+        links = stage(links.union(verified(docs, apart)), "jaccard-links")
     for all_pairs in (False, True):
         more = _left_over(docs, full, known, links, all_pairs)
         if more is None:
@@ -303,9 +313,9 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component the document with the smallest id."""
-    found = near_components(docs.select("doc_id", "text"))
-    gone = stage(found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "jaccard-gone")
-    return docs.join(small(gone), docs["doc_id"] == F.col("_gone"), "left_anti")
+    found, key = near_components(docs.select("doc_id", "text")), fresh("_gone", docs.columns)
+    gone = stage(found.where("component_id <> doc_id").select(F.col("doc_id").alias(key)).distinct(), "jaccard-gone")
+    return docs.join(small(gone), docs["doc_id"] == F.col(key), "left_anti")
 
 
 def op3_sql() -> str:
