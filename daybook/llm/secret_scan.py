@@ -1,7 +1,9 @@
 """Secret scans: fixed patterns, and novelty under dictionary-primed zstandard.
 
-The identifier dictionary is the identifiers that most documents have, counted over all documents, as raw content for
-zstandard. A candidate is a token that stands in a sensitive context: a sensitive word close before it on its line.
+The identifier dictionary is the ordinary identifiers that most distinct texts have, counted over all documents, as raw
+content for zstandard. A text that repeats counts once. Ordinary words have no digits, stand outside sensitive contexts
+in at least ``MIN_TEXTS`` texts, and there more often than as part of a candidate or of an assigned value; so a secret
+that repeats doesn't make its own pieces cheap. A candidate is a token that stands in a sensitive context: a sensitive word close before it on its line.
 The candidate's marginal bytes are what it adds to its surroundings when both are compressed together with the
 dictionary at hand. Natural words, identifiers and repeated text add few bytes for each character; a random string adds
 about what its alphabet's entropy says. Candidates above ``NOVELTY`` bytes a character are reported as ``novel``.
@@ -15,6 +17,7 @@ rows that repeat are scanned alike; an empty table gives no rows; extra columns
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -35,37 +38,79 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 
 #: Fixed words of a sensitive context.
 SENSITIVE = re.compile(r"(?ai:passphrase|password|passwd|pwd|secret|token|api_?key|access_?key|private_?key|auth|credential|bearer|client_?id|signature|session_?id|cookie|salt)")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~-]{16,512}")
-IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z_0-9]{3,23}")
+#: One of these is part of every sensitive word; they are cheap to look for.
+ROOTS = ("passphrase", "password", "passwd", "pwd", "secret", "token", "key", "auth", "credential", "bearer", "client", "signature", "session", "cookie", "salt")
+SHORTEST = 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=.~-]{{{SHORTEST},512}}")
+#: Whole words; a run with digits is none, as random strings have them.
+IDENTIFIER, LONGEST = re.compile(r"(?<![A-Za-z_0-9])[A-Za-z_]{4,}+(?![A-Za-z_0-9])"), 24
 REACH, AROUND, LEVEL = 48, 256, 9
 NOVELTY = 0.55
 WORDS_LISTED, WORDS_HELD = 4096, 100_000
+#: Distinct texts that an identifier of the dictionary stands in, outside sensitive contexts; texts that a task knows again.
+MIN_TEXTS, TEXTS_KNOWN = 2, 1 << 17
+
+
+def text_identifiers(text: str) -> tuple[set[str], set[str]]:
+    """The text's identifiers: those that stand in no sensitive context, and those that do."""
+    words = sensitive_words(text)
+    held = [m.span(2) for w in words if (m := ASSIGN.match(text, w.start())) and len(m[2]) >= 8] + list(candidates(text, words))
+    outside, inside, upto = [], [], 0
+    for a, b in sorted(held):
+        outside.append(text[upto : max(a, upto)])
+        inside.append(text[max(a, upto) : b])
+        upto = max(upto, b)
+    outside.append(text[upto:])
+    found = [{w[:LONGEST] for w in IDENTIFIER.findall("\n".join(parts))} for parts in (outside, inside)]
+    return found[0] - found[1], found[1]
 
 
 def identifier_counts(docs: DataFrame) -> DataFrame:
-    """(word, docs): in how many documents each identifier stands. Tasks add up what they see before it is shuffled."""
+    """(word, docs, inside): in how many distinct texts each identifier stands outside sensitive contexts only, and in how
+    many within one. Tasks leave out texts that they know, and add up what they see before it is shuffled."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
+        for batch in batches:
+            out = []
+            for value in batch.column("text"):
+                t = value.as_py() or ""
+                own = hashlib.blake2b(t.encode("utf-8", "replace"), digest_size=16).digest()
+                if t and own not in seen:
+                    seen.add(own)
+                    if len(seen) > TEXTS_KNOWN:
+                        seen.clear()
+                    outside, inside = text_identifiers(t)
+                    out.append((own, " ".join(outside), " ".join(inside)))
+            own, outside, inside = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array(outside, pa.string()), pa.array(inside, pa.string())], names=["own", "outside", "inside"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        held: tuple[Counter, Counter] = (Counter(), Counter())
 
         def counted() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "docs"])
-            held.clear()
+            words = list(held[0] | held[1])
+            out = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *[pa.array([c[w] for w in words], pa.int64()) for c in held]], names=["word", "docs", "inside"])
+            for c in held:
+                c.clear()
             return out
 
         for batch in batches:
-            for text in batch.column("text"):
-                held.update(set(IDENTIFIER.findall(text.as_py() or "")))
-                if len(held) > WORDS_HELD:
-                    yield counted()
+            for name, c in zip(("outside", "inside"), held, strict=True):
+                for words in batch.column(name):
+                    c.update(words.as_py().split())
+            if sum(map(len, held)) > WORDS_HELD:
+                yield counted()
         yield counted()
 
-    return docs.select("text").mapInArrow(run, "word string, docs long").groupBy("word").agg(F.sum("docs").alias("docs"))
+    texts = docs.select("text").mapInArrow(cut, "own binary, outside string, inside string").dropDuplicates(["own"])
+    return texts.select("outside", "inside").mapInArrow(run, "word string, docs long, inside long").groupBy("word").agg(F.sum("docs").alias("docs"), F.sum("inside").alias("inside"))
 
 
 def dictionary(docs: DataFrame) -> bytes:
-    """The most common identifiers, the most common last, where zstandard reaches them most cheaply."""
-    top = identifier_counts(docs).orderBy(F.desc("docs"), "word").limit(WORDS_LISTED).collect()
+    """The most common ordinary identifiers, the most common last, where zstandard reaches them most cheaply."""
+    ordinary = identifier_counts(docs).where((F.col("docs") >= MIN_TEXTS) & (F.col("docs") > F.col("inside")))
+    top = ordinary.orderBy(F.desc("docs"), "word").limit(WORDS_LISTED).collect()
     return "\n".join(r["word"] for r in reversed(top)).encode()
 
 
@@ -90,22 +135,32 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found + [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
 
 
+def sensitive_words(text: str) -> list[re.Match]:
+    low = text.lower()
+    return list(SENSITIVE.finditer(text)) if any(w in low for w in ROOTS) else []
+
+
+def candidates(text: str, words: list[re.Match]) -> Iterator[tuple[int, int]]:
+    """The tokens that begin at most ``REACH`` after a sensitive word on its line, whole, each once and in order."""
+    upto = 0
+    for word in words:
+        stop, at = word.end() + REACH, max(word.end(), upto)
+        line = text.find("\n", word.end(), stop)
+        stop = stop if line < 0 else line
+        # A token that begins before stop has its first SHORTEST characters before that; then it is followed to its end.
+        while at < stop and (m := CANDIDATE.search(text, at, stop + SHORTEST - 1)):
+            a, b = CANDIDATE.match(text, m.start()).span()
+            at = upto = b
+            yield a, b
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, str]], novelty: Novelty) -> list[tuple[int, int, str]]:
-    found, upto = [], 0
-    for word in SENSITIVE.finditer(text):
-        line = text.find("\n", word.end())
-        stop = min(len(text) if line < 0 else line, word.end() + REACH)
-        for m in CANDIDATE.finditer(text, word.end()):
-            if m.start() >= stop:
-                break
-            a, b = m.span()
-            if a < upto or any(a < y and x < b for x, y, _ in taken):
-                continue
-            upto = b
-            if not re.search("[0-9]", m[0]) or not re.search("[A-Za-z]", m[0]):
-                continue
-            if novelty.added(text[max(0, a - AROUND) : a], m[0], text[b : b + AROUND]) >= NOVELTY * (b - a):
-                found.append((a, b, "novel"))
+    found = []
+    for a, b in candidates(text, sensitive_words(text)):
+        if any(a < y and x < b for x, y, _ in taken) or not re.search("[0-9]", text[a:b]) or not re.search("[A-Za-z]", text[a:b]):
+            continue
+        if novelty.added(text[max(0, a - AROUND) : a], text[a:b], text[b : b + AROUND]) >= NOVELTY * (b - a):
+            found.append((a, b, "novel"))
     return found
 
 

@@ -140,6 +140,24 @@ def test_secret_scan(spark, tables):
     assert clean[0] == 'x é <assign>" y' and clean[5] is None and clean[1] == "<access> AKIASHORT"
 
 
+def random_token(rng, n):
+    return "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+
+
+def test_repeated_secrets_do_not_prime_themselves(spark):
+    rng = random.Random(11)
+    common = [f"ordinary_{a}{b}" for a in "abcdefgh" for b in "abcdefgh"]
+    key, letters = random_token(rng, 32), "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz") for _ in range(32))
+    lines = f"auth header {key} end\ncookie jar {letters} end"
+    texts = [f"{lines} {' '.join(rng.sample(common, 8))} {i if i < 20 else ''}" for i in range(60)]
+    texts += [f"{' '.join(rng.sample(common, 8))} {key}" for _ in range(20)] + [" ".join(rng.sample(common, 8)) for _ in range(200)] + ["stands in one text alone"] * 50
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    primed = secret_scan.dictionary(docs).decode().split("\n")
+    assert set(common) <= set(primed) and not {w for w in primed if w in key or w in letters or w in ("stands", "alone")}
+    got = by_id(secret_scan.scan(docs, "\n".join(primed).encode()))
+    assert all([texts[i][s["start"] : s["stop"]] for s in got[i]["secrets"] if s["kind"] == "novel"] == [key] for i in range(60))
+
+
 def brute_components(texts):
     sets = []
     for t in texts:
