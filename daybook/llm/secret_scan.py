@@ -11,7 +11,8 @@ about what its alphabet's entropy says. Candidates above ``NOVELTY`` bytes a cha
 Texts are scanned whole, each in one task; a place is counted in code points, its end exclusive.
 
 Defined cases: null and empty texts have no spans; matches that are too short are dropped, and what they covered is not
-searched again; a secret that repeats is reported at each place; a candidate inside a base span is not reported again;
+searched again; a secret that repeats is reported at each place; of a candidate that base spans cover in part each other
+part is measured by itself, and one inside a base span is not reported again;
 rows that repeat are scanned alike; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -41,7 +42,8 @@ SENSITIVE = re.compile(r"(?ai:passphrase|password|passwd|pwd|secret|token|api_?k
 #: One of these is part of every sensitive word; they are cheap to look for.
 ROOTS = ("passphrase", "password", "passwd", "pwd", "secret", "token", "key", "auth", "credential", "bearer", "client", "signature", "session", "cookie", "salt")
 SHORTEST = 16
-CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=.~-]{{{SHORTEST},512}}")
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=.~-]{{{SHORTEST},}}")
+VALUE = re.compile(rf"[A-Za-z0-9+/_.~-]{{{SHORTEST},}}=*")
 #: Whole words; a run with digits is none, as random strings have them.
 IDENTIFIER, LONGEST = re.compile(r"(?<![A-Za-z_0-9])[A-Za-z_]{4,}+(?![A-Za-z_0-9])"), 24
 REACH, AROUND, LEVEL = 48, 256, 9
@@ -154,11 +156,29 @@ def candidates(text: str, words: list[re.Match]) -> Iterator[tuple[int, int]]:
             yield a, b
 
 
+def pieces(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
+    """A token with letters and digits as it is; of one without, names and values are told apart by = signs."""
+    if re.compile("[0-9]").search(text, a, b) and re.compile("[A-Za-z]").search(text, a, b):
+        yield a, b
+    else:
+        yield from (m.span() for m in VALUE.finditer(text, a, b))
+
+
+def uncovered(a: int, b: int, taken: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
+    """The parts of a to b that none of the spans covers; taken is sorted."""
+    for x, y, _ in taken:
+        if x >= b:
+            break
+        if x > a:
+            yield a, x
+        a = max(a, y)
+    if a < b:
+        yield a, b
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, str]], novelty: Novelty) -> list[tuple[int, int, str]]:
-    found = []
-    for a, b in candidates(text, sensitive_words(text)):
-        if any(a < y and x < b for x, y, _ in taken) or not re.search("[0-9]", text[a:b]) or not re.search("[A-Za-z]", text[a:b]):
-            continue
+    found, taken = [], sorted(taken)
+    for a, b in (part for token in candidates(text, sensitive_words(text)) for piece in pieces(text, *token) for part in uncovered(*piece, taken)):
         if novelty.added(text[max(0, a - AROUND) : a], text[a:b], text[b : b + AROUND]) >= NOVELTY * (b - a):
             found.append((a, b, "novel"))
     return found

@@ -155,7 +155,19 @@ def test_repeated_secrets_do_not_prime_themselves(spark):
     primed = secret_scan.dictionary(docs).decode().split("\n")
     assert set(common) <= set(primed) and not {w for w in primed if w in key or w in letters or w in ("stands", "alone")}
     got = by_id(secret_scan.scan(docs, "\n".join(primed).encode()))
-    assert all([texts[i][s["start"] : s["stop"]] for s in got[i]["secrets"] if s["kind"] == "novel"] == [key] for i in range(60))
+    assert all([texts[i][s["start"] : s["stop"]] for s in got[i]["secrets"] if s["kind"] == "novel"] == [key, letters] for i in range(60))
+
+
+def test_novel_spans_are_whole(spark):
+    rng = random.Random(12)
+    jwt, a, b = (random_token(rng, n) for n in (2000, 24, 20))
+    run = "0123456789abcdef" * 2
+    dashed = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(64))
+    texts = [f"Bearer {jwt} end", f"cookie {a}/{run}~{b} end", f"password: {a}~{b}", f"credential {dashed} end", "auth ---------------------------------------- end"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    clean = {r["doc_id"]: r["text"] for r in secret_scan.redact(docs, b"").collect()}
+    assert clean[0] == "Bearer <novel> end" and clean[1] == "cookie <novel><hex><novel> end" and clean[2] == "<assign><novel>"
+    assert clean[3] == "credential <novel> end" and clean[4] == texts[4]
 
 
 def brute_components(texts):
