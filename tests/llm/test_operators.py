@@ -287,6 +287,19 @@ def test_license_scan(spark):
     assert "cc-by-nc-4.0" in got[6]["labels"] and "gpl-3.0" in got[6]["labels"] and got[40]["labels"] == ""
 
 
+def test_files_with_several_notices_get_all_labels(spark):
+    notices = {t.label: t.notice for t in license_scan.TEMPLATES}
+    several = [("mit", "bsd"), ("mit", "bsd", "apache-2.0"), ("mit", "bsd", "mpl-2.0", "apache-2.0"), tuple(notices)]
+    rng = random.Random(10)
+    texts = [f" {prose(rng, 20)} ".join(notices[k] for k in labels) for labels in several]
+    frequent = "and of to in the is or for any this with not are has all that".split()
+    for extra in ([], frequent):
+        rows = list(enumerate([*texts, *[f"{prose(rng, 30)} {' '.join(extra if i % 4 == 0 else [])}" for i in range(200)]]))
+        found = by_id(license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")))
+        assert [{f["label"] for f in found[i]["found"]} >= set(labels) for i, labels in enumerate(several)] == [True] * 4
+        assert all(0.99 < f["share"] <= 1 for i, labels in enumerate(several) for f in found[i]["found"] if f["label"] in labels)
+
+
 @pytest.mark.parametrize(("block", "context"), [(1 << 23, 2_000_000), (2000, 20)])
 def test_katz(spark, tables, monkeypatch, block, context):
     path, texts, _ = tables
