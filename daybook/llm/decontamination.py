@@ -1,11 +1,14 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 A window of ``SPAN`` tokens is hashed under each fixed mask, which looks at some positions and ignores the others, so a
-substituted token leaves the hash of every mask alone that ignores its place. The hashes of all windows of the
-benchmark are joined with those of all windows of the documents. A hit says how the two texts would lie against each
-other; where ``MIN_HITS`` hits agree on a lie, the item is compared with the document token by token, and an overlap
-counts if at least ``MIN_MATCH`` of the item's tokens agree. Items shorter than a window are compared wherever their
-first token stands.
+substituted token leaves the hash of every mask alone that ignores its place; any two substitutions in a window leave
+some mask whole. The hashes of all windows of the benchmark are joined with those of all windows of the documents. Every
+hit says how the two texts would lie against each other, and there they are compared token by token. An overlap counts
+if at least ``MIN_MATCH`` of the item's tokens agree; or of ``LOCAL`` consecutive tokens of it; or of the item's tokens
+in order, where words were inserted or dropped, at offsets up to ``BAND`` from the lie. Items shorter than a window are
+compared wherever one of their first tokens stands, of as many that one must agree. Not found are overlaps of longer
+items without a window of at most two substitutions. The SQL has only whole items at one offset that ``MIN_HITS`` hits
+under ``MASKS`` propose, so it may lack rows.
 
 Only DataFrame operations are used. A window is hashed in the scan's own stage, with no shuffle; only hits move, and
 they are summed before they do. Benchmark and lies are broadcast if they were counted and are small, else joined by
@@ -13,7 +16,8 @@ shuffling.
 
 Defined cases: null and empty texts have no tokens and match nothing; tokens are runs of letters and digits in lower
 case, so case and punctuation don't matter; items without tokens match nothing; an item or document that repeats is
-reported under each of its ids once; several places of one pair give the best one, of equals the first; empty tables
+reported under each of its ids once; several places of one pair give the best one, whole items at one offset before
+others, of equals the first; n_match counts the tokens that agree there, over the whole item; empty tables
 give no rows; a document or item without id is left out; extra columns are ignored.
 """
 
@@ -25,12 +29,14 @@ from pyspark.sql import functions as F
 from daybook.llm.common import bare, fresh, small, stage, table
 
 SPAN = 9
-#: Fixed masks over 9 positions, six of them looked at: any two substitutions in a window leave one of them whole
-#: for most places, and neighbouring windows give further chances.
+#: Six of nine positions each: what the lines of a 3 x 3 plane leave, so any two positions are ignored by one mask.
+SEEDS = ("000111111", "111000111", "111111000", "011011011", "101101101", "110110110", "011101110", "101110011", "110011101", "110101011", "011110101", "101011110")
+#: Of the SQL alone, as MIN_HITS.
 MASKS = ("111001011", "110110101", "101011011")
 MIN_MATCH = 0.7
-#: Hits that must agree on a lie before it is verified; a single whole window gives one for each mask.
 MIN_HITS = 2
+#: Tokens of a local overlap, and offsets to both sides of a lie that tokens may agree at in order.
+LOCAL, BAND = 13, 3
 
 
 def token_hashes(text: Column) -> Column:
@@ -42,7 +48,7 @@ def token_hashes(text: Column) -> Column:
 def _seeds(tokens: str, at: str) -> Column:
     """The hashes of the window of column ``tokens`` that starts at column ``at``, one for each mask."""
     t, i = F.col(tokens), F.col(at)
-    return F.array(*[F.xxhash64(F.lit(m), *[F.get(t, i + k) for k, x in enumerate(mask) if x == "1"]) for m, mask in enumerate(MASKS)])
+    return F.array(*[F.xxhash64(F.lit(m), *[F.get(t, i + k) for k, x in enumerate(mask) if x == "1"]) for m, mask in enumerate(SEEDS)])
 
 
 def _windows(texts: DataFrame, tokens: str) -> DataFrame:
@@ -59,21 +65,44 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     seeds = stage(_windows(tests, "it").select("seed", "item_id", F.col("place").alias("item_place")).distinct(), "benchmark-seeds")
     hashed = docs.select("doc_id", token_hashes(F.col("text")).alias("dt"))
     hits = _windows(hashed, "dt").select("doc_id", "place", "seed").join(small(seeds), "seed")
-    lies = hits.groupBy("doc_id", "item_id", (F.col("place") - F.col("item_place")).alias("start")).count().where(F.col("count") >= MIN_HITS).drop("count")
-    brief = tests.where(F.size("it") < SPAN).select("item_id", F.get("it", F.lit(0)).alias("first"))
+    lies = hits.select("doc_id", "item_id", (F.col("place") - F.col("item_place")).alias("start")).distinct()
+    told = F.slice("it", F.lit(1), (F.size("it") - F.ceil(MIN_MATCH * F.size("it")) + 1).cast("int"))
+    brief = tests.where(F.size("it") < SPAN).select("item_id", F.posexplode(told).alias("k", "first"))
     if not brief.isEmpty():
-        places = hashed.select("doc_id", F.posexplode("dt").alias("start", "first"))
-        lies = lies.unionByName(places.join(small(stage(brief, "benchmark-short")), "first").select("doc_id", "item_id", "start"))
+        places = hashed.select("doc_id", F.posexplode("dt").alias("place", "first"))
+        lies = lies.unionByName(places.join(small(stage(brief, "benchmark-short")), "first").select("doc_id", "item_id", (F.col("place") - F.col("k")).alias("start")).distinct())
     lies = stage(lies, "benchmark-lies")
-    agree = F.size(F.filter(F.transform("it", lambda x, k: F.get(F.col("dt"), F.col("start") + k) == x), lambda same: same))
-    laid = hashed.join(small(lies), "doc_id").join(small(tests), "item_id").select("doc_id", "item_id", "start", F.size("it").alias("n_tokens"), agree.alias("n_match"))
-    good = laid.where(F.col("n_match") >= MIN_MATCH * F.col("n_tokens"))
-    best = F.max(F.struct("n_match", (-F.col("start")).alias("s"), "n_tokens")).alias("b")
+    same = F.transform("it", lambda x, k: F.coalesce(F.get(F.col("dt"), F.col("start") + k) == x, F.lit(False)))
+    laid = hashed.join(small(lies), "doc_id").join(small(tests), "item_id").withColumn("same", same).withColumn("n_tokens", F.size("it"))
+    agree = lambda flags: F.size(F.filter(flags, lambda x: x))
+    laid = laid.withColumn("n_match", agree(F.col("same"))).withColumn("whole", F.col("n_match") >= MIN_MATCH * F.col("n_tokens"))
+    local = F.exists(F.sequence(F.lit(1), F.col("n_tokens") - LOCAL + 1), lambda i: agree(F.slice("same", i, LOCAL)) >= MIN_MATCH * LOCAL)
+    laid = laid.withColumn("local", F.when(F.col("whole") | (F.col("n_tokens") < LOCAL), F.col("whole")).otherwise(local))
+    laid = laid.withColumn("chained", F.when(F.col("whole"), 0).otherwise(_chained()))
+    chained = F.col("chained") >= MIN_MATCH * F.col("n_tokens")
+    good = laid.where(F.col("local") | chained).withColumn("n_match", F.when(chained, F.col("chained")).otherwise(F.col("n_match")))
+    best = F.max(F.struct("whole", "n_match", (-F.col("start")).alias("s"), "n_tokens")).alias("b")
     return good.groupBy("doc_id", "item_id").agg(best).select(
         "doc_id", "item_id", (-F.col("b.s")).cast("long").alias("start"), F.col("b.n_tokens").cast("long").alias("n_tokens"), F.col("b.n_match").cast("long").alias("n_match")
     )
 
 
+def _chained() -> Column:
+    """Tokens of column ``it`` that agree in order with ``dt`` at offsets up to ``BAND`` from ``start``: the longest common
+    subsequence in a band, kept for each offset while the item is gone through."""
+    width = 2 * BAND + 1
+
+    def step(held: Column, k: Column) -> Column:
+        best, out = [], []
+        for d in range(width):
+            agrees = F.coalesce((F.get(F.col("dt"), F.col("start") + k + d - BAND) == F.get(F.col("it"), k)).cast("int"), F.lit(0))
+            best += [F.get(held, F.lit(d)) + agrees, *([F.get(held, F.lit(d + 1))] if d + 1 < width else [])]
+            out.append(F.greatest(*best))
+        return F.array(*out)
+
+    return F.array_max(F.aggregate(F.sequence(F.lit(0), F.size("it") - 1), F.array(*[F.lit(0)] * width), step))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
 

@@ -261,6 +261,22 @@ def test_decontamination(spark, tables):
     assert all((r["n_match"], -r["start"]) == want[k] for k, r in got.items())
 
 
+def test_local_and_broken_overlaps_are_found(spark):
+    rng = random.Random(13)
+    fresh = lambda n: prose(rng, n, 10**7).split()
+    long, nine, ten, eight, twenty, forty = (fresh(n) for n in (59, 9, 10, 8, 20, 40))
+    without = lambda w, *at: [f"y{i}" if i in at else x for i, x in enumerate(w)]
+    cases = {0: (long, [long[10:50], long[:25]]), 1: (nine, [without(nine, i, j) for i, j in itertools.combinations(range(9), 2)]), 2: (ten, [without(ten, i) for i in range(10)])}
+    cases |= {3: (eight, [without(eight, i) for i in range(8)]), 4: (twenty, [[*twenty[:10], "new", *twenty[10:]], [*twenty[:9], *twenty[10:]]]), 5: (forty, [without(forty, *range(c, 40, 4)) for c in range(4)])}
+    docs = [(item, [*fresh(30), *w, *fresh(30)]) for item, (_, found) in cases.items() for w in found]
+    clean = [[*fresh(30), *long[:6], *fresh(30)], fresh(100)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate([*[w for _, w in docs], *clean])], "doc_id long, text string")
+    items = spark.createDataFrame([(k, " ".join(w)) for k, (w, _) in cases.items()], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["n_match"] for r in decontamination.overlaps(df, items).collect()}
+    assert set(got) == {(i, item) for i, (item, _) in enumerate(docs)}
+    assert got[0, 0] == 40 and got[1, 0] == 25 and [got[i, 4] for i, (k, _) in enumerate(docs) if k == 4] == [20, 19]
+
+
 def test_license_scan(spark):
     apache = "Licensed under the Apache License, Version 2.0."
     gpl = "This work is licensed under the GNU General Public License, version 3."
