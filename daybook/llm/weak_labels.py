@@ -1,14 +1,17 @@
 """Quality classifier from weak labels.
 
-Heuristic labellers vote good, bad or nothing on each document. Expectation-maximisation estimates how accurate each
-is and how common good documents are, from how often the votes fall together and without any given label: it needs only
-the counts of the vote patterns, of which there are at most 3 ** labellers, so all documents take part. Each pattern's
-posterior is the weak label of its documents. A linear scorer over hashed words and character classes is fitted to the
-posteriors of a sample (``SAMPLE`` documents at most, those with the smallest hashes) and scores every document whole.
-
-Defined cases: null and empty texts get the votes of an empty text and a score; rows that repeat are scored alike;
-where no document gets a vote the prior is one half and the scorer is flat; an empty table gives no rows; extra columns
-are ignored.
+Heuristic labellers vote good, bad or nothing on each document, each on evidence of its own: signs, repeated words,
+capitals, word lengths, runs, sentence ends, commas, letters. Each has a range where it votes good and one where it
+votes bad, so that they overlap freely. Expectation-maximisation estimates how accurate each is and how common good
+documents are, from how often the votes fall together and without any given label: it needs only the counts of the vote
+patterns, of which there are at most 3 ** labellers, so all documents take part. Each pattern's posterior is the weak
+label of its documents. A linear scorer over hashed words and the labellers' statistics is fitted to the posteriors of a
+sample (``SAMPLE`` distinct documents at most, those with the smallest hashes of id and text, in that order) and scores
+every document whole. So neither partitions nor their order change a score.
+
+Defined cases: null and empty texts get no vote, the prior as posterior, and a score; texts of fewer than ``SHORT``
+words get no vote; rows that repeat are scored alike and are one document of the sample; where no document gets a vote
+the prior is one half and the scorer is flat; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,57 +31,66 @@ BITS = 14
 #: Documents with at least this score are kept: doubtful ones stay.
 KEEP = 0.3
 ROUNDS = 200
-SYMBOLS = np.zeros(256, bool)
-SYMBOLS[[ord(c) for c in "#*$%&|<>{}[]\\^~@="]] = True
-UPPER, LETTER = np.zeros(256, bool), np.zeros(256, bool)
-UPPER[65:91] = True
-LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
-
-#: Labellers of symptoms: name, what they look at, normal at or below, a vote for bad at or above; else they abstain.
-#: One more labeller, prose, votes for good where all of these are normal, and else abstains.
-LABELLERS = (
-    ("symbols", "symbol_share", 0.01, 0.05),
-    ("repetition", "top_word_share", 0.12, 0.3),
-    ("variety", "repeat_share", 0.8, 0.92),
-    ("shouting", "upper_share", 0.08, 0.35),
-    ("word_length", "odd_length", 2.2, 2.8),
-    ("runs", "same_neighbour", 0.01, 0.15),
-)
+SHORT = 20
+
+
+def _bytes_of(marks: str | range) -> np.ndarray:
+    found = np.zeros(256, bool)
+    found[[ord(c) for c in marks] if isinstance(marks, str) else list(marks)] = True
+    return found
+
+
+SYMBOL, STOP, COMMA, SPACE = _bytes_of("#*$%&|<>{}[]\\^~@="), _bytes_of(".!?"), _bytes_of(",;:"), _bytes_of(" \t\n\v\f\r")
+UPPER = _bytes_of(range(65, 91))
+LETTER = UPPER | _bytes_of(range(97, 123)) | _bytes_of(range(128, 256))
+
+#: Labeller: where its statistic is good (from, to), and from where on it is bad (at most, at least).
+LABELLERS: dict[str, tuple[tuple[float, float], tuple[float, float]]] = {
+    "symbols": ((0.0, 0.002), (-1.0, 0.03)),
+    "repetition": ((0.0, 0.09), (-1.0, 0.25)),
+    "variety": ((0.0, 0.45), (-1.0, 0.8)),
+    "shouting": ((0.0, 0.05), (-1.0, 0.35)),
+    "word_length": ((0.0, 1.0), (-1.0, 2.4)),
+    "runs": ((0.0, 0.02), (-1.0, 0.15)),
+    "sentences": ((0.03, 0.25), (0.005, 0.6)),
+    "commas": ((0.01, 0.12), (0.001, 0.25)),
+    "letters": ((0.86, 1.0), (0.75, 2.0)),
+}
+VOTERS = tuple(LABELLERS)
 N_DENSE = len(LABELLERS)
-VOTERS = (*[x[0] for x in LABELLERS], "prose")
 
 
-def features(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(dense statistics, hashed buckets, their weights) of each text of a chunk; the weights have length one."""
+def features(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(words, the labellers' statistics, hashed buckets, their weights) of each text of a chunk; the weights have length one."""
     h, cuts = word_hashes(raw, offsets)
-    symbol, upper, letter = (np.concatenate(([0], np.cumsum(t[raw], dtype=np.int64))) for t in (SYMBOLS, UPPER, LETTER))
+    ends = np.append(SPACE[raw[1:]], True) if len(raw) else np.zeros(0, bool)
+    ends[offsets[1:][offsets[1:] > 0] - 1] = True
+    marks = [SYMBOL[raw], UPPER[raw], LETTER[raw], SPACE[raw], STOP[raw] & ends, COMMA[raw] & ends]
+    sums = np.concatenate((np.zeros((6, 1), np.int64), np.cumsum(marks, axis=1, dtype=np.int64)), axis=1)
     for i in range(len(offsets) - 1):
         a, b = int(offsets[i]), int(offsets[i + 1])
         w = h[cuts[i] : cuts[i + 1]]
         n = len(w)
         if not n:
-            yield np.zeros(N_DENSE), np.zeros(0, np.int64), np.zeros(0)
+            yield 0, np.zeros(N_DENSE), np.zeros(0, np.int64), np.zeros(0)
             continue
+        symbols, upper, letters, spaces, stops, commas = (sums[:, b] - sums[:, a]).tolist()
         words, counts = np.unique(w, return_counts=True)
-        letters = max(1, int(letter[b] - letter[a]))
-        length = (b - a) / n
+        solid = b - a - spaces
         dense = np.array([
-            (symbol[b] - symbol[a]) / (b - a),
-            counts.max() / n if n >= 20 else 0.0,
-            1 - len(words) / n if n >= 20 else 0.0,
-            (upper[b] - upper[a]) / letters,
-            abs(length - 6.0),
-            float((w[1:] == w[:-1]).mean()) if n > 1 else 0.0,
+            symbols / solid, counts.max() / n, 1 - len(words) / n, upper / max(1, letters), abs(solid / n - 5.0),
+            float((w[1:] == w[:-1]).mean()) if n > 1 else 0.0, stops / n, commas / n, letters / solid,
         ])
-        bucket = (words >> U(64 - BITS)).astype(np.int64)
         weight = np.log1p(counts) / np.sqrt((np.log1p(counts) ** 2).sum())
-        yield dense, bucket, weight
+        yield n, dense, (words >> U(64 - BITS)).astype(np.int64), weight
 
 
-def votes(dense: np.ndarray) -> np.ndarray:
-    """+1 good, -1 bad, 0 none, of each voter."""
-    normal, bad = np.array([x[2] for x in LABELLERS]), np.array([x[3] for x in LABELLERS])
-    return np.append(np.where(dense >= bad, -1, 0), int((dense <= normal).all()))
+def votes(n_words: int, dense: np.ndarray) -> np.ndarray:
+    """+1 good, -1 bad, 0 none, of each labeller."""
+    if n_words < SHORT:
+        return np.zeros(N_DENSE, np.int64)
+    (low, high), (least, most) = (np.array([x[k] for x in LABELLERS.values()]).T for k in (0, 1))
+    return np.where((dense <= least) | (dense >= most), -1, np.where((dense >= low) & (dense <= high), 1, 0))
 
 
 def pattern_of(v: np.ndarray) -> int:
@@ -90,14 +102,18 @@ def votes_of(pattern: int) -> np.ndarray:
 
 
 def vote_patterns(docs: DataFrame) -> DataFrame:
-    """doc_id, pattern."""
+    """rank, pattern. rank: a hash of id and text, which orders the sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [pattern_of(votes(dense)) for _, _, raw, offsets in text_chunks(batch.column("text")) for dense, _, _ in features(raw, offsets)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.int32())], names=["doc_id", "pattern"])
+            out = [pattern_of(votes(n, dense)) for _, _, raw, offsets in text_chunks(batch.column("text")) for n, dense, _, _ in features(raw, offsets)]
+            yield pa.RecordBatch.from_arrays([batch.column("rank"), pa.array(out, pa.int32())], names=["rank", "pattern"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, pattern int")
+    return docs.select(_rank().alias("rank"), "text").mapInArrow(run, "rank long, pattern int")
+
+
+def _rank():
+    return F.xxhash64(F.lit(10), F.col("doc_id").cast("long"), F.col("text"))
 
 
 class LabelModel:
@@ -139,53 +155,56 @@ class LabelModel:
         return {x: float(r / t) for x, r, t in zip(VOTERS, right, voted, strict=True)}
 
 
-def fit_scorer(rows: list[tuple[list[float], list[int], list[float], float]], passes: int = 8, seed: int = 1) -> np.ndarray:
-    """Weights of a logistic scorer: bias, dense statistics (capped at 1), hashed words; by averaged gradient steps."""
-    weights, total, steps = np.zeros(1 + N_DENSE + (1 << BITS)), np.zeros(1 + N_DENSE + (1 << BITS)), 0
-    held = [(np.minimum(np.array(d), 1.0), np.array(b, np.int64) + 1 + N_DENSE, np.array(w), y) for d, b, w, y in rows]
+def fit_scorer(dense: np.ndarray, buckets: list[np.ndarray], hashed: list[np.ndarray], target: np.ndarray, passes: int = 8, rows: int = 32, seed: int = 1) -> np.ndarray:
+    """Weights of a logistic scorer: bias, statistics (capped at 1), hashed words; by averaged gradient steps."""
+    weights, total = np.zeros(1 + N_DENSE + (1 << BITS)), np.zeros(1 + N_DENSE + (1 << BITS))
+    capped = np.column_stack((np.ones(len(dense)), np.minimum(dense, 1.0)))
     rng = np.random.default_rng(seed)
     for p in range(passes):
-        rate = 0.5 / (1 + p)
-        for i in rng.permutation(len(held)):
-            d, b, w, y = held[i]
-            z = weights[0] + weights[1 : 1 + N_DENSE] @ d + weights[b] @ w
-            g = rate * (y - 1 / (1 + np.exp(-np.clip(z, -50, 50))))
-            weights[0] += g
-            weights[1 : 1 + N_DENSE] += g * d
-            np.add.at(weights, b, g * w)
+        rate = 1.0 / (1 + p)
+        order = rng.permutation(len(target))
+        for at in range(0, len(order), rows):
+            own = order[at : at + rows]
+            b, w = np.concatenate([buckets[i] for i in own]).astype(np.int64) + 1 + N_DENSE, np.concatenate([hashed[i] for i in own]).astype(float)
+            of = np.repeat(np.arange(len(own)), [len(buckets[i]) for i in own])
+            z = capped[own] @ weights[: 1 + N_DENSE] + np.bincount(of, weights[b] * w, minlength=len(own))
+            g = rate * (target[own] - 1 / (1 + np.exp(-np.clip(z, -50, 50))))
+            weights[: 1 + N_DENSE] += g @ capped[own] / 4
+            weights += np.bincount(b, g[of] * w, minlength=len(weights))
         total += weights
-        steps += 1
-    return total / max(1, steps)
+    return total / passes
 
 
 def classify(docs: DataFrame, sample: int = SAMPLE, keep: float = KEEP) -> DataFrame:
     """doc_id, posterior, score, kept. docs: doc_id, text."""
     spark = docs.sparkSession
     seen = stage(vote_patterns(docs), "quality-votes")
-    counts = {r["pattern"]: r["count"] for r in seen.groupBy("pattern").count().collect()}
+    counts = {r["pattern"]: r["count"] for r in seen.groupBy("pattern").count().collect()}  # at most 3 ** labellers
     model = LabelModel(counts)
     posterior = {p: model.posterior(p) for p in counts}
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [f for _, _, raw, offsets in text_chunks(batch.column("text")) for f in features(raw, offsets)]
-            yield pa.RecordBatch.from_pydict({"d": [x[0].tolist() for x in rows], "b": [x[1].tolist() for x in rows], "w": [x[2].tolist() for x in rows], "y": [posterior[pattern_of(votes(x[0]))] for x in rows]}, schema=kept_schema)
-
-    kept_schema = pa.schema([("d", pa.list_(pa.float64())), ("b", pa.list_(pa.int64())), ("w", pa.list_(pa.float64())), ("y", pa.float64())])
-    rank = F.xxhash64(F.col("doc_id"), F.lit(10))
-    chosen = seen.select(rank.alias("r"), "doc_id").orderBy("r", "doc_id").limit(sample)
-    at_most = chosen.agg(F.max("r")).first()[0]
-    some = docs.where(rank <= F.lit(at_most)).limit(sample) if at_most is not None else docs.limit(0)
-    rows = [(r["d"], r["b"], r["w"], r["y"]) for r in some.select("text").mapInArrow(featured, "d array<double>, b array<long>, w array<double>, y double").toLocalIterator()]
-    weights = spark.sparkContext.broadcast(fit_scorer(rows))
+            packed = [[x[k].astype(kind).tobytes() for x in rows] for k, kind in ((1, "<f4"), (2, "<u2"), (3, "<f4"))]
+            label = [posterior[pattern_of(votes(x[0], x[1]))] for x in rows]
+            yield pa.RecordBatch.from_arrays([batch.column("rank"), *[pa.array(x, pa.binary()) for x in packed], pa.array(label, pa.float64())], names=["rank", "d", "b", "w", "y"])
+
+    last = seen.select("rank").distinct().orderBy("rank").limit(sample).agg(F.max("rank")).first()[0]
+    some = docs.select(_rank().alias("rank"), "text").where(F.col("rank") <= F.lit(last)) if last is not None else docs.select(_rank().alias("rank"), "text").limit(0)
+    told = some.mapInArrow(featured, "rank long, d binary, b binary, w binary, y double").dropDuplicates(["rank"]).toArrow().sort_by("rank")
+    arrays = lambda name, kind: [np.frombuffer(x.as_buffer(), kind) for x in told.column(name)]
+    weights = fit_scorer(np.array(arrays("d", "<f4"), float).reshape(-1, N_DENSE), arrays("b", "<u2"), arrays("w", "<f4"), told.column("y").to_numpy())
+    del told
+    held = spark.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x = weights.value
+        x = held.value
         for batch in batches:
             q, s = [], []
             for _, _, raw, offsets in text_chunks(batch.column("text")):
-                for d, b, w in features(raw, offsets):
-                    q.append(posterior[pattern_of(votes(d))])
+                for n, d, b, w in features(raw, offsets):
+                    q.append(posterior[pattern_of(votes(n, d))])
                     z = x[0] + x[1 : 1 + N_DENSE] @ np.minimum(d, 1.0) + x[b + 1 + N_DENSE] @ w
                     s.append(float(1 / (1 + np.exp(-np.clip(z, -50, 50)))))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(q, pa.float64()), pa.array(s, pa.float64()), pa.array([v >= keep for v in s], pa.bool_())], names=["doc_id", "posterior", "score", "kept"])
