@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from daybook.llm.common import fresh, table
+from daybook.llm.common import fresh, small, stage, table
 
 KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -67,28 +67,21 @@ def text_identifiers(text: str) -> tuple[set[str], set[str]]:
     return found[0] - found[1], found[1]
 
 
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """(text): of equal texts one, that with the smallest id. What is shuffled are hashes; texts only where more groups of
+    copies than can be broadcast are known. Rows that repeat an id and a text stay."""
+    h = docs.select(F.col("doc_id").alias("_id"), "text", F.xxhash64("text").alias("_h"), F.xxhash64(F.lit(1), "text").alias("_g")).where("text <> ''")
+    copied = h.groupBy("_h", "_g").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    return h.join(small(stage(copied, "secret-copies")), ["_h", "_g"], "left").where("_first IS NULL OR _first = _id").select("text")
+
+
 def identifier_counts(docs: DataFrame) -> DataFrame:
     """(word, docs, inside): in how many distinct texts each identifier stands outside sensitive contexts only, and in how
     many within one. Tasks leave out texts that they know, and add up what they see before it is shuffled."""
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set = set()
-        for batch in batches:
-            out = []
-            for value in batch.column("text"):
-                t = value.as_py() or ""
-                own = hashlib.blake2b(t.encode("utf-8", "replace"), digest_size=16).digest()
-                if t and own not in seen:
-                    seen.add(own)
-                    if len(seen) > TEXTS_KNOWN:
-                        seen.clear()
-                    outside, inside = text_identifiers(t)
-                    out.append((own, " ".join(outside), " ".join(inside)))
-            own, outside, inside = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array(outside, pa.string()), pa.array(inside, pa.string())], names=["own", "outside", "inside"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[Counter, Counter] = (Counter(), Counter())
+        seen: set = set()
 
         def counted() -> pa.RecordBatch:
             words = list(held[0] | held[1])
@@ -98,15 +91,20 @@ def identifier_counts(docs: DataFrame) -> DataFrame:
             return out
 
         for batch in batches:
-            for name, c in zip(("outside", "inside"), held, strict=True):
-                for words in batch.column(name):
-                    c.update(words.as_py().split())
+            for value in batch.column("text"):
+                t = value.as_py()
+                own = hashlib.blake2b(t.encode("utf-8", "replace"), digest_size=16).digest()
+                if own not in seen:
+                    seen.add(own)
+                    if len(seen) > TEXTS_KNOWN:
+                        seen.clear()
+                    for words, c in zip(text_identifiers(t), held, strict=True):
+                        c.update(words)
             if sum(map(len, held)) > WORDS_HELD:
                 yield counted()
         yield counted()
 
-    texts = docs.select("text").mapInArrow(cut, "own binary, outside string, inside string").dropDuplicates(["own"])
-    return texts.select("outside", "inside").mapInArrow(run, "word string, docs long, inside long").groupBy("word").agg(F.sum("docs").alias("docs"), F.sum("inside").alias("inside"))
+    return distinct_texts(docs).mapInArrow(run, "word string, docs long, inside long").groupBy("word").agg(F.sum("docs").alias("docs"), F.sum("inside").alias("inside"))
 
 
 def dictionary(docs: DataFrame) -> bytes:
@@ -247,7 +245,7 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: all documents, their secrets replaced and n_chars, where they have it, counted anew."""
-    out = redact(docs, dictionary(docs.select("text")))
+    out = redact(docs, dictionary(docs.select("doc_id", "text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), "n_chars"))
     return out
