@@ -9,10 +9,18 @@ a passage that many documents share is not joined on while a document has enough
 may have a partner in the band below joins there too. A set with too few filled blocks also joins with each shingle as
 a block of its own.
 
-Blocks with up to ``FULL`` sets give all their pairs. Of a fuller block each set is first held against one of its sets
-only, and what these links leave in different components is compared by longer parity sketches (2048 bits, whose
-Hamming distance never exceeds the true difference), and verified where the sketches allow it, until no block has a
-pair that is neither joined nor excluded. Every link is verified on the whole sets. Equal sets are one node throughout.
+Every set also has a long parity sketch of two to four bits for each shingle, whose Hamming distance never exceeds the
+true difference; a pair is verified on whole sets only where the sketches allow it. Blocks with up to ``FULL`` sets give
+all their pairs. Of a fuller block each set is first held against one of its sets only. A pair that meets in full blocks
+alone meets there ``SHARED`` times, so sets with fewer full blocks are done with; of the others those that the links so
+far leave in different components are compared by their long sketches, in squares of a bounded size, until no block has
+a pair that is neither joined nor excluded. Every link is verified on the whole sets. Equal sets are one node throughout.
+
+``near_components`` verifies what connects its components: a pair whose ends are already joined by others isn't looked
+at. ``near_links`` verifies every pair, and gives all links between different sets and the documents of each set.
+
+A block that no task is told of as frequent holds at most one in ``LISTED`` of all occurrences counted, as so many are
+no rarer; so what one key of the join brings together unsalted is a bounded share of the rows.
 
 Components come from alternating large-star and small-star steps, each a written table.
 
@@ -24,6 +32,7 @@ gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -38,13 +47,14 @@ from daybook.llm.tokens import U, mix, shingle_sets
 SHARED = 4
 #: Sets in a block that gives all its pairs.
 FULL = 24
-#: Sets of a task that are counted together, and occurrences there that make a block frequent.
-COUNTED, FREQUENT = 4096, 3
+#: Sets of a task that are counted together, the most blocks of theirs, and occurrences there that make one frequent.
+COUNTED, COUNTED_KEYS, FREQUENT = 4096, 1 << 21, 3
 #: Frequent blocks that are told to all tasks (2 MB); which ones does not change the result.
 LISTED = 1 << 18
 #: Groups that a frequent block is split into, and sets compared at a time.
 SALTS, SQUARE = 64, 2000
-SKETCH_BITS = 2048
+#: Bytes of a shingle's hash that are sent to verify a pair.
+PLANES = 5
 
 
 def _signature(s: np.ndarray) -> tuple[int, int]:
@@ -53,6 +63,29 @@ def _signature(s: np.ndarray) -> tuple[int, int]:
     return int(mix(np.array([x ^ (U(len(s)) << U(40))]))[0].view(np.int64)), int(y.view(np.int64))
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Parity bits of the set: two to four for each shingle. Halves of a longer sketch XOR to the shorter one."""
+    bits = 2 << max(7, len(s).bit_length())
+    return np.packbits((np.bincount((s >> U(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def _folded(b: bytes, size: int) -> np.ndarray:
+    """A sketch as 64-bit words, folded down to size bytes."""
+    return np.bitwise_xor.reduce(np.frombuffer(b, U).reshape(-1, size // 8), axis=0)
+
+
+def sent(s: np.ndarray) -> bytes:
+    """The sorted set's leading ``PLANES`` bytes, byte plane by byte plane: the first planes compress well."""
+    return np.ascontiguousarray(s.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :PLANES].T).tobytes()
+
+
+def received(b: pa.Scalar) -> np.ndarray:
+    raw = np.frombuffer(b.as_buffer(), np.uint8).reshape(PLANES, -1)
+    out = np.zeros((raw.shape[1], 8), np.uint8)
+    out[:, 8 - PLANES :] = raw.T
+    return out.reshape(-1).view(">u8").astype(U)
+
+
 def _band_keys(s: np.ndarray, band: int) -> np.ndarray:
     """The sketch of each filled block, as a key that is told apart by band and block."""
     block = s & U((1 << band) - 1)
@@ -86,37 +119,43 @@ def _chosen(keys: np.ndarray, most: int, listed: np.ndarray) -> tuple[np.ndarray
 
 
 def set_facts(docs: DataFrame) -> DataFrame:
-    """doc_id, n, two signatures of the set; and, told by a non-null key, how often a frequent block was seen."""
+    """doc_id, n, two signatures and the sketch of the set; and, told by a non-null key, how often a frequent block was seen."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         seen: set = set()
+        size = 0
 
         def counted() -> pa.RecordBatch:
+            nonlocal size
             keys, n = np.unique(np.concatenate(held) if held else np.zeros(0, U), return_counts=True)
             keys, n = keys[n >= FREQUENT], n[n >= FREQUENT]
             held.clear()
             seen.clear()
+            size = 0
             none = pa.nulls(len(keys), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=names)
+            return pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(keys), pa.binary()), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=names)
 
         for batch in batches:
-            out = []
+            out, sketches = [], []
             for _, s in shingle_sets(batch.column("text")):
                 sign = _signature(s) if len(s) else (0, 0)
                 out.append((len(s), *sign))
+                sketches.append(sketch(s) if len(s) else None)
                 if len(s) and sign not in seen:
                     seen.add(sign)
-                    held.extend(k for k, _, _ in _schemes(s))
-                    if len(seen) >= COUNTED:
+                    for k, _, _ in _schemes(s):
+                        held.append(k)
+                        size += len(k)
+                    if len(seen) >= COUNTED or size >= COUNTED_KEYS:
                         yield counted()
             facts = np.array(out, np.int64).reshape(-1, 3)
             none = pa.nulls(len(facts), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(facts[:, c]) for c in range(3)], none, none], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(facts[:, c]) for c in range(3)], pa.array(sketches, pa.binary()), none, none], names=names)
         yield counted()
 
-    names = ["doc_id", "n", "s1", "s2", "key", "seen"]
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ", ".join(f"{x} long" for x in names))
+    names = ["doc_id", "n", "s1", "s2", "sketch", "key", "seen"]
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ", ".join(f"{x} {'binary' if x == 'sketch' else 'long'}" for x in names))
 
 
 def block_rows(docs: DataFrame, listed: np.ndarray) -> DataFrame:
@@ -147,31 +186,48 @@ def block_rows(docs: DataFrame, listed: np.ndarray) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, n, set, sketch) of the documents in ids (column id); rows that repeat an id give a row each, which does no
-    harm: links are sets of pairs."""
+    """(id, set) of the documents in ids (column id); rows that repeat an id give a row each, which does no harm: links
+    are sets of pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, sets, sketches = [], [], []
-            for _, s in shingle_sets(batch.column("text")):
-                bits = np.bincount((s >> U(20)).astype(np.int64) & (SKETCH_BITS - 1), minlength=SKETCH_BITS) & 1
-                sizes.append(len(s))
-                sets.append(s.tobytes())
-                sketches.append(np.packbits(bits.astype(np.uint8)).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(sketches, pa.binary())], names=["id", "n", "set", "sketch"])
+            sets = [sent(s) for _, s in shingle_sets(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], names=["id", "set"])
 
     wanted = docs.select(F.col("doc_id").cast("long"), "text").join(small(ids), F.col("doc_id") == F.col("id"), "left_semi")
-    return wanted.mapInArrow(run, "id long, n long, set binary, sketch binary")
+    return wanted.mapInArrow(run, "id long, set binary")
+
+
+def allowed(pairs: DataFrame) -> DataFrame:
+    """Of pairs (a, b, nx, ny, kx, ky) those whose sketches may belong to near sets: (a, b)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nx, ny = (batch.column(c).to_numpy() for c in ("nx", "ny"))
+            near = np.zeros(batch.num_rows, bool)
+            for i, (x, y) in enumerate(zip(batch.column("kx").to_pylist(), batch.column("ky").to_pylist(), strict=True)):
+                size = min(len(x), len(y))
+                near[i] = 7 * int(np.bitwise_count(_folded(x, size) ^ _folded(y, size)).sum()) <= nx[i] + ny[i]
+            keep = pa.array(near)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+
+    return pairs.select("a", "b", "nx", "ny", "kx", "ky").mapInArrow(run, "a long, b long")
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def sets_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The sets (id, set) of the documents in pairs (a, b), staged."""
+    ids = stage(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "jaccard-ids")
+    return stage(_sets(docs, ids), "jaccard-sets")
+
+
+def verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) of documents whose sets are near."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             near = np.zeros(batch.num_rows, bool)
             for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
+                x, y = received(x), received(y)
                 if 4 * min(len(x), len(y)) >= 3 * max(len(x), len(y)):
                     both = np.concatenate((x, y))
                     both.sort()
@@ -180,8 +236,6 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             keep = pa.array(near)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
-    ids = stage(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "jaccard-ids")
-    sets = stage(_sets(docs, ids).select("id", "n", "set"), "jaccard-sets")
     x, y = sets.select(F.col("id").alias("a"), F.col("set").alias("x")), sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
@@ -204,12 +258,13 @@ def components(edges: DataFrame) -> DataFrame:
         mark = seen.get
 
 
-def _square(block: pd.DataFrame, all_pairs: bool) -> pd.DataFrame:
-    """Pairs of different components in one square of a block that their sketches allow; without all_pairs only those
+def _square(block: pd.DataFrame, every: bool) -> pd.DataFrame:
+    """Pairs of different components in one square of a block that their sketches allow; without ``every`` only those
     that join what no earlier pair of the square joined."""
     left, right = (block[block.side == s].reset_index(drop=True) for s in (0, 1))
     right = left if right.empty else right
-    bits_l, bits_r = (np.frombuffer(b"".join(x.sketch), U).reshape(len(x), -1) for x in (left, right))
+    size = int(block.sketch.map(len).min())
+    bits_l, bits_r = (np.array([_folded(b, size) for b in x.sketch], U).reshape(len(x), -1) for x in (left, right))
     comp_r, n_r, id_r = right.component.to_numpy(), right.n.to_numpy(), right.id.to_numpy()
     root: dict[int, int] = {}
 
@@ -218,27 +273,31 @@ def _square(block: pd.DataFrame, all_pairs: bool) -> pd.DataFrame:
             c = root[c]
         return c
 
-    out = []
+    found: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
     for i, (own, comp, n) in enumerate(zip(left.id.to_numpy(), left.component.to_numpy(), left.n.to_numpy(), strict=True)):
-        near = np.bitwise_count(bits_r ^ bits_l[i]).sum(1, dtype=np.int64) * 7 <= n + n_r
-        near &= (comp_r != comp) & (4 * np.minimum(n, n_r) >= 3 * np.maximum(n, n_r))
-        if right is left:
-            near[: i + 1] = False
-        for j in np.flatnonzero(near):
-            if not all_pairs:
+        near = np.flatnonzero((comp_r != comp) & (4 * np.minimum(n, n_r) >= 3 * np.maximum(n, n_r)))
+        near = near[near > i] if right is left else near
+        near = near[np.bitwise_count(bits_r[near] ^ bits_l[i]).sum(1, dtype=np.int64) * 7 <= n + n_r[near]]
+        if not every:
+            new = []
+            for j in near.tolist():
                 a, b = find(int(comp)), find(int(comp_r[j]))
-                if a == b:
-                    continue
-                root[max(a, b)] = min(a, b)
-            out.append((min(own, id_r[j]), max(own, id_r[j])))
-    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
-
-
-def _left_over(docs: DataFrame, full: DataFrame, reps: DataFrame, links: DataFrame, all_pairs: bool) -> DataFrame | None:
-    """Pairs still to be verified in full blocks: of different components, and allowed by their sketches."""
-    comp = components(links)
-    members = full.join(reps, "s1").select("key", F.col("rep").alias("id")).distinct()
-    placed = members.join(comp, members["id"] == comp["node"], "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    new.append(j)
+            near = np.array(new, np.int64)
+        if len(near):
+            found.append(np.column_stack((np.minimum(own, id_r[near]), np.maximum(own, id_r[near]))))
+    return pd.DataFrame(np.concatenate(found), columns=["a", "b"])
+
+
+def _left_over(members: DataFrame, known: DataFrame, links: DataFrame | None, every: bool) -> DataFrame | None:
+    """Pairs still to be verified in full blocks (members: key, id): of different components, and allowed by their
+    sketches. Without links each set is a component of its own."""
+    placed = members.withColumn("component", F.col("id"))
+    if links is not None:
+        comp = components(links)
+        placed = members.join(comp, members["id"] == comp["node"], "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("size")).where("x <> y").select("key", "size")
     open_ = stage(placed.join(mixed, "key"), "jaccard-open")
     if open_.isEmpty():
@@ -246,22 +305,33 @@ def _left_over(docs: DataFrame, full: DataFrame, reps: DataFrame, links: DataFra
     # Blocks with the same sets are compared once.
     same = open_.groupBy("key", "size").agg(F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("h")).groupBy("size", "h").agg(F.min("key").alias("key"))
     open_ = open_.join(same.select("key"), "key", "left_semi")
-    sets = stage(_sets(docs, stage(open_.select("id").distinct(), "jaccard-ids")).select("id", "n", "sketch"), "jaccard-sketches")
     k = F.ceil(F.col("size") / SQUARE).cast("int")
     strip = F.pmod(F.xxhash64("id"), k).cast("int")
     cut = open_.withColumn("strip", strip).withColumn("other", F.explode(F.sequence(F.lit(0), k - 1)))
     cut = cut.select("key", "id", "component", F.least("strip", "other").alias("p"), F.greatest("strip", "other").alias("q"), (F.col("strip") > F.col("other")).cast("int").alias("side"))
-    squares = cut.join(sets, "id").groupBy("key", "p", "q").applyInPandas(lambda block: _square(block, all_pairs), "a long, b long")
+    told = known.select(F.col("rep").alias("id"), "n", "sketch")
+    squares = cut.join(told, "id").groupBy("key", "p", "q").applyInPandas(lambda block: _square(block, every), "a long, b long")
     return squares.distinct()
 
 
-def near_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id: a row for each row of docs (doc_id, text)."""
+@dataclass
+class Candidates:
+    """facts: a row for each document; known: a row for each set (n, s1, s2, sketch, rep: its smallest document); pairs:
+    (a, b) of reps that their sketches allow; full: (key, id) of the blocks that are too full to give all their pairs."""
+
+    facts: DataFrame
+    known: DataFrame
+    pairs: DataFrame
+    full: DataFrame
+
+
+def candidates(docs: DataFrame, stars: bool = True) -> Candidates:
+    """What the blocks of docs (doc_id, text) propose. stars: of a full block, each set with one of its sets."""
     told = stage(set_facts(docs), "jaccard-facts")
     facts = told.where("n IS NOT NULL").select("doc_id", "n", "s1", "s2")
     most = told.where("key IS NOT NULL").groupBy("key").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "key").limit(LISTED)
     listed = np.sort(np.array([r["key"] for r in most.select("key").collect()], np.int64).view(U))
-    reps = stage(facts.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")), "jaccard-sets-met")
+    known = stage(told.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "jaccard-sets-met")
     at = Window.partitionBy("key", "salt").orderBy("s1")
     rows = block_rows(docs, listed).withColumn("before", F.lag("s1").over(at)).withColumn("after", F.lead("s1").over(at))
     rows = rows.where("(before IS NOT NULL OR after IS NOT NULL OR salt > 0) AND NOT before <=> s1")
@@ -270,40 +340,63 @@ def near_components(docs: DataFrame) -> DataFrame:
     earlier = F.collect_list(F.struct("s1", "need")).over(at.rowsBetween(-FULL, -1))
     rows = rows.withColumn("earlier", F.when((F.col("size") <= FULL) & (F.col("salt") == 0), earlier))
     met = stage(rows.where("size > 1 OR salt > 0").select("key", "salt", "need", "s1", "size", "head", "earlier"), "jaccard-met")
+    full = met.where(f"salt > 0 OR size > {FULL}")
+    crowded = stage(full.groupBy("s1").agg(F.count(F.lit(1)).alias("full"), F.min("need").alias("need")), "jaccard-crowded")
     cold = met.where(F.size("earlier") > 0).select("s1", "need", F.explode("earlier").alias("e"))
     cold = cold.select(F.least("s1", "e.s1").alias("a"), F.greatest("s1", "e.s1").alias("b"), F.greatest("need", "e.need").alias("need"))
-    cold = cold.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"), F.max("need").alias("need")).where("met >= need").select("a", "b")
-    full = met.where(f"salt > 0 OR size > {FULL}")
-    heads = full.groupBy("key", "salt").agg(F.first("head").alias("head")).groupBy("key").agg(F.min("head").alias("top"), F.collect_set("head").alias("heads"))  # at most one for each salt
-    stars = full.select(F.col("s1").alias("a"), F.col("head").alias("b")).union(heads.select(F.explode("heads").alias("a"), F.col("top").alias("b")))
-    signs = cold.union(stars).where("a <> b").distinct()
-    known = reps.select("s1", "rep", "n")
-    pairs = (
-        signs.join(known.select(F.col("s1").alias("a"), F.col("rep").alias("x"), F.col("n").alias("nx")), "a")
-        .join(known.select(F.col("s1").alias("b"), F.col("rep").alias("y"), F.col("n").alias("ny")), "b")
-        .where("4 * least(nx, ny) >= 3 * greatest(nx, ny) AND x <> y")
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    )
+    cold = cold.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"), F.max("need").alias("need"))
+    # What a pair may share besides are blocks that are full for both.
+    own = lambda c: small(crowded).select(F.col("s1").alias(c), F.col("full").alias(f"full_{c}"))
+    cold = cold.join(own("a"), "a", "left").join(own("b"), "b", "left")
+    signs = cold.where("met >= need - least(coalesce(full_a, 0), coalesce(full_b, 0))").select("a", "b")
+    if stars:
+        heads = full.groupBy("key", "salt").agg(F.first("head").alias("head")).groupBy("key").agg(F.min("head").alias("top"), F.collect_set("head").alias("heads"))  # at most one for each salt
+        signs = signs.union(full.select(F.col("s1").alias("a"), F.col("head").alias("b"))).union(heads.select(F.explode("heads").alias("a"), F.col("top").alias("b")))
+        signs = signs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    side = lambda c, r, i: known.select(F.col("s1").alias(c), F.col("rep").alias(r), F.col("n").alias(f"n{i}"), F.col("sketch").alias(f"k{i}"))
+    pairs = signs.distinct().join(side("a", "ra", "x"), "a").join(side("b", "rb", "y"), "b").where("4 * least(nx, ny) >= 3 * greatest(nx, ny) AND ra <> rb")
+    pairs = allowed(pairs.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), "nx", "ny", "kx", "ky"))
+    members = full.join(small(crowded.where("full >= need").select("s1")), "s1", "left_semi").join(known.select("s1", "rep"), "s1").select("key", F.col("rep").alias("id")).distinct()
+    return Candidates(facts, known, stage(pairs, "jaccard-pairs"), members)
+
+
+def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links, membership): every link (a, b) between different sets, each named by the smallest document that has it, and
+    (doc_id, n_shingles, set_id) of every document, set_id null for an empty set. Links of a group of near copies grow with
+    its square; copies of a set don't add any."""
+    found = candidates(docs, stars=False)
+    pairs, more = found.pairs, _left_over(found.full, found.known, None, True)
+    if more is not None:
+        pairs = stage(pairs.union(more).distinct(), "jaccard-pairs")
+    links = stage(verified(sets_of(docs, pairs), pairs), "jaccard-links")
+    named = found.facts.join(found.known.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"], "left")
+    return links, named.select("doc_id", F.col("n").alias("n_shingles"), F.col("rep").alias("set_id"))
+
+
+def near_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id: a row for each row of docs (doc_id, text)."""
+    found = candidates(docs)
+    pairs, known = found.pairs, found.known
     # First one pair for each set, then of the others only those that the links so far leave apart.
-    pairs = stage(pairs, "jaccard-pairs")
-    one = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = stage(verified(docs, stage(one, "jaccard-first")), "jaccard-links")
+    sets = sets_of(docs, pairs)
+    one = stage(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "jaccard-first")
+    links = stage(verified(sets, one), "jaccard-links")
     comp = components(links)
     side = lambda c: comp.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
     apart = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
     apart = stage(apart.join(one, ["a", "b"], "left_anti"), "jaccard-apart")
     if not apart.isEmpty():
-        links = stage(links.union(verified(docs, apart)), "jaccard-links")
-    for all_pairs in (False, True):
-        more = _left_over(docs, full, known, links, all_pairs)
+        links = stage(links.union(verified(sets, apart)), "jaccard-links")
+    for every in (False, True):
+        more = _left_over(found.full, known, links, every)
         if more is None:
             break
         more = stage(more, "jaccard-pairs")
         if not more.isEmpty():
-            links = stage(links.union(verified(docs, more)), "jaccard-links")
+            links = stage(links.union(verified(sets_of(docs, more), more)), "jaccard-links")
     comp = components(links)
-    classes = stage(reps.join(comp, reps["rep"] == comp["node"], "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id")), "jaccard-classes")
-    out = facts.join(classes, ["n", "s1", "s2"], "left")
+    classes = stage(known.join(comp, known["rep"] == comp["node"], "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id")), "jaccard-classes")
+    out = found.facts.join(classes, ["n", "s1", "s2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
