@@ -1,16 +1,19 @@
 """WARC archives: a writer that stores equal payloads once, and a reader that salvages what damage leaves.
 
 Writing: of records with equal payloads of at least ``min_bytes`` the one with the smallest id is a response, the others
-are revisits that refer to it. Each task writes its own files, of at most about ``FILE_BYTES``, under a name that no
+are revisits that refer to it. Each task streams its own files, of at most about ``FILE_BYTES``, under names that no
 other attempt uses, and only files that a finished task has told of count.
 
-Reading: files come as Spark reads them. A record is checked: its gzip member, its version line, its length, its
-digests. After a failed check the reader goes on at the next valid member or version line; what it passed over is a gap
-row with offset, length and reason, so that records and gaps together cover every byte of a file.
+Reading: a file is read as a stream through a window no larger than a record or two, so its size doesn't matter; files
+of a store that only Spark opens are read whole, by Spark. A record is checked: its gzip member, its version line, its
+length, its digests. After a failed check the reader goes on at the next valid member or version line; what it passed
+over is a gap with offset, length and reason, so that records and gaps together cover every byte of a file. Gaps are
+logged as a table (``logged``), which is empty for whole archives.
 
-Defined cases: a null payload counts as the empty one; a null id is written and read back as null, and is the response
-of a group only if no other is there; rows that repeat an id repeat its record, all of the same type; an empty table
-gives no files and no rows; extra columns are ignored; an archive without a valid record gives gaps only.
+Defined cases: a null payload counts as the empty one; a null id is written and read back as null, and refers to the
+smallest id that has its payload, if one has; an id with several payloads has a record for each, told apart by digest;
+rows that repeat id and payload repeat the record, all of the same type; an empty table gives no files and no rows; extra
+columns are ignored; an archive without a valid record gives gaps only.
 """
 
 from __future__ import annotations
@@ -18,10 +21,12 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import BinaryIO
 
 import pyarrow as pa
 import pyarrow.fs
@@ -31,8 +36,9 @@ from pyspark.sql import functions as F
 
 from daybook.llm.common import shared_dir, small, stage, table
 
-FILE_BYTES = 4 << 20
-STEP = 1 << 14
+FILE_BYTES = 256 << 20
+#: Bytes read at a time, bytes of a record's head at most, bytes of payloads in a batch of rows.
+STEP, HEAD, BATCH = 1 << 16, 1 << 20, 4 << 20
 DATE = "2026-01-01T00:00:00Z"
 GZIP = b"\x1f\x8b\x08"
 VERSION = b"WARC/1."
@@ -74,15 +80,47 @@ class Parsed:
     size: int
 
 
-def parsed(data: bytes, at: int = 0) -> Parsed | str:
+class Window:
+    """What of a stream is at hand: ``data`` begins at byte ``base`` of it."""
+
+    def __init__(self, stream: BinaryIO):
+        self._stream, self.data, self.base = stream, b"", 0
+
+    def more(self) -> bool:
+        """Reads on, as much as is held already (so that what is copied stays in proportion); False at the end."""
+        chunk = self._stream.read(max(STEP, len(self.data)))
+        self.data += chunk
+        return bool(chunk)
+
+    def holds(self, stop: int) -> bool:
+        """Whether the stream has the bytes before ``stop``, which counts from ``base``."""
+        while len(self.data) < stop and self.more():
+            pass
+        return len(self.data) >= stop
+
+    def drop(self, n: int) -> None:
+        self.data, self.base = self.data[n:], self.base + n
+
+    def skip_to(self, *marks: bytes) -> bool:
+        """Drops what stands before the next of the marks; all the rest and False, where none follows."""
+        while not (found := [at for m in marks if (at := self.data.find(m)) >= 0]):
+            self.drop(max(0, len(self.data) - max(map(len, marks)) + 1))
+            if not self.more():
+                self.drop(len(self.data))
+                return False
+        self.drop(min(found))
+        return True
+
+
+def parsed(window: Window, at: int = 0) -> Parsed | str:
     """The record whose version line is at ``at``, or what is wrong with it."""
-    if not data.startswith(VERSION, at):
+    if not window.holds(at + len(VERSION)) or not window.data.startswith(VERSION, at):
         return "no version line"
-    end = data.find(b"\r\n\r\n", at, at + (1 << 20))
-    if end < 0:
-        return "no end of header"
+    while (end := window.data.find(b"\r\n\r\n", at, at + HEAD)) < 0:
+        if len(window.data) >= at + HEAD or not window.more():
+            return "no end of header"
     headers = {}
-    for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
+    for line in window.data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
         name, colon, value = line.partition(":")
         if not colon:
             return "bad header line"
@@ -93,115 +131,117 @@ def parsed(data: bytes, at: int = 0) -> Parsed | str:
     if not (length.isascii() and length.isdigit()):
         return "no length"
     start, stop = end + 4, end + 4 + int(length)
-    if data[stop : stop + 4] != b"\r\n\r\n":
+    if not window.holds(stop + 4) or window.data[stop : stop + 4] != b"\r\n\r\n":
         return "bad length"
-    block = data[start:stop]
+    block = window.data[start:stop]
     if (want := headers.get("warc-block-digest")) and want.removeprefix("sha1:") != digest(block):
         return "bad block digest"
     return Parsed(headers, block, stop + 4 - at)
 
 
-def salvage(data: bytes) -> Iterator[tuple[int, int, Parsed | str]]:
-    """(offset, length, record or reason of a gap) from the first byte to the last."""
-
-    def valid(at: int) -> tuple[int, Parsed] | str:
-        if data.startswith(GZIP, at):
-            press, parts, p = zlib.decompressobj(31), [], at
-            try:
-                while not press.eof and p < len(data):
-                    parts.append(press.decompress(view[p : p + STEP]))
-                    p += STEP
-            except zlib.error:
-                return "bad gzip member"
-            raw = b"".join(parts)
-            if not press.eof:
-                return "unfinished gzip member"
-            got = parsed(raw)
-            if isinstance(got, Parsed) and got.size != len(raw):
-                return "more than a record in a member"
-            return got if isinstance(got, str) else (min(p, len(data)) - at - len(press.unused_data), got)
-        got = parsed(data, at)
+def _valid(window: Window, at: int) -> tuple[int, Parsed] | str:
+    """(bytes, record) of the gzip member or plain record at ``at``, or what is wrong with it."""
+    if not (window.holds(at + len(GZIP)) and window.data.startswith(GZIP, at)):
+        got = parsed(window, at)
         return got if isinstance(got, str) else (got.size, got)
-
-    at, view = 0, memoryview(data)
-    while at < len(data):
-        got = valid(at)
+    press, parts, p = zlib.decompressobj(31), [], at
+    try:
+        while not press.eof and (p < len(window.data) or window.more()):
+            parts.append(press.decompress(window.data[p : p + STEP]))
+            p = min(p + STEP, len(window.data))
+    except zlib.error:
+        return "bad gzip member"
+    if not press.eof:
+        return "unfinished gzip member"
+    raw = b"".join(parts)
+    got = parsed(Window(io.BytesIO(raw)))
+    if isinstance(got, Parsed) and got.size != len(raw):
+        return "more than a record in a member"
+    return got if isinstance(got, str) else (p - at - len(press.unused_data), got)
+
+
+def salvage(data: bytes | BinaryIO) -> Iterator[tuple[int, int, Parsed | str]]:
+    """(offset, length, record or reason of a gap) from the first byte to the last."""
+    window = Window(io.BytesIO(data) if isinstance(data, bytes) else data)
+    while window.holds(1):
+        got = _valid(window, 0)
         if not isinstance(got, str):
-            yield at, got[0], got[1]
-            at += got[0]
+            yield window.base, got[0], got[1]
+            window.drop(got[0])
             continue
-        resume, reason = at + 1, got
-        marks = [data.find(GZIP, resume), data.find(VERSION, resume)]
-        while any(m >= 0 for m in marks):
-            resume = min(m for m in marks if m >= 0)
-            if not isinstance(valid(resume), str):
-                break
-            marks = [data.find(x, resume + 1) if m == resume else m for x, m in zip((GZIP, VERSION), marks, strict=True)]
-        else:
-            resume = len(data)
-        yield at, resume - at, reason
-        at = resume
-
-
-def write_archives(pages: DataFrame, folder: str) -> DataFrame:
-    """Writes pages (record_id, uri, payload, refers_to) and returns (path, bytes, records) of each file, staged."""
+        began, reason = window.base, got
+        window.drop(1)
+        while window.skip_to(GZIP, VERSION) and isinstance(_valid(window, 0), str):
+            window.drop(1)
+        yield began, window.base - began, reason
+
+
+def write_archives(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Writes pages (record_id, uri, payload, refers_to) and returns (name, bytes, records) of each file, staged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         store, root = pyarrow.fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
-        out, n, files = io.BytesIO(), 0, 0
-
-        def flushed() -> pa.RecordBatch:
-            nonlocal n, files
-            name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{files:04d}.warc.gz"
-            with store.open_output_stream(f"{root}/{name}", compression=None) as f:
-                f.write(out.getvalue())
-            told = pa.RecordBatch.from_pylist([{"name": name, "bytes": out.tell(), "records": n}])
-            out.seek(0)
-            out.truncate()
-            n, files = 0, files + 1
-            return told
+        out, name, written, n, files = None, "", 0, 0, 0
+
+        def told() -> pa.RecordBatch:
+            out.close()
+            return pa.RecordBatch.from_pylist([{"name": name, "bytes": written, "records": n}])
 
         for batch in batches:
             for row in batch.to_pylist():
                 kind = "response" if row["refers_to"] is None else "revisit"
-                out.write(member(record(kind, row["record_id"], row["uri"] or "", (row["payload"] or "").encode("utf-8"), row["refers_to"])))
-                n += 1
-                if out.tell() >= FILE_BYTES:
-                    yield flushed()
-        if n:
-            yield flushed()
+                made = member(record(kind, row["record_id"], row["uri"] or "", (row["payload"] or "").encode("utf-8"), row["refers_to"]))
+                if out is None:
+                    name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{files:04d}.warc.gz"
+                    out = store.open_output_stream(f"{root}/{name}", compression=None)
+                out.write(made)
+                written, n = written + len(made), n + 1
+                if written >= file_bytes:
+                    yield told()
+                    out, written, n, files = None, 0, 0, files + 1
+        if out is not None:
+            yield told()
 
     return stage(pages.select("record_id", "uri", "payload", "refers_to").mapInArrow(run, "name string, bytes long, records long"), "warc-files")
 
 
-def read_archives(spark: SparkSession, folder: str, only: DataFrame | None = None) -> DataFrame:
-    """Records and gaps (SCHEMA) of the archives in a folder; only: the names of those that count."""
+def _row(path: str, at: int, size: int, got: Parsed | str) -> dict:
+    if isinstance(got, str):
+        return {"path": path, "offset": at, "length": size, "gap": got}
+    h, (head, _, body) = got.headers, got.block.partition(b"\r\n\r\n")
+    said = [x.split(b":", 1)[1].strip() for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")]
+    want = h.get("warc-payload-digest", "").removeprefix("sha1:") or None
+    if h.get("warc-type") == "response" and want not in (None, digest(body)):
+        return {"path": path, "offset": at, "length": size, "gap": "bad payload digest"}
+    return {
+        "path": path, "offset": at, "length": size, "record_type": h.get("warc-type"), "record_id": h.get("warc-record-id", "").strip("<>"), "uri": h.get("warc-target-uri"),
+        "date": h.get("warc-date"), "refers_to": h["warc-refers-to"].strip("<>") if "warc-refers-to" in h else None, "payload_digest": want,
+        "payload_bytes": int(said[0]) if said and said[0].isdigit() else None, "payload": body,
+    }
+
+
+def read_archives(spark: SparkSession, folder: str, only: DataFrame | None = None, through_spark: bool = False) -> DataFrame:
+    """Records and gaps (SCHEMA) of the archives in a folder; only: the names of those that count; through_spark: the
+    store is one that pyarrow doesn't open, so Spark reads each file whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
+            for k, path in enumerate(batch.column("path").to_pylist()):
+                if through_spark:
+                    stream = io.BytesIO(batch.column("content")[k].as_buffer())
+                else:
+                    store, at = pyarrow.fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+                    stream = store.open_input_stream(at, compression=None)
                 rows, held = [], 0
-                for at, size, got in salvage(content.as_py()):
-                    row = {"path": path.as_py(), "offset": at, "length": size}
-                    if isinstance(got, str):
-                        row["gap"] = got
-                    else:
-                        h, (head, _, body) = got.headers, got.block.partition(b"\r\n\r\n")
-                        told = [x.split(b":", 1)[1].strip() for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")]
-                        row |= {
-                            "record_type": h.get("warc-type"), "record_id": h.get("warc-record-id", "").strip("<>"), "uri": h.get("warc-target-uri"), "date": h.get("warc-date"),
-                            "refers_to": h["warc-refers-to"].strip("<>") if "warc-refers-to" in h else None, "payload_digest": h.get("warc-payload-digest", "").removeprefix("sha1:") or None,
-                            "payload_bytes": int(told[0]) if told and told[0].isdigit() else None, "payload": body,
-                        }
-                        if row["record_type"] == "response" and row["payload_digest"] not in (None, digest(body)):
-                            row = {"path": row["path"], "offset": at, "length": size, "gap": "bad payload digest"}
-                    rows.append(row)
-                    held += len(row.get("payload") or b"")
-                    if held >= FILE_BYTES:
-                        yield pa.RecordBatch.from_pylist(rows, schema=arrow)
-                        rows, held = [], 0
+                with stream:
+                    for found in salvage(stream):
+                        rows.append(_row(path, *found))
+                        held += len(rows[-1].get("payload") or b"")
+                        if held >= BATCH or len(rows) >= 10_000:
+                            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                            rows, held = [], 0
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
@@ -210,17 +250,24 @@ def read_archives(spark: SparkSession, folder: str, only: DataFrame | None = Non
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(folder)
     if only is not None:
         files = files.withColumn("name", F.element_at(F.split("path", "/"), -1)).join(small(only.select("name")), "name", "left_semi")
-    return files.select("path", "content").mapInArrow(run, SCHEMA)
+    return files.select("path", *["content"] * through_spark).mapInArrow(run, SCHEMA)
+
+
+def logged(read: DataFrame, log: str) -> DataFrame:
+    """The records of read (what read_archives gives, staged). Its gaps are added to the table at ``log``: path, offset,
+    length, reason."""
+    read.where("gap IS NOT NULL").select("path", "offset", "length", F.col("gap").alias("reason")).coalesce(1).write.mode("append").parquet(log)
+    return read.where("gap IS NULL").drop("gap")
 
 
 def with_first(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """pages (page_id, url, html) with the id of the page that each revisits, or null. Payloads are grouped by hash and
-    length, summed before they are shuffled; only ids of revisits are joined back."""
-    seen = pages.select("page_id", F.sha2(F.coalesce("html", F.lit("")), 256).alias("h"), F.octet_length(F.coalesce("html", F.lit(""))).alias("n"))
-    seen = stage(seen, "warc-hashes")
-    first = seen.where(F.col("n") >= min_bytes).groupBy("h", "n").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    again = stage(seen.join(first, ["h", "n"]).where("page_id <> first").select("page_id", "first").distinct(), "warc-revisits")
-    return pages.join(small(again), "page_id", "left")
+    """pages (page_id, url, html) with ``first``, the id of the page that each revisits, or null. Payloads are grouped by
+    hash and length, which are summed before they are shuffled; only groups of several are joined back."""
+    payload = F.coalesce("html", F.lit(""))
+    seen = pages.select("*", F.sha2(payload, 256).alias("_h"), F.octet_length(payload).alias("_n"))
+    first = seen.where(F.col("_n") >= min_bytes).groupBy("_h", "_n").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("_c")).where("_c > 1").drop("_c")
+    found = seen.join(small(stage(first, "warc-copied")), ["_h", "_n"], "left").drop("_h", "_n")
+    return found.withColumn("first", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,7 +280,8 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     if files.isEmpty():
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
     page = lambda c: F.expr(f"try_cast(substring({c}, {len(ID) + 1}) AS bigint)")
-    return read_archives(spark, folder, files).where("gap IS NULL").select(
+    read = stage(read_archives(spark, folder, files).drop("payload"), "warc-read")
+    return logged(read, f"{folder}-gaps").select(
         page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to")
     )
 

@@ -60,6 +60,36 @@ def test_equal_payloads_are_stored_once(spark):
         assert r["record_type"] == ("response" if r["refers_to"] is None else "revisit")
 
 
+def test_repeated_and_null_ids(spark):
+    rows = [(1, "same"), (5, "same"), (5, "other"), (7, "other"), (None, "same"), (2, "two"), (6, "two"), (6, "same"), (None, "lone"), (None, "lone"), (9, "é" * 300_000)]
+    pages = spark.createDataFrame([(i, "u", h, "x") for i, h in rows], "page_id long, url string, html string, first string")
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    pages.write.parquet(f"{path}/pages.parquet")
+    first = {}
+    for i, h in rows:
+        first[h] = min((x for x in (i, first.get(h)) if x is not None), default=None)
+    want = sorted(((i, len(h.encode()), base64.b32encode(hashlib.sha1(h.encode()).digest()).decode(), first[h] if i != first[h] else None) for i, h in rows), key=str)
+    got = [(r["page_id"], r["payload_bytes"], r["payload_digest"], r["refers_to"]) for r in warc.op5_warc(spark, path).collect()]
+    assert sorted(got, key=str) == want
+
+
+def test_gaps_are_logged_and_large_files_streamed(spark, tmp_path):
+    parts = [warc.record("response", f"urn:x-page:{i}", "http://a/", random.Random(i).randbytes(200_000)) for i in range(12)]
+    zipped = [warc.member(x) for x in parts]
+    zipped[3] = zipped[3][:1000] + b"?" * 50 + zipped[3][1050:]
+    parts[5] = parts[5][:-30]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.warc.gz").write_bytes(b"".join(zipped))
+    (tmp_path / "in" / "b.warc").write_bytes(b"".join(parts))
+    for through_spark in (False, True):
+        read = warc.read_archives(spark, f"file://{tmp_path}/in", through_spark=through_spark)
+        log = f"file://{tmp_path}/gaps-{through_spark}"
+        records = warc.logged(read, log).select("path", "record_id", "payload_bytes").collect()
+        assert len(records) == 22
+        gaps = {r["path"][-7:]: (r["offset"], r["length"]) for r in spark.read.parquet(log).collect()}
+        assert gaps == {"warc.gz": (sum(map(len, zipped[:3])), len(zipped[3])), "/b.warc": (sum(map(len, parts[:5])), len(parts[5]))}
+
+
 def test_empty_table(spark):
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{path}/pages.parquet")
