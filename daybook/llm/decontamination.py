@@ -1,14 +1,14 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-A window of ``SPAN`` tokens is hashed under each fixed mask, which looks at some positions and ignores the others, so a
-substituted token leaves the hash of every mask alone that ignores its place; any two substitutions in a window leave
-some mask whole. The hashes of all windows of the benchmark are joined with those of all windows of the documents. Every
-hit says how the two texts would lie against each other, and there they are compared token by token. An overlap counts
-if at least ``MIN_MATCH`` of the item's tokens agree; or of ``LOCAL`` consecutive tokens of it; or of the item's tokens
-in order, where words were inserted or dropped, at offsets up to ``BAND`` from the lie. Items shorter than a window are
-compared wherever one of their first tokens stands, of as many that one must agree. Not found are overlaps of longer
-items without a window of at most two substitutions. The SQL has only whole items at one offset that ``MIN_HITS`` hits
-under ``MASKS`` propose, so it may lack rows.
+Fixed masks each look at four of at most six consecutive tokens and ignore those between, so a substituted token leaves
+the hash of every mask alone that ignores its place. The masks are all choices of four whose first is the first token:
+wherever four of six tokens agree, some mask sees just four of these. At least ``MIN_MATCH`` of an item of nine or more
+tokens can't agree without such a place, whichever tokens are substituted. The hashes of all places of the benchmark are
+joined with those of all places of the documents. Every hit says how the two texts would lie against each other, and
+there they are compared token by token. An overlap counts if at least ``MIN_MATCH`` of the item's tokens agree; or of
+``LOCAL`` consecutive tokens of it; or of the item's tokens in order, where words were inserted or dropped, at offsets up
+to ``BAND`` from the lie. Items of fewer than ``SHORT`` tokens are compared wherever one of their first tokens stands, of
+as many that one must agree. The SQL lacks overlaps in order only.
 
 Only DataFrame operations are used. A window is hashed in the scan's own stage, with no shuffle; only hits move, and
 they are summed before they do. Benchmark and lies are broadcast if they were counted and are small, else joined by
@@ -23,18 +23,17 @@ give no rows; a document or item without id is left out; extra columns are ignor
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daybook.llm.common import bare, fresh, small, stage, table
 
-SPAN = 9
-#: Six of nine positions each: what the lines of a 3 x 3 plane leave, so any two positions are ignored by one mask.
-SEEDS = ("000111111", "111000111", "111111000", "011011011", "101101101", "110110110", "011101110", "101110011", "110011101", "110101011", "011110101", "101011110")
-#: Of the SQL alone, as MIN_HITS.
-MASKS = ("111001011", "110110101", "101011011")
+SHORT = 9
+#: Places that each mask looks at: four of six, the first among them.
+MASKS = tuple((0, *rest) for rest in combinations(range(1, 6), 3))
 MIN_MATCH = 0.7
-MIN_HITS = 2
 #: Tokens of a local overlap, and offsets to both sides of a lie that tokens may agree at in order.
 LOCAL, BAND = 13, 3
 
@@ -46,14 +45,15 @@ def token_hashes(text: Column) -> Column:
 
 
 def _seeds(tokens: str, at: str) -> Column:
-    """The hashes of the window of column ``tokens`` that starts at column ``at``, one for each mask."""
+    """The hashes of the masks at place ``at`` of column ``tokens``, for as many as fit in what is left of it."""
     t, i = F.col(tokens), F.col(at)
-    return F.array(*[F.xxhash64(F.lit(m), *[F.get(t, i + k) for k, x in enumerate(mask) if x == "1"]) for m, mask in enumerate(SEEDS)])
+    seed = lambda m, mask: F.when(i + mask[-1] < F.size(t), F.xxhash64(F.lit(m), *[F.get(t, i + k) for k in mask]))
+    return F.array_compact(F.array(*[seed(m, mask) for m, mask in enumerate(MASKS)]))
 
 
 def _windows(texts: DataFrame, tokens: str) -> DataFrame:
-    """A row for each window and mask: what texts has, place, seed."""
-    places = texts.where(F.size(tokens) >= SPAN).withColumn("place", F.explode(F.sequence(F.lit(0), F.size(tokens) - SPAN)))
+    """A row for each place and mask: what texts has, place, seed."""
+    places = texts.withColumn("place", F.explode(F.sequence(F.lit(0), F.size(tokens) - 1))).where(F.col("place") >= 0)
     return places.withColumn("seed", F.explode(_seeds(tokens, "place")))
 
 
@@ -62,12 +62,12 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     docs: doc_id, text; items: item_id, text."""
     tests = stage(items.select("item_id", token_hashes(F.col("text")).alias("it")).where(F.size("it") > 0), "benchmark-items")
-    seeds = stage(_windows(tests, "it").select("seed", "item_id", F.col("place").alias("item_place")).distinct(), "benchmark-seeds")
+    seeds = stage(_windows(tests.where(F.size("it") >= SHORT), "it").select("seed", "item_id", F.col("place").alias("item_place")).distinct(), "benchmark-seeds")
     hashed = docs.select("doc_id", token_hashes(F.col("text")).alias("dt"))
-    hits = _windows(hashed, "dt").select("doc_id", "place", "seed").join(small(seeds), "seed")
+    hits = _windows(hashed.where(F.size("dt") > 0), "dt").select("doc_id", "place", "seed").join(small(seeds), "seed")
     lies = hits.select("doc_id", "item_id", (F.col("place") - F.col("item_place")).alias("start")).distinct()
     told = F.slice("it", F.lit(1), (F.size("it") - F.ceil(MIN_MATCH * F.size("it")) + 1).cast("int"))
-    brief = tests.where(F.size("it") < SPAN).select("item_id", F.posexplode(told).alias("k", "first"))
+    brief = tests.where(F.size("it") < SHORT).select("item_id", F.posexplode(told).alias("k", "first"))
     if not brief.isEmpty():
         places = hashed.select("doc_id", F.posexplode("dt").alias("place", "first"))
         lies = lies.unionByName(places.join(small(stage(brief, "benchmark-short")), "first").select("doc_id", "item_id", (F.col("place") - F.col("k")).alias("start")).distinct())
@@ -108,26 +108,35 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that overlap with no benchmark item."""
-    found = overlaps(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    """Pipeline stage: the documents that overlap with no benchmark item. Rows are told apart by two hashes of their text,
+    so it doesn't matter whether they have ids."""
+    own = F.struct(F.xxhash64("text").alias("x"), F.xxhash64(F.lit(1), "text").alias("y"))
+    found = overlaps(docs.where("text <> ''").select(own.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
     key = fresh("_leak", docs.columns)
     leaks = stage(found.select(F.col("doc_id").alias(key)).distinct(), "benchmark-leaks")
-    return docs.join(small(leaks), docs["doc_id"] == F.col(key), "left_anti")
+    return docs.join(small(leaks), own == F.col(key), "left_anti")
 
 
 def op6_sql() -> str:
     seeds = " UNION ALL ".join(
-        "SELECT id, p, {m} AS m, {k} AS seed, t FROM w".format(m=m, k=" || '|' || ".join(f"t[p + {k}]" for k, x in enumerate(mask) if x == "1")) for m, mask in enumerate(MASKS)
+        "SELECT id, p, {m} AS m, {k} AS seed FROM w WHERE p + {last} <= len(t)".format(m=m, last=mask[-1], k=" || '|' || ".join(f"t[p + {k}]" for k in mask)) for m, mask in enumerate(MASKS)
     )
-    side = rf"""(WITH t AS (SELECT {{id}} AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{{{L}}}}\p{{{{N}}}}]+'), lambda x: x <> '') AS t FROM {{table}}),
-      w AS (SELECT id, t, unnest(range(1, CAST(len(t) AS BIGINT) - {SPAN} + 2)) AS p FROM t WHERE len(t) >= {SPAN}) {seeds})"""
-    docs, items = (side.format(id=i, table=t).replace("{{", "{").replace("}}", "}") for i, t in (("doc_id", "documents"), ("item_id", "benchmark")))
+    cut = rf"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
+    side = lambda name, key: f"""{name}w AS (SELECT {key} AS id, t, unnest(range(1, CAST(len(t) AS BIGINT) + 1)) AS p FROM {name}),
+{name}s AS ({seeds.replace('FROM w', f'FROM {name}w')})"""
+    told = "len(list_filter(range(1, CAST(len(it) AS BIGINT) + 1), lambda k: k + s >= 1 AND coalesce(dt[k + s] = it[k], false)))"
+    near = f"""list_bool_or(list_transform(range(1, CAST(len(it) AS BIGINT) - {LOCAL} + 2), lambda f:
+          len(list_filter(range(f, f + {LOCAL}), lambda k: k + s >= 1 AND coalesce(dt[k + s] = it[k], false))) >= {MIN_MATCH} * {LOCAL}))"""
     return rf"""
-WITH d AS {docs}, b AS {items},
-h AS (SELECT d.id AS doc_id, b.id AS item_id, d.p - b.p AS s, any_value(d.t) AS dt, any_value(b.t) AS it FROM d JOIN b ON d.m = b.m AND d.seed = b.seed
-      GROUP BY 1, 2, 3 HAVING count(*) >= {MIN_HITS}),
-v AS (SELECT doc_id, item_id, s, len(it) AS n,
-        len(list_filter(range(1, CAST(len(it) AS BIGINT) + 1), lambda k: k + s >= 1 AND coalesce(dt[k + s] = it[k], false))) AS m FROM h),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY m DESC, s) AS r FROM v WHERE m >= {MIN_MATCH} * n)
+WITH d AS MATERIALIZED (SELECT doc_id, {cut} AS t FROM documents WHERE doc_id IS NOT NULL),
+b AS MATERIALIZED (SELECT item_id, {cut} AS t FROM benchmark WHERE item_id IS NOT NULL),
+{side('d', 'doc_id')},
+{side('b', 'item_id')},
+e AS (SELECT item_id AS id, unnest(range(1, CAST(len(t) - ceil({MIN_MATCH} * len(t)) AS BIGINT) + 2)) AS p, t FROM b WHERE len(t) BETWEEN 1 AND {SHORT - 1}),
+h AS (SELECT ds.id AS doc_id, bs.id AS item_id, ds.p - bs.p AS s FROM ds JOIN bs ON ds.m = bs.m AND ds.seed = bs.seed WHERE bs.id NOT IN (SELECT id FROM e)
+      UNION SELECT dw.id, e.id, dw.p - e.p FROM dw JOIN e ON dw.t[dw.p] = e.t[e.p]),
+l AS (SELECT DISTINCT h.doc_id, h.item_id, s, d.t AS dt, b.t AS it FROM h JOIN d USING (doc_id) JOIN b USING (item_id)),
+v AS (SELECT doc_id, item_id, s, len(it) AS n, {told} AS m, len(it) >= {LOCAL} AND coalesce({near}, false) AS near FROM l),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY m >= {MIN_MATCH} * n DESC, m DESC, s) AS r FROM v WHERE m >= {MIN_MATCH} * n OR near)
 SELECT doc_id, item_id, CAST(s AS BIGINT) AS start, CAST(n AS BIGINT) AS n_tokens, CAST(m AS BIGINT) AS n_match FROM r WHERE r = 1
 """

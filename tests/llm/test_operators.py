@@ -277,6 +277,37 @@ def test_local_and_broken_overlaps_are_found(spark):
     assert got[0, 0] == 40 and got[1, 0] == 25 and [got[i, 4] for i, (k, _) in enumerate(docs) if k == 4] == [20, 19]
 
 
+def test_recall_at_the_least_match(spark):
+    """Every length and as many random substitutions as MIN_MATCH admits: each overlap is found, and nothing else."""
+    rng = random.Random(17)
+    items, docs = [], []
+    for n in [*range(1, 41), 60]:
+        for _ in range(4):
+            item = prose(rng, n, 10**7).split()
+            w = item.copy()
+            for at in rng.sample(range(n), n - math.ceil(decontamination.MIN_MATCH * n)):
+                w[at] = f"y{rng.randrange(10**7)}"
+            items.append(" ".join(item))
+            docs.append(" ".join([prose(rng, 20, 10**7), *w, prose(rng, 20, 10**7)]))
+    docs += [prose(rng, 60, 10**7) for _ in range(50)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.overlaps(df, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    assert got == {(i, i) for i in range(len(items))}
+
+
+def test_masks_meet_every_pattern():
+    for n in range(decontamination.SHORT, 19):
+        for gone in itertools.combinations(range(n), n - math.ceil(decontamination.MIN_MATCH * n)):
+            left = set(range(n)) - set(gone)
+            assert any(all(p + k in left for k in mask) for p in left for mask in decontamination.MASKS)
+
+
+def test_documents_without_id_are_dropped_too(spark, tables):
+    path, _, items = tables
+    docs = spark.createDataFrame([(None, items[0][1], "x"), (None, "clean words alone", "y"), (7, None, "z")], "doc_id long, text string, _leak string")
+    assert {r["_leak"] for r in decontamination.drop_leaks(spark, docs, path).collect()} == {"y", "z"}
+
+
 def test_license_scan(spark):
     apache = "Licensed under the Apache License, Version 2.0."
     gpl = "This work is licensed under the GNU General Public License, version 3."
