@@ -9,12 +9,12 @@ a passage that many documents share is not joined on while a document has enough
 may have a partner in the band below joins there too. A set with too few filled blocks also joins with each shingle as
 a block of its own.
 
-Every set also has a long parity sketch of two to four bits for each shingle, whose Hamming distance never exceeds the
+Every set also has a long parity sketch of four to eight bits for each shingle, whose Hamming distance never exceeds the
 true difference; a pair is verified on whole sets only where the sketches allow it. Blocks with up to ``FULL`` sets give
 all their pairs. Of a fuller block each set is first held against one of its sets only. A pair that meets in full blocks
-alone meets there ``SHARED`` times, so sets with fewer full blocks are done with; of the others those that the links so
-far leave in different components are compared by their long sketches, in squares of a bounded size, until no block has
-a pair that is neither joined nor excluded. Every link is verified on the whole sets. Equal sets are one node throughout.
+alone meets there ``SHARED`` times, so sets with fewer full blocks are done with, and the others leave out the last
+``SHARED - 1`` of theirs; those that the links so far leave in different components are compared by their long sketches,
+in squares of a bounded size, until no block has a pair that is neither joined nor excluded. Every link is verified on the whole sets. Equal sets are one node throughout.
 
 ``near_components`` verifies what connects its components: a pair whose ends are already joined by others isn't looked
 at. ``near_links`` verifies every pair, and gives all links between different sets and the documents of each set.
@@ -64,8 +64,8 @@ def _signature(s: np.ndarray) -> tuple[int, int]:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Parity bits of the set: two to four for each shingle. Halves of a longer sketch XOR to the shorter one."""
-    bits = 2 << max(7, len(s).bit_length())
+    """Parity bits of the set: four to eight for each shingle. Halves of a longer sketch XOR to the shorter one."""
+    bits = 4 << max(6, len(s).bit_length())
     return np.packbits((np.bincount((s >> U(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
@@ -356,7 +356,9 @@ def candidates(docs: DataFrame, stars: bool = True) -> Candidates:
     side = lambda c, r, i: known.select(F.col("s1").alias(c), F.col("rep").alias(r), F.col("n").alias(f"n{i}"), F.col("sketch").alias(f"k{i}"))
     pairs = signs.distinct().join(side("a", "ra", "x"), "a").join(side("b", "rb", "y"), "b").where("4 * least(nx, ny) >= 3 * greatest(nx, ny) AND ra <> rb")
     pairs = allowed(pairs.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), "nx", "ny", "kx", "ky"))
-    members = full.join(small(crowded.where("full >= need").select("s1")), "s1", "left_semi").join(known.select("s1", "rep"), "s1").select("key", F.col("rep").alias("id")).distinct()
+    last = F.row_number().over(Window.partitionBy("s1").orderBy(F.desc("key")))
+    members = full.select("key", "s1").distinct().join(small(crowded.where("full >= need").select("s1", F.col("need").alias("least"))), "s1").withColumn("last", last)
+    members = members.where("last >= least").join(known.select("s1", "rep"), "s1").select("key", F.col("rep").alias("id")).distinct()
     return Candidates(facts, known, stage(pairs, "jaccard-pairs"), members)
 
 
