@@ -1,15 +1,19 @@
-"""Language-model scoring by Katz backoff with bigrams.
-
-A bigram seen c times in the training documents has the probability d(c) c / c(context), where d is Good-Turing's
-discount; what the discounts free is given to the words not seen after the context, in proportion to their unigram
-probability, and the backoff weight of each context makes its probabilities add up to one exactly. Unigrams are
-discounted alike, and what they free is the probability of an unknown word. A text begins after an end token.
-
-The counts are tables partitioned by the hash of the context. Documents are worked on in blocks of rows; a block asks
-each partition once for all its distinct n-grams, by a packed message, and gets their counts back in the order asked,
-in files by block in the shared folder. The same message brings its training counts. So the model is never in one
-place: two exchanges, unigrams and bigrams, each as large as the blocks' distinct n-grams. A context with more than
-``CONTEXT`` tokens is split over several partitions, and a block asks all of them for their share of its sums.
+"""Language-model scoring by Katz backoff, of any order (``ORDER`` words a gram).
+
+A gram seen n times in the training documents has the probability d(n) n / n(context), where d is Good-Turing's discount
+for its order; what the discounts free is given to the words not seen after the context, in proportion to their
+probability one order lower, and the backoff weight of each context makes its probabilities add up to one exactly. A
+context not seen in training says nothing: then the lower order holds. So each token's probability is found from the
+words up, order by order. Unigrams are discounted alike, and what they free is the probability of an unknown word. A
+text begins after end tokens.
+
+The counts are tables partitioned by the hash of the context. Documents are worked on in blocks of rows; for each order a
+block asks each partition once for all its distinct grams, by a packed message, and gets their counts back in the order
+asked, in files by block in the shared folder. The same message brings its training counts. So the model is never in one
+place: one exchange for each order, as large as the blocks' distinct grams. Words are named by numbers that the first
+exchange deals out, frequent ones small. A context that occurs once in all documents has its one successor in the block
+that knows it, so nothing is asked about it at a higher order. A context with more than ``CONTEXT`` tokens is split over
+several partitions, and a block asks all of them for their share of its sums.
 
 Texts come from a table's files (a staged one, where docs is not a plain scan), so that a block is the same rows each
 time it is read. Defined cases: null and empty texts are the end token alone; a null doc_id is training; rows that
@@ -38,24 +42,31 @@ from pyspark.sql import functions as F
 from daybook.llm.common import shared_dir, table
 from daybook.llm.tokens import U, mix, text_chunks, word_hashes
 
+ORDER = 3
 END = U(1)
-#: Bytes of text in a block, text for each partition of unigrams and of bigrams, tokens of a context in one partition.
-BLOCK, UNIGRAMS, BIGRAMS, CONTEXT = 8 << 20, 32 << 20, 16 << 20, 2_000_000
+#: The numbers of the end token and of no word; other words have larger ones.
+END_ID, NO_WORD = 1, 0
+#: Bytes of text in a block, text for each partition of unigrams and of longer grams, tokens of a context in one partition.
+BLOCK, UNIGRAMS, GRAMS, CONTEXT = 8 << 20, 32 << 20, 16 << 20, 2_000_000
 #: Counts up to this are discounted.
 DISCOUNTED = 5
-LOW48 = U((1 << 48) - 1)
 
 
-def packed(x: np.ndarray, planes: int = 8) -> bytes:
+def packed(x: np.ndarray) -> bytes:
     """64-bit values byte plane by byte plane, compressed: sorted or small ones take a fraction of their size."""
-    return zstandard.compress(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :planes].T).tobytes(), 1)
+    return zstandard.compress(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def unpacked(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(b), np.uint8).reshape(8, -1).T).reshape(-1).view("<u8")
 
 
-def unpacked(b: bytes, planes: int = 8) -> np.ndarray:
-    raw = np.frombuffer(zstandard.decompress(b), np.uint8).reshape(planes, -1)
-    out = np.zeros((raw.shape[1], 8), np.uint8)
-    out[:, :planes] = raw.T
-    return out.reshape(-1).view("<u8")
+def bits(x: np.ndarray) -> bytes:
+    return zstandard.compress(np.packbits(x).tobytes(), 1)
+
+
+def unbits(b: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(zstandard.decompress(b), np.uint8), count=n).astype(bool)
 
 
 def is_training(doc_ids: pa.Array) -> np.ndarray:
@@ -103,20 +114,23 @@ class Unigrams:
 
 @dataclass
 class Block:
-    """Rows of documents as tokens: the distinct ones (sorted), and for each token its index and that of its context."""
+    """Rows of documents as tokens: the distinct ones (sorted), and for each token its index in them."""
 
     key: str
     ids: pa.Array
     training: np.ndarray
     words: np.ndarray
     token: np.ndarray
-    context: np.ndarray
     first: np.ndarray
 
+    @property
+    def lengths(self) -> np.ndarray:
+        return np.diff(np.append(self.first, len(self.token)))
+
     @property
     def counted(self) -> np.ndarray:
         """For each token, whether its document is training."""
-        return np.repeat(self.training, np.diff(np.append(self.first, len(self.token))))
+        return np.repeat(self.training, self.lengths)
 
 
 def _block(key: str, ids: list[pa.Array], texts: list[pa.Array]) -> Block:
@@ -129,9 +143,8 @@ def _block(key: str, ids: list[pa.Array], texts: list[pa.Array]) -> Block:
     h, n = np.concatenate(hashes), np.concatenate(lengths)
     tokens = np.full(len(h) + len(n), END)
     tokens[np.arange(len(h)) + np.repeat(np.arange(len(n)), n)] = h
-    words, at = np.unique(np.append(tokens, END), return_inverse=True)
-    at = at.astype(np.int64)
-    return Block(key, id_, is_training(id_), words, at[:-1], np.concatenate((at[-1:], at[:-2])), np.concatenate(([0], np.cumsum(n + 1)[:-1])).astype(np.int64))
+    words, at = np.unique(tokens, return_inverse=True)
+    return Block(key, id_, is_training(id_), words, at.astype(np.int64), np.concatenate(([0], np.cumsum(n + 1)[:-1])).astype(np.int64))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
@@ -192,148 +205,253 @@ def count_unigrams(docs: DataFrame, parts: int) -> tuple[Replies, Unigrams]:
     def answer(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
         words = [unpacked(r["words"]) for r in rows]
-        _, at = np.unique(np.concatenate(words), return_inverse=True)
+        known, at = np.unique(np.concatenate(words), return_inverse=True)
         total = np.bincount(at, np.concatenate([unpacked(r["n"]) for r in rows])).astype(np.int64)
-        told = total[at]
+        rank = np.empty(len(known), np.int64)
+        rank[np.lexsort((known, -total))] = np.arange(len(known))
+        name = np.where(known == END, END_ID, END_ID + 1 + rank * parts + rows[0]["part"])
         cuts = np.cumsum([0, *map(len, words)])
-        out = [{"block": r["block"], "part": r["part"], "n": packed(told[a:b])} for r, a, b in zip(rows, cuts[:-1], cuts[1:], strict=True)]
+        out = [{"block": r["block"], "part": r["part"], "n": packed(total[at[a:z]]), "name": packed(name[at[a:z]])} for r, a, z in zip(rows, cuts[:-1], cuts[1:], strict=True)]
         sums = [int(total.sum()), int((total > 0).sum()), *[int((total == k).sum()) for k in range(1, DISCOUNTED + 2)]]
         return pa.Table.from_pylist([*out, {"block": "sums", "part": rows[0]["part"], "sums": sums}], schema=answers)
 
     asked = pa.schema([("part", pa.int32()), ("block", pa.string()), ("words", pa.binary()), ("n", pa.binary())])
-    answers = pa.schema([("block", pa.string()), ("part", pa.int32()), ("n", pa.binary()), ("sums", pa.list_(pa.int64()))])
+    answers = pa.schema([("block", pa.string()), ("part", pa.int32()), ("n", pa.binary()), ("name", pa.binary()), ("sums", pa.list_(pa.int64()))])
     sent = _scan(docs).mapInArrow(ask, "part int, block string, words binary, n binary")
-    got = sent.groupBy("part").applyInArrow(answer, "block string, part int, n binary, sums array<long>")
-    replies, sums = _answered(got, "katz-unigrams")
+    got = sent.groupBy("part").applyInArrow(answer, "block string, part int, n binary, name binary, sums array<long>")
+    replies, sums = _answered(got, "katz-1")
     return replies, Unigrams(sums[0], sums[1], tuple(sums[2:]))
 
 
-def _word_counts(b: Block, replies: Replies, parts: int) -> np.ndarray:
-    part, n = (b.words % U(parts)).astype(np.int64), np.zeros(len(b.words), np.int64)
-    for p, r in replies.of(b).items():
-        n[part == p] = unpacked(r["n"])
-    return n
+@dataclass
+class Order:
+    """What tasks are told of an order above the first: where its answers lie, and its discounts."""
+
+    replies: Replies
+    parts: int
+    discounts: np.ndarray
+
+
+@dataclass
+class Model:
+    words: Replies
+    word_parts: int
+    unigrams: Unigrams
+    orders: list[Order]
+
+    def words_of(self, b: Block) -> tuple[np.ndarray, np.ndarray]:
+        """(training count, number) of each of the block's words."""
+        part = (b.words % U(self.word_parts)).astype(np.int64)
+        n, name = np.zeros(len(b.words), np.int64), np.zeros(len(b.words), np.int64)
+        for p, r in self.words.of(b).items():
+            n[part == p], name[part == p] = unpacked(r["n"]), unpacked(r["name"])
+        return n, name
 
 
 @dataclass
-class Pairs:
-    """The distinct bigrams of a block, sorted by context and word, and what a split context is asked besides."""
+class Grams:
+    """The distinct grams of one order that a block asks for, sorted by partition, context and word; after them, in the
+    same arrays, what a split context is asked besides. ``at``: each token's gram, -1 where nothing is asked about it;
+    ``token``: one token of each gram; ``key``, ``held_out`` and ``below``: of each context its hash, whether a document
+    that isn't training has it, and the tokens that its own lower context was seen with."""
 
-    code: np.ndarray
     at: np.ndarray
+    token: np.ndarray
     context: np.ndarray
     word: np.ndarray
     part: np.ndarray
+    key: np.ndarray
+    held_out: np.ndarray
+    below: np.ndarray
+
+    def messages(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(partition, its grams, where the runs of one context begin in them)."""
+        order = np.lexsort((self.context, self.part))
+        cuts = np.flatnonzero(np.diff(self.part[order], prepend=-1))
+        for a, z in zip(cuts, [*cuts[1:], len(order)], strict=True):
+            o = order[a:z]
+            yield int(self.part[o[0]]), o, np.flatnonzero(np.diff(self.context[o], prepend=-1))
+
+
+class Scorer:
+    """A block's probabilities, order by order. ``p``: of each gram of the order reached, ``at`` each token's gram in it,
+    ``n`` the grams' training counts, ``lone`` those that occur once in all documents, ``total`` each gram's context's."""
+
+    def __init__(self, b: Block, model: Model):
+        self.block, self.model, self.order = b, model, 1
+        self.n, self.name = model.words_of(b)
+        self.texts = self.n[np.searchsorted(b.words, END)]  # the training texts, and so the tokens that begin one
+        self.p, self.at = model.unigrams.probability(self.n), b.token
+        self.total = np.full(len(b.words), model.unigrams.tokens)
+        self.lone = np.zeros(len(b.words), bool)
+        self.key = mix(self.name.astype(U) + U(0x9E3779B97F4A7C15))
+        self.log = np.log10(self.p)[b.token] if model.unigrams.tokens else np.zeros(len(b.token))
+
+    def contexts(self) -> np.ndarray:
+        """For each token the gram before it, which is its context one order up; behind the last one, that of a text's
+        first token; -1 where the context occurs once."""
+        before = np.concatenate(([0], self.at[:-1]))
+        found = np.where((before >= 0) & ~self.lone[before], before, -1)
+        found[self.block.first] = len(self.n)
+        return found
+
+    def grams(self, parts: int) -> Grams:
+        b, context = self.block, self.contexts()
+        live = context >= 0
+        code, token, inverse = np.unique(context[live] * len(b.words) + b.token[live], return_index=True, return_inverse=True)
+        at = np.full(len(context), -1, np.int64)
+        at[live] = inverse
+        of, word = code // len(b.words), code % len(b.words)
+        size = len(self.n) + 1
+        held_out = np.zeros(size, bool)
+        held_out[context[live & ~b.counted]] = True
+        key = np.append(self.key, mix(np.array([self.order], U)))
+        split = 1 + np.append(self.n, self.texts) // CONTEXT
+        salt = self.name[word] % split[of]
+        wide = np.flatnonzero((split > 1) & (np.bincount(of, minlength=size) > 0))
+        every = np.concatenate([np.zeros(0, np.int64), *[np.arange(split[v]) for v in wide]])
+        of, salt = np.concatenate((of, np.repeat(wide, split[wide]))), np.concatenate((salt, every))
+        part = (mix(key[of] + mix(salt.astype(U))) % U(parts)).astype(np.int64)
+        below = np.zeros(size, np.int64)
+        below[of[: len(code)]] = self.total[self.at[np.flatnonzero(live)[token]]]
+        return Grams(at, np.flatnonzero(live)[token], of, np.concatenate((word, np.full(len(every), -1))), part, key, held_out, below)
+
+    def rise(self, own: Grams, order: Order) -> None:
+        """To the next order, by its answers."""
+        b, d = self.block, order.discounts
+        size, k = len(own.key), len(own.token)
+        n, lone = np.zeros(len(own.part), np.int64), np.zeros(len(own.part), bool)
+        seen, total, mass = np.zeros((DISCOUNTED, size)), np.zeros(size, np.int64), np.zeros(size)
+        replies = order.replies.of(b)
+        for part, o, starts in own.messages():
+            r, v = replies[part], own.context[o[starts]]
+            n[o], lone[o] = unpacked(r["n"]), unbits(r["lone"], len(o))
+            total[v] += unpacked(r["total"]).astype(np.int64)
+            for j in range(DISCOUNTED):
+                seen[j, v] += unpacked(r["seen"][j])
+            mass[v[own.held_out[v]]] += np.frombuffer(zstandard.decompress(r["mass"]))
+        n, lone, of, word = n[:k], lone[:k], own.context[:k], own.word[:k]
+        freed = ((1 - d[1 : DISCOUNTED + 1]) * np.arange(1, DISCOUNTED + 1)) @ seen
+        below = np.where(freed > 1e-9, total, total + 1)  # a context that frees nothing: as if it had one more, unknown, successor
+        freed = np.where(freed > 1e-9, freed, 1.0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            alpha = np.where(total > 0, freed / below / (1 - mass), 1.0)
+            p = np.where(n > 0, d[np.minimum(n, DISCOUNTED + 1)] * n / below[of], alpha[of] * self.p[self.at[own.token]])
+            # A context that occurs once is that of a training document, which has seen just this, or unknown in training.
+            once = d[1] if 1 - d[1] > 1e-9 else 0.5
+            live = own.at >= 0
+            self.log = np.where(live, np.log10(p)[np.where(live, own.at, 0)] if k else 0.0, np.where(b.counted, math.log10(once), self.log))
+        self.key = mix(own.key[of] ^ mix(self.name[word].astype(U) + U(self.order)))
+        self.n, self.lone, self.p, self.at, self.total = n, lone, p, own.at, below[of]
+        self.order += 1
+
+
+def climbed(b: Block, model: Model) -> Scorer:
+    """The block's scorer at the highest order that the model has."""
+    scorer = Scorer(b, model)
+    for order in model.orders:
+        scorer.rise(scorer.grams(order.parts), order)
+    return scorer
+
+
+def count_grams(docs: DataFrame, model: Model, parts: int) -> Order:
+    """The order above those that the model has."""
+    level = len(model.orders) + 2
+    lower = model.orders[-1].discounts if model.orders else None
 
-
-def _pairs(b: Block, n: np.ndarray, parts: int) -> Pairs:
-    code, at = np.unique(b.context * len(b.words) + b.token, return_inverse=True)
-    context, word = code // len(b.words), code % len(b.words)
-    split = 1 + n // CONTEXT
-    salt = (b.words[word] % split[context].astype(U)).astype(np.int64)
-    wide = np.flatnonzero((split > 1) & (np.bincount(context, minlength=len(b.words)) > 0))
-    context, salt = (np.concatenate((x, y)) for x, y in ((context, np.repeat(wide, split[wide])), (salt, np.concatenate([np.zeros(0, np.int64), *[np.arange(split[v]) for v in wide]]))))
-    part = (mix(b.words[context] + mix(salt.astype(U))) % U(parts)).astype(np.int64)
-    return Pairs(code, at, context, np.concatenate((word, np.full(len(context) - len(word), -1))), part)
-
-
-def count_bigrams(docs: DataFrame, words: Replies, unigrams: Unigrams, word_parts: int, parts: int) -> tuple[Replies, np.ndarray]:
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _blocks(batches):
-            n = _word_counts(b, words, word_parts)
-            pairs = _pairs(b, n, parts)
-            seen = np.bincount(pairs.at[b.counted], minlength=len(pairs.code))
-            seen = np.concatenate((seen, np.zeros(len(pairs.part) - len(seen), seen.dtype)))
-            low, c2 = np.append(b.words & LOW48, U(0))[pairs.word], np.append(n, 0)[pairs.word]
-            order = np.lexsort((pairs.context, pairs.part))
-            cuts = np.flatnonzero(np.diff(pairs.part[order], prepend=-1))
+            scorer = climbed(b, model)
+            own = scorer.grams(parts)
+            live = own.at >= 0
+            n = np.bincount(own.at[live & b.counted], minlength=len(own.part))
+            spare = np.bincount(own.at[live & ~b.counted], minlength=len(own.part))
+            name = np.append(scorer.name, NO_WORD)[own.word]
+            low = np.zeros(len(own.part), np.int64)
+            low[: len(own.token)] = scorer.n[scorer.at[own.token]]
             rows = []
-            for a, z in zip(cuts, [*cuts[1:], len(order)], strict=True):
-                o = order[a:z]
-                starts = np.flatnonzero(np.diff(pairs.context[o], prepend=-1))
-                rows.append({"part": int(pairs.part[o[0]]), "block": b.key, "contexts": packed(b.words[pairs.context[o[starts]]]), "runs": packed(np.diff(np.append(starts, len(o)))), "words": packed(low[o], 6), "c2": packed(c2[o]), "n": packed(seen[o])})
+            for part, o, starts in own.messages():
+                v = own.context[o[starts]]
+                rows.append({
+                    "part": part, "block": b.key, "contexts": packed(own.key[v]), "runs": packed(np.diff(np.append(starts, len(o)))), "asks": bits(own.held_out[v]), "below": packed(own.below[v]),
+                    "words": packed(name[o]), "low": packed(low[o]), "n": packed(n[o]), "spare": packed(spare[o]), "alone": 0,
+                })
+            rows[0]["alone"] = int((~live & b.counted).sum())
             yield pa.RecordBatch.from_pylist(rows, schema=asked)
 
     def answer(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
         contexts, runs = [unpacked(r["contexts"]) for r in rows], [unpacked(r["runs"]).astype(np.int64) for r in rows]
-        low = np.concatenate([unpacked(r["words"], 6) for r in rows])
+        joined = lambda name: np.concatenate([unpacked(r[name]) for r in rows]).astype(np.int64)
+        words = joined("words")
         which, where = np.unique(np.concatenate(contexts), return_inverse=True)
         context = np.repeat(where, np.concatenate(runs))
-        order = np.lexsort((low, context))
-        new = np.flatnonzero((np.diff(context[order], prepend=-1) != 0) | (np.diff(low[order], prepend=U(0)) != 0))
-        new = new if len(new) and new[0] == 0 else np.concatenate(([0], new))
-        total = np.add.reduceat(np.concatenate([unpacked(r["n"]) for r in rows])[order].astype(np.int64), new)
-        told = np.zeros(len(low), np.int64)
-        told[order] = np.repeat(total, np.diff(np.append(new, len(order))))
-        owner, c2 = context[order[new]], np.concatenate([unpacked(r["c2"]) for r in rows])[order[new]].astype(np.int64)
-        sums = [np.bincount(owner, total == k, minlength=len(which)).astype(np.int64) for k in range(1, DISCOUNTED + 1)]
-        mass = np.bincount(owner, np.where(total > 0, unigrams.probability(c2), 0), minlength=len(which))
+        order = np.lexsort((words, context))
+        new = np.flatnonzero((np.diff(context[order], prepend=-1) != 0) | (np.diff(words[order], prepend=-1) != 0))
+        add = lambda x: np.add.reduceat(x[order], new) if len(new) else np.zeros(0, np.int64)
+        total = add(joined("n"))
+        once = (total + add(joined("spare")) == 1) & (words[order[new]] != NO_WORD)
+        spread = np.diff(np.append(new, len(order)))
+        told, lone = np.zeros(len(words), np.int64), np.zeros(len(words), bool)
+        told[order], lone[order] = np.repeat(total, spread), np.repeat(once, spread)
+        owner, low = context[order[new]], joined("low")[order[new]]
+        if lower is None:
+            p = model.unigrams.probability(low)
+        else:
+            below = np.repeat(joined("below"), np.concatenate(runs))[order[new]]
+            p = lower[np.minimum(low, DISCOUNTED + 1)] * low / np.maximum(below, 1)
+        sums = [np.bincount(owner, total == j, minlength=len(which)).astype(np.int64) for j in range(1, DISCOUNTED + 1)]
+        every = np.bincount(owner, total, minlength=len(which)).astype(np.int64)
+        mass = np.bincount(owner, np.where(total > 0, p, 0), minlength=len(which))
         out, at, pos = [], 0, 0
         for r, run in zip(rows, runs, strict=True):
-            w, keys = where[pos : pos + len(run)], int(run.sum())
-            out.append({"block": r["block"], "part": r["part"], "n": packed(told[at : at + keys]), "seen": [packed(s[w]) for s in sums], "mass": zstandard.compress(mass[w].tobytes(), 1)})
-            at, pos = at + keys, pos + len(run)
-        numbers = [int((total == k).sum()) for k in range(1, DISCOUNTED + 2)]
+            w, size = where[pos : pos + len(run)], int(run.sum())
+            asks = w[unbits(r["asks"], len(run))]
+            out.append({
+                "block": r["block"], "part": r["part"], "n": packed(told[at : at + size]), "lone": bits(lone[at : at + size]), "total": packed(every[w]), "seen": [packed(x[w]) for x in sums],
+                "mass": zstandard.compress(mass[asks].tobytes(), 1),
+            })
+            at, pos = at + size, pos + len(run)
+        numbers = [int((total == j).sum()) for j in range(1, DISCOUNTED + 2)]
+        numbers[0] += sum(r["alone"] for r in rows)  # each is a gram of its own, seen once
         return pa.Table.from_pylist([*out, {"block": "sums", "part": rows[0]["part"], "sums": numbers}], schema=answers)
 
-    asked = pa.schema([("part", pa.int32()), ("block", pa.string()), *[(x, pa.binary()) for x in ("contexts", "runs", "words", "c2", "n")]])
-    answers = pa.schema([("block", pa.string()), ("part", pa.int32()), ("n", pa.binary()), ("seen", pa.list_(pa.binary())), ("mass", pa.binary()), ("sums", pa.list_(pa.int64()))])
-    sent = _scan(docs).mapInArrow(ask, "part int, block string, contexts binary, runs binary, words binary, c2 binary, n binary")
-    got = sent.groupBy("part").applyInArrow(answer, "block string, part int, n binary, seen array<binary>, mass binary, sums array<long>")
-    replies, sums = _answered(got, "katz-bigrams")
-    return replies, np.array(sums)
-
-
-def _log_probabilities(b: Block, n: np.ndarray, pairs: Pairs, replies: dict[int, dict], unigrams: Unigrams, d: np.ndarray) -> np.ndarray:
-    """log10 of the model's probability of each distinct bigram of the block."""
-    count = np.zeros(len(pairs.part), np.int64)
-    seen, mass = np.zeros((DISCOUNTED, len(b.words))), np.zeros(len(b.words))
-    order = np.lexsort((pairs.context, pairs.part))
-    cuts = np.flatnonzero(np.diff(pairs.part[order], prepend=-1))
-    for a, z in zip(cuts, [*cuts[1:], len(order)], strict=True):
-        o = order[a:z]
-        r = replies[int(pairs.part[o[0]])]
-        count[o] = unpacked(r["n"])
-        v = pairs.context[o[np.flatnonzero(np.diff(pairs.context[o], prepend=-1))]]
-        for k in range(DISCOUNTED):
-            np.add.at(seen[k], v, unpacked(r["seen"][k]))
-        np.add.at(mass, v, np.frombuffer(zstandard.decompress(r["mass"])))
-    c1 = n.astype(float)
-    rank = np.arange(1, DISCOUNTED + 1)
-    freed = ((1 - d[1 : DISCOUNTED + 1]) * rank) @ seen
-    below = np.where(freed > 1e-9, c1, c1 + 1)  # a context that frees nothing: as if it had one more, unknown, successor
-    freed = np.where(freed > 1e-9, freed, 1.0)
-    p1 = unigrams.probability(n)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        alpha = np.where(c1 > 0, freed / below / (1 - mass), 1.0)
-        k = len(pairs.code)
-        v, w, c = pairs.context[:k], pairs.word[:k], count[:k]
-        p = np.where(c > 0, d[np.minimum(c, DISCOUNTED + 1)] * c / below[v], alpha[v] * p1[w])
-        return np.log10(p)
+    fields = ("contexts", "runs", "asks", "below", "words", "low", "n", "spare")
+    asked = pa.schema([("part", pa.int32()), ("block", pa.string()), *[(x, pa.binary()) for x in fields], ("alone", pa.int64())])
+    answers = pa.schema([("block", pa.string()), ("part", pa.int32()), ("n", pa.binary()), ("lone", pa.binary()), ("total", pa.binary()), ("seen", pa.list_(pa.binary())), ("mass", pa.binary()), ("sums", pa.list_(pa.int64()))])
+    sent = _scan(docs).mapInArrow(ask, f"part int, block string, {', '.join(f'{x} binary' for x in fields)}, alone long")
+    got = sent.groupBy("part").applyInArrow(answer, "block string, part int, n binary, lone binary, total binary, seen array<binary>, mass binary, sums array<long>")
+    replies, sums = _answered(got, f"katz-{level}")
+    return Order(replies, parts, discounts(np.array(sums)))
 
 
-def score(docs: DataFrame) -> DataFrame:
+def train(docs: DataFrame, order: int = ORDER) -> Model:
+    """The model of docs, which has doc_id and text and is read from files: answers for its own blocks."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    word_parts, parts = 4 + size // UNIGRAMS, 4 + size // GRAMS
+    words, unigrams = count_unigrams(docs, word_parts)
+    model = Model(words, word_parts, unigrams, [])
+    for _ in range(2, order + 1):
+        model.orders.append(count_grams(docs, model, parts))
+    return model
+
+
+def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: a row for each row of docs, which has
     doc_id and text and is read from files. Training leaves out the documents with crc32(doc_id) mod 7 = 2."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    word_parts, pair_parts = 4 + size // UNIGRAMS, 4 + size // BIGRAMS
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     if docs.isEmpty():
         return docs.sparkSession.createDataFrame([], schema)
-    words, unigrams = count_unigrams(docs, word_parts)
-    pairs, numbers = count_bigrams(docs, words, unigrams, word_parts, pair_parts)
-    d = discounts(numbers)
+    model = train(docs, order)
+    told = model.unigrams
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _blocks(batches):
-            n = _word_counts(b, words, word_parts)
-            own = _pairs(b, n, pair_parts)
-            logs = _log_probabilities(b, n, own, pairs.of(b), unigrams, d)[own.at] if unigrams.tokens else np.zeros(len(b.token))
-            base = np.log10(n + 1.0)[b.token] - math.log10(unigrams.tokens + unigrams.distinct + 1)
-            lengths = np.diff(np.append(b.first, len(b.token)))
+            n, _ = model.words_of(b)
+            base = np.log10(n + 1.0)[b.token] - math.log10(told.tokens + told.distinct + 1)
+            logs = climbed(b, model).log if told.tokens else np.zeros(len(b.token))
             sums = lambda x: np.add.reduceat(x, b.first)
-            cols = [b.ids, pa.array(~b.training), pa.array(lengths), pa.array(sums((n[b.token] > 0).astype(np.int64))), pa.array(np.full(len(lengths), unigrams.tokens)), pa.array(sums(base)), pa.array(sums(logs))]
+            cols = [b.ids, pa.array(~b.training), pa.array(b.lengths), pa.array(sums((n[b.token] > 0).astype(np.int64))), pa.array(np.full(len(b.first), told.tokens)), pa.array(sums(base)), pa.array(sums(logs))]
             yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in schema.split(", ")])
 
     return _scan(docs).mapInArrow(run, schema)

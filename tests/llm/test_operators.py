@@ -349,50 +349,60 @@ def test_files_with_several_notices_get_all_labels(spark):
         assert all(0.99 < f["share"] <= 1 for i, labels in enumerate(several) for f in found[i]["found"] if f["label"] in labels)
 
 
-@pytest.mark.parametrize(("block", "context"), [(1 << 23, 2_000_000), (2000, 20)])
-def test_katz(spark, tables, monkeypatch, block, context):
+def katz_by_hand(docs, train, order):
+    """P(word | context before it) of the model of that order, by dictionaries."""
+    k, grams = katz.DISCOUNTED, [collections.Counter() for _ in range(order)]
+    for d, t in zip(docs, train, strict=True):
+        for i in range(len(d)):
+            for j in range(order):
+                grams[j][tuple(d[x] if x >= 0 else "</s>" for x in range(i - j, i + 1))] += t
+    grams = [collections.Counter({g: n for g, n in c.items() if n}) for c in grams]
+    once = [np.array([sum(x == r for x in c.values()) for r in range(1, k + 2)]) for c in grams]
+    uni, d = katz.Unigrams(sum(grams[0].values()), len(grams[0]), tuple(once[0].tolist())), [katz.discounts(x) for x in once]
+    after = collections.defaultdict(dict)
+    for c in grams[1:]:
+        for g, n in c.items():
+            after[g[:-1]][g[-1]] = n
+    held = {}
+
+    def p(context, word):
+        if not context:
+            return float(uni.probability(np.array([grams[0][(word,)]]))[0])
+        seen = after.get(context)
+        if not seen:
+            return p(context[1:], word)
+        own = d[len(context)]
+        if context not in held:
+            freed = sum((1 - own[min(n, k + 1)]) * n for n in seen.values())
+            total = sum(seen.values()) + (0 if freed > 1e-9 else 1)
+            held[context] = total, (freed if freed > 1e-9 else 1.0) / total / (1 - sum(p(context[1:], w) for w in seen))
+        total, alpha = held[context]
+        return own[min(seen[word], k + 1)] * seen[word] / total if word in seen else alpha * p(context[1:], word)
+
+    return p, collections.Counter({g[0]: n for g, n in grams[0].items()}), after
+
+
+@pytest.mark.parametrize(("order", "block", "context"), [(3, 1 << 23, 2_000_000), (3, 2000, 20), (4, 8000, 50), (1, 8000, 50)])
+def test_katz(spark, tables, monkeypatch, order, block, context):
     path, texts, _ = tables
-    for name, value in (("BLOCK", block), ("CONTEXT", context), ("UNIGRAMS", 20_000), ("BIGRAMS", 10_000)):
+    for name, value in (("BLOCK", block), ("CONTEXT", context), ("UNIGRAMS", 20_000), ("GRAMS", 10_000)):
         monkeypatch.setattr(katz, name, value)
-    got = by_id(katz.op8_katz(spark, path))
+    got = by_id(katz.score(spark.read.parquet(f"{path}/documents.parquet"), order))
     assert len(got) == len(texts)
     low = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
     docs = [[*WORD.findall(low(t)), "</s>"] for t in texts]
     train = [zlib.crc32(str(i).encode()) % 7 != 2 for i in range(len(texts))]
-    c1, c2 = collections.Counter(), collections.Counter()
-    for d, t in zip(docs, train, strict=True):
-        if t:
-            c1.update(d)
-            c2.update(zip(["</s>", *d[:-1]], d, strict=True))
-    n, v, k = sum(c1.values()), len(c1), katz.DISCOUNTED
-    once = lambda c: np.array([sum(x == r for x in c.values()) for r in range(1, k + 2)])
-    uni = katz.Unigrams(n, v, tuple(once(c1).tolist()))
-    d2 = katz.discounts(once(c2))
-    p1 = {w: float(uni.probability(np.array([c]))[0]) for w, c in c1.items()}
-    unknown = float(uni.probability(np.array([0]))[0])
-    assert abs(sum(p1.values()) + unknown - 1) < 1e-9
-    after = collections.defaultdict(dict)
-    for (a, b), c in c2.items():
-        after[a][b] = c
-
-    def p(a, b):
-        seen = after.get(a)
-        if not seen:
-            return p1.get(b, unknown)
-        freed = sum((1 - d2[min(c, k + 1)]) * c for c in seen.values())
-        total = c1[a] if freed > 1e-9 else c1[a] + 1
-        freed = freed if freed > 1e-9 else 1.0
-        if b in seen:
-            return d2[min(seen[b], k + 1)] * seen[b] / total
-        return freed / total / (1 - sum(p1[w] for w in seen)) * p1.get(b, unknown)
-
-    for a in list(after)[:20]:
-        assert abs(sum(p(a, b) for b in c1) + p(a, None) - 1) < 1e-9
+    p, c1, after = katz_by_hand(docs, train, order)
+    n, v = sum(c1.values()), len(c1)
+    for length in range(order):
+        for c in [x for x in [(), *after] if len(x) == length][:12]:
+            assert abs(sum(p(c, w) for w in c1) + p(c, None) - 1) < 1e-9
     for i, d in enumerate(docs):
         r = got[i]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (not train[i], len(d), sum(w in c1 for w in d), n)
         assert abs(r["base_score"] - sum(math.log10((c1[w] + 1) / (n + v + 1)) for w in d)) < 1e-6 * len(d)
-        assert abs(r["score"] - sum(math.log10(p(a, b)) for a, b in zip(["</s>", *d[:-1]], d, strict=True))) < 1e-6 * len(d)
+        full = ["</s>"] * (order - 1) + d
+        assert abs(r["score"] - sum(math.log10(p(tuple(full[j : j + order - 1]), w)) for j, w in enumerate(d))) < 1e-6 * len(d)
 
 
 def test_packing(spark, tables):
