@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daybook.llm.common import shared_dir, table
+from daybook.llm.common import shared_dir, shuffles_freed, table
 from daybook.llm.tokens import U, mix, text_chunks, word_hashes
 
 ORDER = 3
@@ -61,6 +61,16 @@ def unpacked(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.decompress(b), np.uint8).reshape(8, -1).T).reshape(-1).view("<u8")
 
 
+def steps(x: np.ndarray) -> bytes:
+    """Ascending values, by their differences."""
+    x = x.astype("<u8")
+    return packed(np.diff(x, prepend=x[:1] * U(0)))
+
+
+def summed(b: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(b), dtype="<u8")
+
+
 def bits(x: np.ndarray) -> bytes:
     return zstandard.compress(np.packbits(x).tobytes(), 1)
 
@@ -94,11 +104,13 @@ def discounts(seen: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Unigrams:
-    """tokens, distinct: of the training documents; once: how many tokens are seen 1, 2, ... times."""
+    """tokens, distinct: of the training documents; once: how many tokens are seen 1, 2, ... times; large: whether some
+    word's number needs more than 32 bits."""
 
     tokens: int
     distinct: int
     once: tuple[int, ...]
+    large: bool = False
 
     def probability(self, c: np.ndarray) -> np.ndarray:
         """Of a word seen c times; of the unknown word where c is 0."""
@@ -185,7 +197,8 @@ def _answered(answers: DataFrame, label: str) -> tuple[Replies, list[int]]:
     """Writes answers by block; the sums of what the partitions counted."""
     spark = answers.sparkSession
     folder = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
-    answers.repartition("block").write.partitionBy("block").parquet(folder)
+    with shuffles_freed(spark):
+        answers.repartition("block").write.partitionBy("block").parquet(folder)
     told = spark.read.schema(answers.schema).parquet(folder).where("block = 'sums'").select(F.posexplode("sums").alias("i", "n"))
     return Replies(folder), [int(r["n"]) for r in told.groupBy("i").agg(F.sum("n").alias("n")).orderBy("i").collect()]
 
@@ -212,7 +225,7 @@ def count_unigrams(docs: DataFrame, parts: int) -> tuple[Replies, Unigrams]:
         name = np.where(known == END, END_ID, END_ID + 1 + rank * parts + rows[0]["part"])
         cuts = np.cumsum([0, *map(len, words)])
         out = [{"block": r["block"], "part": r["part"], "n": packed(total[at[a:z]]), "name": packed(name[at[a:z]])} for r, a, z in zip(rows, cuts[:-1], cuts[1:], strict=True)]
-        sums = [int(total.sum()), int((total > 0).sum()), *[int((total == k).sum()) for k in range(1, DISCOUNTED + 2)]]
+        sums = [int(total.sum()), int((total > 0).sum()), *[int((total == k).sum()) for k in range(1, DISCOUNTED + 2)], int(name.max() >= 1 << 32)]
         return pa.Table.from_pylist([*out, {"block": "sums", "part": rows[0]["part"], "sums": sums}], schema=answers)
 
     asked = pa.schema([("part", pa.int32()), ("block", pa.string()), ("words", pa.binary()), ("n", pa.binary())])
@@ -220,7 +233,7 @@ def count_unigrams(docs: DataFrame, parts: int) -> tuple[Replies, Unigrams]:
     sent = _scan(docs).mapInArrow(ask, "part int, block string, words binary, n binary")
     got = sent.groupBy("part").applyInArrow(answer, "block string, part int, n binary, name binary, sums array<long>")
     replies, sums = _answered(got, "katz-1")
-    return replies, Unigrams(sums[0], sums[1], tuple(sums[2:]))
+    return replies, Unigrams(sums[0], sums[1], tuple(sums[2:-1]), sums[-1] > 0)
 
 
 @dataclass
@@ -250,22 +263,26 @@ class Model:
 
 @dataclass
 class Grams:
-    """The distinct grams of one order that a block asks for, sorted by partition, context and word; after them, in the
-    same arrays, what a split context is asked besides. ``at``: each token's gram, -1 where nothing is asked about it;
-    ``token``: one token of each gram; ``key``, ``held_out`` and ``below``: of each context its hash, whether a document
-    that isn't training has it, and the tokens that its own lower context was seen with."""
+    """What a block asks of one order. Of each token ``at``: its gram, -1 where that occurs once; ``of``: its context, -1
+    where that occurs once. Of each question context, word (-1 for what a context is asked besides) and part; the first
+    ``len(token)`` are the distinct grams, and ``token`` is one token of each. Of each context its key, whether a document
+    that isn't training has it, its training tokens whose gram occurs once, the tokens that its own lower context was
+    seen with, and the partition that is told of these."""
 
     at: np.ndarray
-    token: np.ndarray
+    of: np.ndarray
     context: np.ndarray
     word: np.ndarray
     part: np.ndarray
+    token: np.ndarray
     key: np.ndarray
     held_out: np.ndarray
+    spare: np.ndarray
     below: np.ndarray
+    home: np.ndarray
 
     def messages(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(partition, its grams, where the runs of one context begin in them)."""
+        """(partition, its questions, where the runs of one context begin in them)."""
         order = np.lexsort((self.context, self.part))
         cuts = np.flatnonzero(np.diff(self.part[order], prepend=-1))
         for a, z in zip(cuts, [*cuts[1:], len(order)], strict=True):
@@ -274,55 +291,61 @@ class Grams:
 
 
 class Scorer:
-    """A block's probabilities, order by order. ``p``: of each gram of the order reached, ``at`` each token's gram in it,
-    ``n`` the grams' training counts, ``lone`` those that occur once in all documents, ``total`` each gram's context's."""
+    """A block's log10 probabilities, order by order. Of each token of the order reached: its gram (``at``), whether that
+    occurs once in all documents (``lone``, then ``at`` means nothing), and the tokens that its context was seen with
+    (``under``); ``n``: the grams' training counts. Words are in the order of their numbers."""
 
     def __init__(self, b: Block, model: Model):
-        self.block, self.model, self.order = b, model, 1
-        self.n, self.name = model.words_of(b)
-        self.texts = self.n[np.searchsorted(b.words, END)]  # the training texts, and so the tokens that begin one
-        self.p, self.at = model.unigrams.probability(self.n), b.token
-        self.total = np.full(len(b.words), model.unigrams.tokens)
-        self.lone = np.zeros(len(b.words), bool)
-        self.key = mix(self.name.astype(U) + U(0x9E3779B97F4A7C15))
-        self.log = np.log10(self.p)[b.token] if model.unigrams.tokens else np.zeros(len(b.token))
-
-    def contexts(self) -> np.ndarray:
-        """For each token the gram before it, which is its context one order up; behind the last one, that of a text's
-        first token; -1 where the context occurs once."""
-        before = np.concatenate(([0], self.at[:-1]))
-        found = np.where((before >= 0) & ~self.lone[before], before, -1)
-        found[self.block.first] = len(self.n)
-        return found
+        self.block, self.unigrams, self.order = b, model.unigrams, 1
+        n, name = model.words_of(b)
+        by_name = np.argsort(name)
+        place = np.empty(len(name), np.int64)
+        place[by_name] = np.arange(len(name))
+        self.n, self.name, self.token = n[by_name], name[by_name], place[b.token]
+        self.counted = b.counted
+        self.texts = int(self.n[0])  # the end token's: the training texts, and so the tokens that begin one
+        self.at, self.lone, self.under = self.token, np.zeros(len(b.token), bool), np.full(len(b.token), model.unigrams.tokens)
+        self.key, self.start = self.name.astype(U), U(END_ID)
+        self.log = np.log10(model.unigrams.probability(self.n))[self.token]
+
+    def _longer(self, key: np.ndarray, name: np.ndarray) -> np.ndarray:
+        """The key of a gram of the order that is next, as a context: two numbers side by side, or else a hash."""
+        if self.order == 2 and not self.unigrams.large:
+            return (key << U(32)) | name.astype(U)
+        return mix(mix(key + U(self.order)) ^ mix(name.astype(U)))
 
     def grams(self, parts: int) -> Grams:
-        b, context = self.block, self.contexts()
-        live = context >= 0
-        code, token, inverse = np.unique(context[live] * len(b.words) + b.token[live], return_index=True, return_inverse=True)
-        at = np.full(len(context), -1, np.int64)
-        at[live] = inverse
-        of, word = code // len(b.words), code % len(b.words)
-        size = len(self.n) + 1
-        held_out = np.zeros(size, bool)
-        held_out[context[live & ~b.counted]] = True
-        key = np.append(self.key, mix(np.array([self.order], U)))
+        size = len(self.n) + 1  # the last context is that of a text's first token
+        of = np.concatenate(([0], np.where(self.lone[:-1], -1, self.at[:-1])))
+        of[self.block.first] = size - 1
+        live = of >= 0
+        asked = np.flatnonzero(live & ~self.lone)
+        code, token, inverse = np.unique(of[asked] * len(self.name) + self.token[asked], return_index=True, return_inverse=True)
+        token = asked[token]
+        at = np.full(len(of), -1, np.int64)
+        at[asked] = inverse
+        context, word = code // len(self.name), code % len(self.name)
+        key = np.append(self.key, self.start)
+        spare = np.bincount(of[live & self.lone & self.counted], minlength=size)
+        held_out, known, below = np.zeros(size, bool), np.zeros(size, bool), np.zeros(size, np.int64)
+        held_out[of[live & ~self.counted]] = True
+        known[of[live]] = True
+        below[of[live]] = self.under[live]
         split = 1 + np.append(self.n, self.texts) // CONTEXT
-        salt = self.name[word] % split[of]
-        wide = np.flatnonzero((split > 1) & (np.bincount(of, minlength=size) > 0))
-        every = np.concatenate([np.zeros(0, np.int64), *[np.arange(split[v]) for v in wide]])
-        of, salt = np.concatenate((of, np.repeat(wide, split[wide]))), np.concatenate((salt, every))
-        part = (mix(key[of] + mix(salt.astype(U))) % U(parts)).astype(np.int64)
-        below = np.zeros(size, np.int64)
-        below[of[: len(code)]] = self.total[self.at[np.flatnonzero(live)[token]]]
-        return Grams(at, np.flatnonzero(live)[token], of, np.concatenate((word, np.full(len(every), -1))), part, key, held_out, below)
+        # Each partition of a split context is asked for its share; a context without grams here is asked for its sums.
+        besides = np.flatnonzero(known & ((split > 1) | (np.bincount(context, minlength=size) == 0)))
+        salt = np.concatenate((self.name[word] % split[context], *[np.arange(split[v]) for v in besides[split[besides] > 1]], np.zeros(int((split[besides] == 1).sum()), np.int64)))
+        context = np.concatenate((context, np.repeat(besides[split[besides] > 1], split[besides[split[besides] > 1]]), besides[split[besides] == 1]))
+        dealt = lambda of, salt: (mix(key[of] + mix(salt.astype(U))) % U(parts)).astype(np.int64)
+        word = np.concatenate((word, np.full(len(context) - len(word), -1)))
+        return Grams(at, of, context, word, dealt(context, salt), token, key, held_out, spare, below, dealt(np.arange(size), np.zeros(size)))
 
     def rise(self, own: Grams, order: Order) -> None:
         """To the next order, by its answers."""
-        b, d = self.block, order.discounts
-        size, k = len(own.key), len(own.token)
+        d, size, k = order.discounts, len(own.key), len(own.token)
         n, lone = np.zeros(len(own.part), np.int64), np.zeros(len(own.part), bool)
         seen, total, mass = np.zeros((DISCOUNTED, size)), np.zeros(size, np.int64), np.zeros(size)
-        replies = order.replies.of(b)
+        replies = order.replies.of(self.block)
         for part, o, starts in own.messages():
             r, v = replies[part], own.context[o[starts]]
             n[o], lone[o] = unpacked(r["n"]), unbits(r["lone"], len(o))
@@ -330,20 +353,24 @@ class Scorer:
             for j in range(DISCOUNTED):
                 seen[j, v] += unpacked(r["seen"][j])
             mass[v[own.held_out[v]]] += np.frombuffer(zstandard.decompress(r["mass"]))
-        n, lone, of, word = n[:k], lone[:k], own.context[:k], own.word[:k]
+        n, lone, context, word = n[:k], lone[:k], own.context[:k], own.word[:k]
         freed = ((1 - d[1 : DISCOUNTED + 1]) * np.arange(1, DISCOUNTED + 1)) @ seen
         below = np.where(freed > 1e-9, total, total + 1)  # a context that frees nothing: as if it had one more, unknown, successor
         freed = np.where(freed > 1e-9, freed, 1.0)
         with np.errstate(divide="ignore", invalid="ignore"):
-            alpha = np.where(total > 0, freed / below / (1 - mass), 1.0)
-            p = np.where(n > 0, d[np.minimum(n, DISCOUNTED + 1)] * n / below[of], alpha[of] * self.p[self.at[own.token]])
-            # A context that occurs once is that of a training document, which has seen just this, or unknown in training.
-            once = d[1] if 1 - d[1] > 1e-9 else 0.5
-            live = own.at >= 0
-            self.log = np.where(live, np.log10(p)[np.where(live, own.at, 0)] if k else 0.0, np.where(b.counted, math.log10(once), self.log))
-        self.key = mix(own.key[of] ^ mix(self.name[word].astype(U) + U(self.order)))
-        self.n, self.lone, self.p, self.at, self.total = n, lone, p, own.at, below[of]
+            weight = np.log10(np.where(total > 0, freed / below / (1 - mass), 1.0))
+            seen_log = np.log10(d[np.minimum(n, DISCOUNTED + 1)] * n / below[context])
+        log = np.where(n > 0, seen_log, weight[context] + self.log[own.token])
+        live, inside = own.of >= 0, own.at >= 0
+        at, of = np.where(inside, own.at, 0), np.where(live, own.of, 0)
+        # A gram that occurs once is seen once by a training document, and not in training by another. So is a context.
+        first = math.log10(d[1])
+        once = np.where(live, first - np.log10(np.maximum(below[of], 1)), first if 1 - d[1] > 1e-9 else first - math.log10(2))
+        spare = np.where(self.counted, once, self.log + np.where(live, weight[of], 0.0))
+        self.log = np.where(inside, log[at] if k else 0.0, spare)
         self.order += 1
+        self.key, self.start = self._longer(own.key[context], self.name[word]), self._longer(np.array([self.start], U), np.array([END_ID]))[0]
+        self.n, self.at, self.lone, self.under = n, own.at, np.where(inside, lone[at] if k else True, True), np.where(live, below[of], 0)
 
 
 def climbed(b: Block, model: Model) -> Scorer:
@@ -363,9 +390,9 @@ def count_grams(docs: DataFrame, model: Model, parts: int) -> Order:
         for b in _blocks(batches):
             scorer = climbed(b, model)
             own = scorer.grams(parts)
-            live = own.at >= 0
-            n = np.bincount(own.at[live & b.counted], minlength=len(own.part))
-            spare = np.bincount(own.at[live & ~b.counted], minlength=len(own.part))
+            inside = own.at >= 0
+            n = np.bincount(own.at[inside & scorer.counted], minlength=len(own.part))
+            spare = np.bincount(own.at[inside & ~scorer.counted], minlength=len(own.part))
             name = np.append(scorer.name, NO_WORD)[own.word]
             low = np.zeros(len(own.part), np.int64)
             low[: len(own.token)] = scorer.n[scorer.at[own.token]]
@@ -373,15 +400,15 @@ def count_grams(docs: DataFrame, model: Model, parts: int) -> Order:
             for part, o, starts in own.messages():
                 v = own.context[o[starts]]
                 rows.append({
-                    "part": part, "block": b.key, "contexts": packed(own.key[v]), "runs": packed(np.diff(np.append(starts, len(o)))), "asks": bits(own.held_out[v]), "below": packed(own.below[v]),
-                    "words": packed(name[o]), "low": packed(low[o]), "n": packed(n[o]), "spare": packed(spare[o]), "alone": 0,
+                    "part": part, "block": b.key, "contexts": steps(own.key[v]), "runs": packed(np.diff(np.append(starts, len(o)))), "asks": bits(own.held_out[v]), "below": packed(own.below[v]),
+                    "once": packed(np.where(own.home[v] == part, own.spare[v], 0)), "words": packed(name[o]), "low": packed(low[o]), "n": packed(n[o]), "spare": packed(spare[o]), "alone": 0,
                 })
-            rows[0]["alone"] = int((~live & b.counted).sum())
+            rows[0]["alone"] = int(((own.of < 0) & scorer.counted).sum())
             yield pa.RecordBatch.from_pylist(rows, schema=asked)
 
     def answer(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
-        contexts, runs = [unpacked(r["contexts"]) for r in rows], [unpacked(r["runs"]).astype(np.int64) for r in rows]
+        contexts, runs = [summed(r["contexts"]) for r in rows], [unpacked(r["runs"]).astype(np.int64) for r in rows]
         joined = lambda name: np.concatenate([unpacked(r[name]) for r in rows]).astype(np.int64)
         words = joined("words")
         which, where = np.unique(np.concatenate(contexts), return_inverse=True)
@@ -390,19 +417,19 @@ def count_grams(docs: DataFrame, model: Model, parts: int) -> Order:
         new = np.flatnonzero((np.diff(context[order], prepend=-1) != 0) | (np.diff(words[order], prepend=-1) != 0))
         add = lambda x: np.add.reduceat(x[order], new) if len(new) else np.zeros(0, np.int64)
         total = add(joined("n"))
-        once = (total + add(joined("spare")) == 1) & (words[order[new]] != NO_WORD)
+        once = total + add(joined("spare")) == 1
         spread = np.diff(np.append(new, len(order)))
         told, lone = np.zeros(len(words), np.int64), np.zeros(len(words), bool)
         told[order], lone[order] = np.repeat(total, spread), np.repeat(once, spread)
         owner, low = context[order[new]], joined("low")[order[new]]
-        if lower is None:
-            p = model.unigrams.probability(low)
-        else:
-            below = np.repeat(joined("below"), np.concatenate(runs))[order[new]]
-            p = lower[np.minimum(low, DISCOUNTED + 1)] * low / np.maximum(below, 1)
+        below = np.zeros(len(which), np.int64)
+        below[where] = joined("below")
+        lowest = lambda low, below: model.unigrams.probability(low) if lower is None else lower[np.minimum(low, DISCOUNTED + 1)] * low / np.maximum(below, 1)
+        alone = np.bincount(where, joined("once"), minlength=len(which)).astype(np.int64)
         sums = [np.bincount(owner, total == j, minlength=len(which)).astype(np.int64) for j in range(1, DISCOUNTED + 1)]
-        every = np.bincount(owner, total, minlength=len(which)).astype(np.int64)
-        mass = np.bincount(owner, np.where(total > 0, p, 0), minlength=len(which))
+        sums[0] += alone
+        every = np.bincount(owner, total, minlength=len(which)).astype(np.int64) + alone
+        mass = np.bincount(owner, np.where(total > 0, lowest(low, below[owner]), 0), minlength=len(which)) + alone * lowest(np.ones(len(which), np.int64), below)
         out, at, pos = [], 0, 0
         for r, run in zip(rows, runs, strict=True):
             w, size = where[pos : pos + len(run)], int(run.sum())
@@ -413,10 +440,10 @@ def count_grams(docs: DataFrame, model: Model, parts: int) -> Order:
             })
             at, pos = at + size, pos + len(run)
         numbers = [int((total == j).sum()) for j in range(1, DISCOUNTED + 2)]
-        numbers[0] += sum(r["alone"] for r in rows)  # each is a gram of its own, seen once
+        numbers[0] += int(alone.sum()) + sum(r["alone"] for r in rows)  # each is a gram of its own, seen once
         return pa.Table.from_pylist([*out, {"block": "sums", "part": rows[0]["part"], "sums": numbers}], schema=answers)
 
-    fields = ("contexts", "runs", "asks", "below", "words", "low", "n", "spare")
+    fields = ("contexts", "runs", "asks", "below", "once", "words", "low", "n", "spare")
     asked = pa.schema([("part", pa.int32()), ("block", pa.string()), *[(x, pa.binary()) for x in fields], ("alone", pa.int64())])
     answers = pa.schema([("block", pa.string()), ("part", pa.int32()), ("n", pa.binary()), ("lone", pa.binary()), ("total", pa.binary()), ("seen", pa.list_(pa.binary())), ("mass", pa.binary()), ("sums", pa.list_(pa.int64()))])
     sent = _scan(docs).mapInArrow(ask, f"part int, block string, {', '.join(f'{x} binary' for x in fields)}, alone long")
