@@ -44,17 +44,13 @@ def token_hashes(text: Column) -> Column:
     return F.transform(parts, lambda w: F.xxhash64(w))
 
 
-def _seeds(tokens: str, at: str) -> Column:
-    """The hashes of the masks at place ``at`` of column ``tokens``, for as many as fit in what is left of it."""
-    t, i = F.col(tokens), F.col(at)
-    seed = lambda m, mask: F.when(i + mask[-1] < F.size(t), F.xxhash64(F.lit(m), *[F.get(t, i + k) for k in mask]))
-    return F.array_compact(F.array(*[seed(m, mask) for m, mask in enumerate(MASKS)]))
-
-
 def _windows(texts: DataFrame, tokens: str) -> DataFrame:
-    """A row for each place and mask: what texts has, place, seed."""
-    places = texts.withColumn("place", F.explode(F.sequence(F.lit(0), F.size(tokens) - 1))).where(F.col("place") >= 0)
-    return places.withColumn("seed", F.explode(_seeds(tokens, "place")))
+    """A row for each place and mask: what texts has, place, seed; seed is null where the mask doesn't fit in what is
+    left. All of it is compiled code: no function over arrays that would copy the tokens for each place."""
+    places = texts.withColumn("place", F.explode(F.sequence(F.lit(0), F.size(tokens) - 1)))
+    near = places.withColumns({f"_t{k}": F.get(F.col(tokens), F.col("place") + k) for k in range(6)})
+    seed = lambda m, mask: F.when(F.col(f"_t{mask[-1]}").isNotNull(), F.xxhash64(F.lit(m), *[F.col(f"_t{k}") for k in mask]))
+    return near.withColumn("seed", F.explode(F.array(*[seed(m, mask) for m, mask in enumerate(MASKS)]))).drop(*[f"_t{k}" for k in range(6)])
 
 
 def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -62,7 +58,7 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     docs: doc_id, text; items: item_id, text."""
     tests = stage(items.select("item_id", token_hashes(F.col("text")).alias("it")).where(F.size("it") > 0), "benchmark-items")
-    seeds = stage(_windows(tests.where(F.size("it") >= SHORT), "it").select("seed", "item_id", F.col("place").alias("item_place")).distinct(), "benchmark-seeds")
+    seeds = stage(_windows(tests.where(F.size("it") >= SHORT), "it").select("seed", "item_id", F.col("place").alias("item_place")).where("seed IS NOT NULL").distinct(), "benchmark-seeds")
     hashed = docs.select("doc_id", token_hashes(F.col("text")).alias("dt"))
     hits = _windows(hashed.where(F.size("dt") > 0), "dt").select("doc_id", "place", "seed").join(small(seeds), "seed")
     lies = hits.select("doc_id", "item_id", (F.col("place") - F.col("item_place")).alias("start")).distinct()
