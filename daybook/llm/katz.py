@@ -47,7 +47,7 @@ END = U(1)
 #: The numbers of the end token and of no word; other words have larger ones.
 END_ID, NO_WORD = 1, 0
 #: Bytes of text in a block, text for each partition of unigrams and of longer grams, tokens of a context in one partition.
-BLOCK, UNIGRAMS, GRAMS, CONTEXT = 8 << 20, 32 << 20, 16 << 20, 2_000_000
+BLOCK, UNIGRAMS, GRAMS, CONTEXT = 4 << 20, 32 << 20, 16 << 20, 2_000_000
 #: Counts up to this are discounted.
 DISCOUNTED = 5
 
