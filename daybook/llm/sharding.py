@@ -1,28 +1,31 @@
 """Sharding by fixed virtual slots.
 
-A record's key hashes into one of ``slots`` virtual slots, for good. The bytes of each slot are summed, and a map from
-slot to shard is stored as a table with a version. The first map places the largest slot first, always into the
-lightest shard; a later version is an edit of the one before: only slots of shards above the mean move, and only into
-shards below it, until no move brings the sizes nearer. So the law is ``bytes``: sizes near equal.
+A record's key and content hash into one of ``slots`` virtual slots, for good; so records of one key, however many, are
+spread, and records without a key are dealt out by where they stand. The bytes of each slot are summed, and a map from
+slot to shard is stored as a table with a version. The first version deals slots out evenly, before any bytes are known
+(or, by ``first_map``, the largest slot first, always into the lightest shard); a later version is an edit of the one
+before: slots move from the heaviest shard to the lightest until no move brings the sizes nearer. What is placed goes by
+the latest version as it is read back. So the law is ``bytes``: sizes near equal.
 
 A record's place in its shard is gapless from 0 without sorting any shard in one task: each virtual slot is numbered by
 itself, and starts where the slots of the same shard before it end. All is done by DataFrame operations; what the
 driver sees are the ``slots`` sums, a fixed number.
 
-Defined cases: a null text counts as the empty one; a null key hashes like any other value; rows that repeat are
-records of their own, told apart by size and checksum only and otherwise in any order; an empty table gives no rows and
+Defined cases: a null text counts as the empty one; rows that repeat are records of their own, told apart by size and
+checksum only and otherwise in any order; an empty table gives no rows and
 a map that spreads the slots evenly; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from daybook.llm.common import bare, stage, table
+from daybook.llm.common import bare, shared_dir, stage, table
 
 SLOTS = 4096
 SHARDS = 40
@@ -53,8 +56,15 @@ class SlotMap:
         return SlotMap(int(version), int(rows[0]["n_shards"]), tuple(int(r["shard"]) for r in rows))
 
 
-def virtual_slot(key: Column, slots: int = SLOTS) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(slots)).cast("int")
+def virtual_slot(key: Column, content: Column, slots: int = SLOTS) -> Column:
+    """The slot of a record; one without a key gets what its place says, which is fixed once the record is staged."""
+    alone = F.when(key.isNull(), F.monotonically_increasing_id())
+    return F.pmod(F.xxhash64(key, content, alone), F.lit(slots)).cast("int")
+
+
+def even_map(n_shards: int = SHARDS, slots: int = SLOTS) -> SlotMap:
+    """Slots dealt out in turn: the version to begin with, where nothing is known of their bytes."""
+    return SlotMap(1, n_shards, tuple(s % n_shards for s in range(slots)))
 
 
 def slot_sums(records: DataFrame) -> DataFrame:
@@ -87,12 +97,14 @@ def rebalanced(old: SlotMap, sums: dict[int, int], n_shards: int | None = None)
         placed[s] = d
         load[d] += sums.get(s, 0)
         held[d].append(s)
-    for _ in range(len(placed)):
-        high, low = max(range(n), key=lambda d: load[d]), min(range(n), key=lambda d: (load[d], len(held[d])))
+    open_ = set(range(n))  # shards that may have a slot to give; one large slot may keep a shard above all others
+    while open_:
+        high, low = max(open_, key=lambda d: (load[d], -d)), min(range(n), key=lambda d: (load[d], len(held[d])))
         gap = load[high] - load[low]
         fit = [s for s in held[high] if 0 < sums.get(s, 0) < gap]
         if not fit:
-            break
+            open_.discard(high)
+            continue
         s = min(fit, key=lambda s: (abs(gap - 2 * sums[s]), s))
         held[high].remove(s)
         held[low].append(s)
@@ -117,11 +129,13 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = bare(F.col("text"))
     records = table(spark, sf_dir, "documents").select(
         "doc_id", (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-        virtual_slot(F.col("doc_id")).alias("vslot"),
     )
-    records = stage(records, "sharding-records")
+    records = stage(records.withColumn("vslot", virtual_slot(F.col("doc_id"), F.col("text_crc32"))), "sharding-records")
     sums = stage(slot_sums(records).coalesce(1), "sharding-slots")
-    mapped = first_map({r["vslot"]: r["bytes"] for r in sums.collect()})
+    path = f"{shared_dir(spark)}/sharding-map-{uuid.uuid4().hex[:12]}"
+    even_map().write(spark, path)
+    rebalanced(SlotMap.read(spark, path), {r["vslot"]: r["bytes"] for r in sums.collect()}).write(spark, path)
+    mapped = SlotMap.read(spark, path)
     placed = place(records, sums, mapped, ["doc_id", "size", "text_crc32"])
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),

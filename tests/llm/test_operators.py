@@ -221,13 +221,23 @@ def test_sharding(spark, tables):
     load, slots = collections.Counter(), collections.defaultdict(list)
     for r in rows:
         t = (texts[r["doc_id"]] or "").encode()
-        assert r["size"] == len(t) + 16 and r["text_crc32"] == zlib.crc32(t) and r["law"] == "bytes" and r["grown_shard"] is None and 0 <= r["shard"] < 40
+        assert r["size"] == len(t) + 16 and r["text_crc32"] == zlib.crc32(t) and r["law"] == "bytes" and r["grown_shard"] is None and 0 <= r["shard"] < 40 and r["map_version"] == 2
         load[r["shard"]] += r["size"]
         slots[r["shard"]].append(r["slot"])
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert max(load.values()) - min(load.values()) <= max(r["size"] for r in rows)
 
 
+def test_hot_and_missing_keys_are_spread(spark):
+    rows = [(None, f"text {i % 7}") for i in range(2000)] + [(5, f"other {i}") for i in range(2000)]
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    got = sharding.op4_sharding(spark, path).collect()
+    slots = collections.Counter(r["vslot"] for r in got)
+    assert len(got) == 4000 and max(slots.values()) < 20
+    assert all(sorted(r["slot"] for r in got if r["shard"] == k) == list(range(sum(r["shard"] == k for r in got))) for k in range(40))
+
+
 def test_slot_maps_are_stored_by_version_and_edited(spark, tmp_path):
     rng = random.Random(1)
     sums = {s: rng.randrange(100, 200) for s in range(256)}
