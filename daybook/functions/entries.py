@@ -18,9 +18,9 @@ def _kind_of(v: Column, path: str) -> Column:
     return F.schema_of_variant(F.try_variant_get(v, path, "variant"))
 
 
-def _string(line: Column, v: Column, path: str) -> Column:
+def _string(v: Column, path: str) -> Column:
     """The string at a path; null if what stands there is something else."""
-    return F.when(_kind_of(v, path) == "STRING", F.get_json_object(line, path))
+    return F.when(_kind_of(v, path) == "STRING", F.try_variant_get(v, path, "string"))
 
 
 def _blocks(line: Column, path: str) -> Column:
@@ -38,7 +38,7 @@ def _block_text(b: Column) -> Column:
 def content_text(line: Column, v: Column, path: str) -> Column:
     """What a reader sees of a content: the string, or its blocks' texts, tool calls and image marks, line by line."""
     parts = F.filter(F.transform(_blocks(line, path), _block_text), lambda t: t != "")
-    return F.when(_kind_of(v, path) == "STRING", F.get_json_object(line, path)).when(_kind_of(v, path).startswith("ARRAY"), F.array_join(parts, "\n")).otherwise("")
+    return F.when(_kind_of(v, path) == "STRING", F.try_variant_get(v, path, "string")).when(_kind_of(v, path).startswith("ARRAY"), F.array_join(parts, "\n")).otherwise("")
 
 
 def tool_names(line: Column, path: str) -> Column:
@@ -53,7 +53,7 @@ def with_entries(lines: DataFrame, line: str = "line") -> DataFrame:
     that aren't JSON objects have neither."""
     held = lines.withColumn("_v", F.try_parse_json(F.col(line)))
     x, v = F.col(line), F.col("_v")
-    s = lambda path: _string(x, v, path)
+    s = lambda path: _string(v, path)
     or_empty = lambda c: F.coalesce(c, F.lit(""))
     kind, id_ = s("$.type"), s("$.id")
     header = F.when((kind == "session") & id_.isNotNull(), F.struct(id_.alias("session_id"), or_empty(s("$.cwd")).alias("cwd"), or_empty(s("$.timestamp")).alias("started_at")))

@@ -33,9 +33,9 @@ def fold(text: Column) -> Column:
 
 
 def fold_str(text: str) -> str:
-    """fold() of a request's own words."""
-    parts = unicodedata.normalize("NFD", text.lower())
-    return "".join(c for c in parts if not unicodedata.category(c).startswith("M"))
+    """fold() of a request's own words, by the same table: what isn't in it (kana, Hangul) stays as it is composed."""
+    folded = text.lower().translate(str.maketrans(*_accents()))
+    return "".join(c for c in folded if not unicodedata.category(c).startswith("M"))
 
 
 def tokens(text: Column) -> Column:
@@ -93,8 +93,16 @@ def first_place(text: Column, terms: list[str]) -> Column:
 
 
 def excerpt(text: Column, query: str | None = None) -> Column:
+    """A window of ``EXCERPT`` UTF-16 units around the first term of the query. A surrogate pair that the window's end
+    would cut is left out of it."""
     terms = [fold_str(t) for t in re.findall(r"[^\W_]+", query or "")]
-    start = F.greatest(F.lit(0), first_place(text, terms) - LEAD)
-    window = flat(F.substring(text, start + 1, F.lit(EXCERPT)))
-    more = start + EXCERPT < F.length(text)
-    return F.concat(F.when(start > 0, "…").otherwise(""), window, F.when(more, "…").otherwise(""))
+
+    def window(start: Column) -> Column:
+        rest = F.substring(text, start + 1, F.lit(EXCERPT))
+        # Each character beyond the basic plane takes two units, so the window has that many characters fewer.
+        units = F.transform(F.split(rest, ""), lambda c: F.when(F.octet_length(c) == 4, 2).otherwise(1))
+        fitting = F.aggregate(units, F.struct(F.lit(0).alias("u"), F.lit(0).alias("n")), lambda a, u: F.struct((a["u"] + u).alias("u"), (a["n"] + F.when(a["u"] + u <= EXCERPT, 1).otherwise(0)).alias("n")))["n"]
+        length = F.when(F.length(rest) * 2 == utf16_length(rest) + F.length(rest), F.length(rest)).otherwise(fitting)
+        return let(length, lambda n: F.concat(F.when(start > 0, "…").otherwise(""), flat(F.substring(rest, F.lit(1), n)), F.when(start + n < F.length(text), "…").otherwise("")))
+
+    return let(F.greatest(F.lit(0), first_place(text, terms) - LEAD), window)

@@ -12,6 +12,7 @@ from daybook.operators.index import Index
 from daybook.plans.scope import Context, Request
 from daybook.streaming.ingest import catch_up, rebuild
 
+BUSY = "Another writer is indexing; try again when it has ended."
 USAGE = "Usage: status | index | rebuild | gc | gc confirm"
 
 
@@ -33,17 +34,13 @@ class Engine:
 
     def refresh(self, skip: tuple[str, ...] = ()) -> dict | None:
         """Indexes what was added; None if another writer holds the lease."""
-        if not self.index.lease(self.owner):
-            return None
-        try:
-            return catch_up(self.spark, self.root, self.index, self.checkpoint, skip)
-        finally:
-            self.index.release(self.owner)
+        with self.index.writing(self.owner) as renew:
+            return None if renew is None else catch_up(self.spark, self.root, self.index, self.checkpoint, skip, renew)
 
     def query(self, request: Request, context: Context, now: str | None = None) -> dict:
         """Indexes first, so that an answer knows what has just been written."""
         if request.action == "read" and not request.entry_id:
-            raise ValueError("read needs entryId (from search or summaries).")
+            raise ValueError("entryId is missing: read shows one entry")
         self.refresh()
         return History(self.index).answer(request, context, now)
 
@@ -54,16 +51,23 @@ class Engine:
             return f"{s['files']:,} journals, {s['sessions']:,} sessions, {s['entries']:,} entries, {s['summaries']:,} summaries, {s['indexed_bytes'] / 1e6:.1f} MB indexed"
         if what == "index":
             done = self.refresh()
-            return "Another writer is indexing." if done is None else f"{done['lines']:,} lines read"
+            return BUSY if done is None else f"{done['lines']:,} lines read, {done['added']:,} entries added, {done['files']:,} journals indexed"
         if what == "rebuild":
-            return f"{rebuild(self.spark, self.root, self.index, self.checkpoint)['lines']:,} lines read"
+            with self.index.writing(self.owner) as renew:
+                return BUSY if renew is None else f"{rebuild(self.spark, self.root, self.index, self.checkpoint, renew)['lines']:,} lines read"
         if what == "gc":
-            note = "" if self.refresh() is not None else "Another writer is indexing; the list may be incomplete.\n"
+            # What another writer hasn't indexed yet would be judged by old rows.
+            self._previewed = None
+            if self.refresh() is None:
+                return BUSY
             self._previewed = junk.preview(self.index, self.root, list(keep), now_ms, temporary)
-            return note + junk.describe(self._previewed)
+            return junk.describe(self._previewed)
         if what == "gc confirm":
             if not self._previewed:
                 return "Nothing to confirm: run gc first."
-            done, self._previewed = junk.collect(self.index, self._previewed), None
+            with self.index.writing(self.owner) as renew:
+                if renew is None:
+                    return BUSY
+                done, self._previewed = junk.collect(self.index, self._previewed), None
             return f"{done['deleted']:,} deleted, {done['bytes'] / 1e6:.1f} MB, {done['skipped']:,} changed since and kept"
         return USAGE

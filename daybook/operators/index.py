@@ -1,5 +1,8 @@
 """The index: pointers, terms and statistics as Parquet, without any text.
 
+All tables of a version lie in one folder, and a small file names the current version: compacting writes a new version and
+then changes the name in one step, so that a reader or a crash finds one version whole.
+
 Each ingested batch is a folder of its own, written over if the batch is run again, so that rows and cursor stay in
 step with the stream's checkpoint. A journal's rows hold its generation; readers keep the latest only, so a rewritten
 journal's old rows are dead at once and go when the index is compacted. Postings are split into folders by a hash of
@@ -10,9 +13,12 @@ from __future__ import annotations
 
 import json
 import os
+import posixpath
 import shutil
 import time
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,7 +30,11 @@ from daybook.functions.text import tokens
 BUCKETS = 32
 ENTRIES = "path string, generation int, entry_id string, parent_id string, ts string, kind string, role string, name string, chars int, tokens_before double, offset bigint, length int, dl int, batch string"
 POSTINGS = "term string, path string, generation int, offset bigint, positions array<int>, batch string, tb int"
-JOURNALS = "path string, generation int, session_id string, cwd string, started_at string, header_at bigint, bytes bigint, batch string"
+JOURNALS = "path string, generation int, session_id string, cwd string, started_at string, header_at bigint, bytes bigint, entries bigint, tokens bigint, batch string"
+#: Layout of the tables; an index of another layout is to be rebuilt.
+LAYOUT = 2
+#: Journals of a batch whose names are pushed down into the scan for entries known already.
+NAMED = 500
 
 
 def bucket_of(term: Column) -> Column:
@@ -41,7 +51,30 @@ def index_rows(lines: DataFrame) -> DataFrame:
 
 class Index:
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.removeprefix("file://")
+        self.spark, self.base = spark, folder.removeprefix("file://")
+
+    @property
+    def folder(self) -> str:
+        """The current version's."""
+        told = self._told("_current.json") or {"version": "v0", "layout": LAYOUT}
+        if told["layout"] != LAYOUT:
+            raise ValueError(f"the index at {self.base} has layout {told['layout']}, not {LAYOUT}: rebuild it")
+        return f"{self.base}/{told['version']}"
+
+    def _told(self, name: str) -> dict | None:
+        try:
+            with open(f"{self.base}/{name}") as f:
+                return json.load(f)
+        except (OSError, ValueError):
+            return None
+
+    def _tell(self, name: str, what: dict) -> None:
+        """Replaces a small file in one step."""
+        os.makedirs(self.base, exist_ok=True)
+        temp = f"{self.base}/.{uuid.uuid4().hex}"
+        with open(temp, "w") as f:
+            json.dump(what, f)
+        os.replace(temp, f"{self.base}/{name}")
 
     def _read(self, name: str, schema: str) -> DataFrame:
         path = f"{self.folder}/{name}"
@@ -51,35 +84,49 @@ class Index:
 
     # Writing
 
-    def append(self, lines: DataFrame, batch: str) -> None:
-        """Adds a batch of journal lines (path, generation, offset, length, line). Running it again changes nothing."""
+    def append(self, lines: DataFrame, batch: str) -> int:
+        """Adds a batch of journal lines (path, generation, offset, length, line) and says how many entries that gave.
+        Running it again changes nothing."""
+        folder = self.folder
+        if not os.path.exists(f"{self.base}/_current.json"):
+            self._tell("_current.json", {"version": "v0", "layout": LAYOUT})
         rows = index_rows(lines).persist()
         own = [c.strip().split()[0] for c in ENTRIES.split(", ")]
         entries = rows.where("entry IS NOT NULL").select("path", "generation", "entry.*", "offset", "length", F.size("tk").alias("dl"), "tk")
-        if os.path.isdir(f"{self.folder}/entries"):
-            before = self._read("entries", ENTRIES).where(F.col("batch") != batch).select("path", "generation", "entry_id")
-            entries = entries.join(before, ["path", "generation", "entry_id"], "left_anti")
+        if os.path.isdir(f"{folder}/entries"):
+            # Only entries of the batch's own journals can be known already; a few names also spare the scan the rest.
+            named = rows.select("path").distinct()
+            some = [r["path"] for r in named.limit(NAMED + 1).collect()]
+            before = self._read("entries", ENTRIES).where(F.col("batch") != batch)
+            before = before.where(F.col("path").isin(*some)) if len(some) <= NAMED else before.join(named, "path", "left_semi")
+            entries = entries.join(before.select("path", "generation", "entry_id"), ["path", "generation", "entry_id"], "left_anti")
         entries = entries.persist()
-        entries.select(*own[:-1]).sortWithinPartitions("ts").write.mode("overwrite").option("compression", "zstd").parquet(f"{self.folder}/entries/batch={batch}")
+        entries.select(*own[:-1]).repartition("path").sortWithinPartitions("path", "ts").write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/entries/batch={batch}")
         posted = entries.select("path", "generation", "offset", F.posexplode("tk").alias("pos", "term")).groupBy("term", "path", "generation", "offset").agg(F.sort_array(F.collect_list("pos")).alias("positions"))  # of one entry
         posted = posted.withColumn("tb", bucket_of(F.col("term"))).repartition("tb").sortWithinPartitions("term", "path", "offset")
-        posted.write.mode("overwrite").option("compression", "zstd").partitionBy("tb").parquet(f"{self.folder}/postings/batch={batch}")
+        posted.write.mode("overwrite").option("compression", "zstd").partitionBy("tb").parquet(f"{folder}/postings/batch={batch}")
         heads = rows.groupBy("path", "generation").agg(
             F.min_by("header", F.when(F.col("header").isNotNull(), F.col("offset"))).alias("h"), F.min(F.when(F.col("header").isNotNull(), F.col("offset"))).alias("header_at"),
             F.max(F.col("offset") + F.col("length") + 1).alias("bytes"),
         )
-        heads.select("path", "generation", "h.session_id", "h.cwd", "h.started_at", "header_at", "bytes").write.mode("overwrite").parquet(f"{self.folder}/journals/batch={batch}")
+        added = entries.groupBy("path", "generation").agg(F.count(F.lit(1)).alias("entries"), F.sum("dl").cast("long").alias("tokens"))
+        heads = heads.join(added, ["path", "generation"], "left").fillna(0, ["entries", "tokens"])
+        heads.select("path", "generation", "h.session_id", "h.cwd", "h.started_at", "header_at", "bytes", "entries", "tokens").write.mode("overwrite").parquet(f"{folder}/journals/batch={batch}")
+        n = entries.count()
         entries.unpersist()
         rows.unpersist()
+        return n
 
     def forget(self, paths: list[str]) -> None:
         """Takes journals out: only batches that hold rows of them are written anew, without them."""
         gone = self.spark.createDataFrame([(p,) for p in paths], "path string")
-        for name, schema in (("entries", ENTRIES), ("postings", POSTINGS), ("journals", JOURNALS)):
+        folder = self.folder
+        # Journals first: without its row there a journal has no live generation, so what else is left of it is dead.
+        for name, schema in (("journals", JOURNALS), ("entries", ENTRIES), ("postings", POSTINGS)):
             held = self._read(name, schema)
-            for row in held.join(F.broadcast(gone), "path").select("batch").distinct().collect():
-                part, old = f"{self.folder}/{name}/batch={row['batch']}", f"{self.folder}/.old-{uuid.uuid4().hex}"
-                kept = self.spark.read.schema(schema).option("basePath", f"{self.folder}/{name}").parquet(part).join(F.broadcast(gone), "path", "left_anti").drop("batch")
+            for row in held.join(gone, "path", "left_semi").select("batch").distinct().collect():
+                part, old = f"{folder}/{name}/batch={row['batch']}", f"{folder}/.old-{uuid.uuid4().hex}"
+                kept = self.spark.read.schema(schema).option("basePath", f"{folder}/{name}").parquet(part).join(gone, "path", "left_anti").drop("batch")
                 writer = kept.write.partitionBy("tb") if name == "postings" else kept.write
                 writer.parquet(f"{old}-new")
                 os.rename(part, old)
@@ -87,19 +134,25 @@ class Index:
                 shutil.rmtree(old)
 
     def compact(self) -> None:
-        """All live rows as one batch; dead generations go."""
-        name = f"compact-{uuid.uuid4().hex[:8]}"
-        live = {"entries": self.entries(joined=False), "postings": self.postings(), "journals": self.journals()}
-        for table, df in live.items():
-            df = df.drop("batch")
-            (df.repartition("tb").sortWithinPartitions("term").write.partitionBy("tb") if table == "postings" else df.write).parquet(f"{self.folder}/.{name}-{table}")
-        for table in live:
-            shutil.rmtree(f"{self.folder}/{table}")
-            os.makedirs(f"{self.folder}/{table}")
-            os.rename(f"{self.folder}/.{name}-{table}", f"{self.folder}/{table}/batch={name}")
+        """All live rows as one batch of a new version; dead generations go. The version before stays until the next
+        time, for readers that have it open."""
+        name, now = f"v{uuid.uuid4().hex[:12]}", os.path.basename(self.folder)
+        into = lambda table: f"{self.base}/{name}/{table}/batch=compact"
+        self.entries(joined=False).drop("batch").repartition("path").sortWithinPartitions("path", "ts").write.option("compression", "zstd").parquet(into("entries"))
+        self.postings().drop("batch").repartition("tb").sortWithinPartitions("term", "path", "offset").write.option("compression", "zstd").partitionBy("tb").parquet(into("postings"))
+        self.journals().drop("batch").write.parquet(into("journals"))
+        self._tell("_current.json", {"version": name, "layout": LAYOUT})
+        for other in os.listdir(self.base):
+            if other.startswith("v") and other not in (name, now):
+                shutil.rmtree(f"{self.base}/{other}")
 
     def clear(self) -> None:
-        shutil.rmtree(self.folder, ignore_errors=True)
+        """All but the lease goes."""
+        for other in os.listdir(self.base) if os.path.isdir(self.base) else ():
+            if other.startswith("v"):
+                shutil.rmtree(f"{self.base}/{other}")
+        if os.path.exists(f"{self.base}/_current.json"):
+            os.remove(f"{self.base}/_current.json")
 
     # Reading
 
@@ -110,7 +163,11 @@ class Index:
         """A row for each journal of its latest generation: the first header, the bytes indexed."""
         held = self._read("journals", JOURNALS).join(self._live(), ["path", "generation"])
         first = lambda c: F.min_by(c, "header_at").alias(c)
-        return held.groupBy("path", "generation").agg(first("session_id"), first("cwd"), first("started_at"), F.min("header_at").alias("header_at"), F.max("bytes").alias("bytes"))
+        return held.groupBy("path", "generation").agg(first("session_id"), first("cwd"), first("started_at"), F.min("header_at").alias("header_at"), F.max("bytes").alias("bytes"), F.sum("entries").alias("entries"), F.sum("tokens").alias("tokens"))
+
+    def corpus(self) -> DataFrame:
+        """One row: n, avgdl; from what each journal counts, so that no entry is read."""
+        return self.journals().agg(F.sum("entries").alias("n"), (F.sum("tokens") / F.sum("entries")).alias("avgdl"))
 
     def entries(self, joined: bool = True) -> DataFrame:
         held = self._read("entries", ENTRIES).join(self._live(), ["path", "generation"])
@@ -123,8 +180,18 @@ class Index:
             held = held.where(F.col("tb").isin(*[r["b"] for r in buckets]) & F.col("term").isin(*terms))
         return held.join(self._live(), ["path", "generation"])
 
-    def cwds(self) -> list[str]:
-        return [r["cwd"] for r in self.journals().select("cwd").dropna().distinct().collect()]
+    def cwds(self, above: str | None = None) -> list[str]:
+        """The distinct folders of the journals; above: only those that are this folder or lie above it, which are no more
+        than its path has parts."""
+        found = self.journals().select("cwd").dropna()
+        if above is not None:
+            path, parts = "", []
+            for part in posixpath.normpath(above).strip("/").split("/"):
+                path += f"/{part}"
+                parts.append(path)
+            # Folders that aren't written plainly are looked at by whoever asks.
+            found = found.where(F.regexp_replace("cwd", "(?<=.)/+$", "").isin(*parts) | F.col("cwd").rlike(r"/\.\.?(/|$)|//"))
+        return [r["cwd"] for r in found.distinct().collect()]
 
     def status(self) -> DataFrame:
         files = self.journals().agg(F.count(F.lit(1)).alias("files"), F.countDistinct("session_id").alias("sessions"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("indexed_bytes"))
@@ -134,26 +201,53 @@ class Index:
     # One writer at a time
 
     def lease(self, owner: str, ttl_ms: int = 120_000, now_ms: int | None = None) -> bool:
-        """Takes or renews the writer's lease; False while another holds one that has not run out."""
+        """Takes or renews the writer's lease; False while another holds one that has not run out. Looking and taking are
+        one step: a folder that only one can make is held meanwhile."""
         now = now_ms if now_ms is not None else int(time.time() * 1000)
-        held = self._lease()
-        if held and held["owner"] != owner and held["until"] > now:
-            return False
-        os.makedirs(self.folder, exist_ok=True)
-        temp = f"{self.folder}/.lease-{uuid.uuid4().hex}"
-        with open(temp, "w") as f:
-            json.dump({"owner": owner, "until": now + ttl_ms}, f)
-        os.replace(temp, f"{self.folder}/_lease.json")
-        return self._lease()["owner"] == owner
+        with self._alone():
+            held = self._told("_lease.json")
+            if held and held["owner"] != owner and held["until"] > now:
+                return False
+            self._tell("_lease.json", {"owner": owner, "until": now + ttl_ms})
+            return True
 
     def release(self, owner: str) -> None:
-        held = self._lease()
-        if held and held["owner"] == owner:
-            os.remove(f"{self.folder}/_lease.json")
+        with self._alone():
+            held = self._told("_lease.json")
+            if held and held["owner"] == owner:
+                os.remove(f"{self.base}/_lease.json")
+
+    @contextmanager
+    def writing(self, owner: str, ttl_ms: int = 120_000) -> Iterator[Callable[[], None] | None]:
+        """Holds the lease while it lasts, and gives the call that renews it; None where another writer has it."""
+        if not self.lease(owner, ttl_ms):
+            yield None
+            return
+
+        def renew() -> None:
+            if not self.lease(owner, ttl_ms):
+                raise RuntimeError(f"{owner} lost the lease of {self.base}")
 
-    def _lease(self) -> dict | None:
         try:
-            with open(f"{self.folder}/_lease.json") as f:
-                return json.load(f)
-        except (OSError, ValueError):
-            return None
+            yield renew
+        finally:
+            self.release(owner)
+
+    @contextmanager
+    def _alone(self, patience_s: float = 10) -> Iterator[None]:
+        os.makedirs(self.base, exist_ok=True)
+        lock, since = f"{self.base}/_lease.lock", time.monotonic()
+        while True:
+            try:
+                os.mkdir(lock)
+                break
+            except FileExistsError:
+                # Its holder only reads and writes a small file; one that is still there has died.
+                if time.monotonic() - since > patience_s:
+                    os.rmdir(lock)
+                    since = time.monotonic()
+                time.sleep(0.01)
+        try:
+            yield
+        finally:
+            os.rmdir(lock)

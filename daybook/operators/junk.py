@@ -51,6 +51,9 @@ def candidates(stats: DataFrame, files: DataFrame, keep: list[str], now_ms: int,
     files: path, size, modified (ms)."""
     judged = stats.withColumn("reason", junk_reason(roots)).where(F.col("reason").isNotNull() & ~F.col("path").isin(keep))
     there = judged.join(files, "path").where(F.lit(now_ms) - F.col("modified") >= QUIET_MS)
+    # A journal with bytes that aren't indexed isn't known well enough to be judged.
+    if "bytes" in there.columns:
+        there = there.where(F.col("size") <= F.col("bytes"))
     return there.select("path", "cwd", "started_at", F.col("size").alias("bytes"), F.col("modified").alias("modified_ms"), "reason").orderBy(F.desc("bytes"), "path")
 
 

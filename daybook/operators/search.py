@@ -40,25 +40,40 @@ def matches_in_postings(postings: DataFrame, wanted: list[tuple[str, ...]], keys
     return slots.select(*keys, F.array(*[F.size(s) for s in starts]).alias("tf")).where(F.exists("tf", lambda x: x > 0))
 
 
-def scored(matches: DataFrame, corpus: DataFrame, n_phrases: int) -> DataFrame:
-    """matches (dl, tf) with score and n_matched. corpus: one row n, avgdl. How many entries have each phrase is counted
-    over all matches, before any filter, so that filters change no score."""
-    df = matches.agg(F.array(*[F.count_if(F.get("tf", F.lit(i)) > 0) for i in range(n_phrases)]).alias("df"))
-    both = matches.crossJoin(F.broadcast(df.crossJoin(corpus)))  # one row each
+def _df(n_phrases: int) -> Column:
+    return F.array(*[F.count_if(F.get("tf", F.lit(i)) > 0) for i in range(n_phrases)]).alias("df")
+
+
+def _score(n_phrases: int) -> Column:
+    """BM25 from tf, dl, df, n and avgdl."""
     part = lambda i: (
         F.greatest(F.log((F.col("n") - F.get("df", F.lit(i)) + 0.5) / (F.get("df", F.lit(i)) + 0.5)), F.lit(LEAST_IDF))
         * F.get("tf", F.lit(i)) * (K1 + 1) / (F.get("tf", F.lit(i)) + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     )
-    score = reduce(lambda a, b: a + b, [part(i) for i in range(n_phrases)])
-    return both.withColumn("score", score).withColumn("n_matched", F.size(F.filter("tf", lambda x: x > 0))).drop("df", "n", "avgdl")
+    return reduce(lambda a, b: a + b, [part(i) for i in range(n_phrases)])
 
 
-def all_or_any(found: DataFrame, filters: Filters, n_phrases: int) -> DataFrame:
-    """The filtered entries that have every phrase, or, if none has, any; match says which. Decided in one pass."""
-    kept = found.where(filters.predicate() & (F.col("n_matched") > 0))
-    most = kept.agg((F.max("n_matched") == n_phrases).alias("_all"))
-    both = kept.crossJoin(F.broadcast(most)).where((F.col("n_matched") == n_phrases) | ~F.col("_all"))
-    return both.withColumn("match", F.when(F.col("_all"), "all").otherwise("any")).drop("_all")
+def scored(matches: DataFrame, corpus: DataFrame, n_phrases: int) -> DataFrame:
+    """matches (dl, tf) with score and n_matched. corpus: one row n, avgdl. How many entries have each phrase is counted
+    over all matches, before any filter, so that filters change no score."""
+    both = matches.crossJoin(F.broadcast(matches.agg(_df(n_phrases)).crossJoin(corpus)))  # one row each
+    return both.withColumn("score", _score(n_phrases)).withColumn("n_matched", F.size(F.filter("tf", lambda x: x > 0))).drop("df", "n", "avgdl")
+
+
+def ranked(matches: DataFrame, filters: Filters, n_phrases: int, corpus: DataFrame | None = None) -> DataFrame:
+    """The filtered entries that have every phrase, or, if none has, any; match says which. With score and n_matched.
+
+    One pass over the matches finds all that concerns the whole: each phrase's entries, counted before any filter, and the
+    most phrases that a filtered entry has. corpus: one row n, avgdl; without it matches are all entries, and it is
+    counted in the same pass."""
+    matches = matches.withColumn("n_matched", F.size(F.filter("tf", lambda x: x > 0)))
+    most = F.max(F.when(filters.predicate(), F.col("n_matched"))).alias("_most")
+    own = [] if corpus is not None else [F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")]
+    told = matches.agg(_df(n_phrases), most, *own)
+    both = matches.where(filters.predicate() & (F.col("n_matched") > 0)).crossJoin(F.broadcast(told if corpus is None else told.crossJoin(corpus)))  # one row
+    kept = both.where((F.col("n_matched") == n_phrases) | (F.col("_most") < n_phrases))
+    match = F.when(F.col("_most") == n_phrases, "all").otherwise("any")
+    return kept.withColumn("score", _score(n_phrases)).withColumn("match", match).drop("df", "n", "avgdl", "_most")
 
 
 def candidates(found: DataFrame, offset: int = 0) -> DataFrame:

@@ -1,8 +1,8 @@
 """Every query of the history engine, with the SQL it is held against."""
 
-from daybook.queries import history_queries, redact_queries, search_queries
+from daybook.queries import engine_queries, history_queries, redact_queries, search_queries
 
-MODULES = (search_queries, redact_queries, history_queries)
+MODULES = (search_queries, redact_queries, history_queries, engine_queries)
 
 
 def queries() -> dict:

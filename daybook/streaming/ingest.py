@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import shutil
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
@@ -11,29 +12,35 @@ from daybook.operators.index import Index
 from daybook.sources.journal import register
 
 
-def follow(spark: SparkSession, root: str, index: Index, checkpoint: str, skip: tuple[str, ...] = (), every: str | None = None) -> StreamingQuery:
+def follow(spark: SparkSession, root: str, index: Index, checkpoint: str, skip: tuple[str, ...] = (), every: str | None = None, renew: Callable[[], None] = lambda: None, added: list[int] | None = None) -> StreamingQuery:
     """Keeps the index up with the journals; every: a processing-time trigger, or None to take what is there and end.
-    A batch's folder is named by its number, so a batch that is run again after a failure replaces itself."""
+    A batch's folder is named by its number, so a batch that is run again after a failure replaces itself. renew is called
+    before and after each batch; what each batch added is told to ``added``."""
     register(spark)
 
     def sink(batch: DataFrame, number: int) -> None:
-        index.append(batch, f"{number:012d}")
+        renew()
+        n = index.append(batch, f"{number:012d}")
+        renew()
+        if added is not None:
+            added.append(n)
 
     lines = spark.readStream.format("journal").option("skip", "\n".join(skip)).load(root)
     writer = lines.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def catch_up(spark: SparkSession, root: str, index: Index, checkpoint: str, skip: tuple[str, ...] = ()) -> dict:
-    """Indexes all that has been added, and says how many lines that was."""
-    query = follow(spark, root, index, checkpoint, skip)
+def catch_up(spark: SparkSession, root: str, index: Index, checkpoint: str, skip: tuple[str, ...] = (), renew: Callable[[], None] = lambda: None) -> dict:
+    """Indexes all that has been added, and says how many lines and entries that was, and of how many journals."""
+    added: list[int] = []
+    query = follow(spark, root, index, checkpoint, skip, renew=renew, added=added)
     query.awaitTermination()
     progress = [p for p in query.recentProgress]
-    return {"batches": len(progress), "lines": sum(p["numInputRows"] for p in progress)}
+    return {"batches": len(progress), "lines": sum(p["numInputRows"] for p in progress), "added": sum(added), "files": index.journals().count()}
 
 
-def rebuild(spark: SparkSession, root: str, index: Index, checkpoint: str) -> dict:
+def rebuild(spark: SparkSession, root: str, index: Index, checkpoint: str, renew: Callable[[], None] = lambda: None) -> dict:
     """Throws the index away and reads all journals again."""
     index.clear()
     shutil.rmtree(checkpoint.removeprefix("file://"), ignore_errors=True)
-    return catch_up(spark, root, index, checkpoint)
+    return catch_up(spark, root, index, checkpoint, renew=renew)

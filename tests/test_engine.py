@@ -1,6 +1,7 @@
 import json
 import os
 import sqlite3
+import threading
 import time
 
 import pytest
@@ -128,7 +129,7 @@ def test_search_scope_paging_and_ambiguity(engine):
     assert some["match"] == "any" and "hint" in some
     assert ask(query="shield", since="2026-01-09")["totalMatches"] == 1
     assert [e["entryId"] for e in ask()["entries"]][0] == "q"
-    with pytest.raises(ValueError, match="until must be"):
+    with pytest.raises(ValueError, match="until: .soon. is neither"):
         ask(query="shield", until="soon")
     assert engine.query(Request("read", entry_id="q"), Context("s9", "/", HOME))["status"] == "ambiguous"
     assert engine.query(Request("read", entry_id="q", session_id="s1"), here)["text"].startswith("fix")
@@ -162,6 +163,66 @@ def test_lease(engine):
     assert index.lease("a", 1000, now_ms=2500)
 
 
+def test_lease_is_taken_by_one_only(engine):
+    got = []
+    start = threading.Barrier(8)
+
+    def take(owner):
+        start.wait()
+        got.append(engine.index.lease(owner, 60_000))
+
+    threads = [threading.Thread(target=take, args=(f"w{i}",)) for i in range(8)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert sum(got) == 1
+
+
+def test_maintenance_stops_while_another_writes(engine):
+    write(f"{engine.root}/a.jsonl", header("s", "/tmp/x"), message("1", "user", "words"))
+    assert engine.command("index").startswith("2 lines read, 1 entries added, 1 journals")
+    assert engine.index.lease("other", 60_000)
+    for what in ("index", "rebuild", "gc"):
+        assert engine.command(what).startswith("Another writer")
+    assert engine.command("gc confirm").startswith("Nothing")
+    engine._previewed = [{"path": f"{engine.root}/a.jsonl", "bytes": 1, "modified_ms": 0}]
+    assert engine.command("gc confirm").startswith("Another writer") and os.path.exists(f"{engine.root}/a.jsonl")
+    with engine.index.writing("third") as renew:
+        assert renew is None
+    engine.index.release("other")
+    with engine.index.writing("third") as renew:
+        engine.index.release("third")
+        assert engine.index.lease("other", 60_000)
+        with pytest.raises(RuntimeError):
+            renew()
+
+
+def test_compaction_changes_version_in_one_step(engine):
+    for i in range(3):
+        write(f"{engine.root}/a.jsonl", *([header("s", "/w")] if i == 0 else []), message(str(i), "user", f"word{i} both"), message("0", "user", "again"), mode="a")
+        engine.refresh()
+    before, old = {k[1] for k in rows(engine)}, engine.index.entries().select("entry_id")
+    corpus = engine.index.corpus().first()
+    assert before == {"0", "1", "2"} and (corpus["n"], corpus["avgdl"]) == (3, 2.0)
+    engine.index.compact()
+    assert {k[1] for k in rows(engine)} == before and {r["entry_id"] for r in old.collect()} == before
+    assert engine.index.corpus().first() == corpus
+    assert engine.query(Request("search", query="both", scope="global"), Context("s", "/w", HOME))["totalMatches"] == 3
+    write(f"{engine.root}/a.jsonl", message("9", "user", "later"), mode="a")
+    engine.refresh()
+    assert {k[1] for k in rows(engine)} == before | {"9"}
+    with open(f"{engine.index.base}/_current.json", "w") as f:
+        json.dump({"version": "v0", "layout": 1}, f)
+    with pytest.raises(ValueError, match="rebuild"):
+        engine.index.entries()
+    assert engine.command("rebuild") and {k[1] for k in rows(engine)} == before | {"9"}
+
+
+def test_korean_and_japanese_are_found(engine):
+    write(f"{engine.root}/a.jsonl", header("s", "/w"), message("k", "user", "여기 가나다 있다"), message("j", "user", "パン と がくせい"), message("g", "user", "Ἀθήνα ёлка"))
+    found = lambda q: [e["entryId"] for e in engine.query(Request("search", query=q, scope="global"), Context("x", "/", HOME))["entries"]]
+    assert [found(q) for q in ("가나다", "パン", "がくせい", "Αθηνα", "ЕЛКА")] == [["k"], ["j"], ["j"], ["g"], ["g"]]
+
+
 def test_junk_preview_and_collect(engine):
     some = [message(str(i), "assistant", "ok") for i in range(3)]
     write(f"{engine.root}/temp.jsonl", header("1", "/tmp/x"), message("u", "user", "uniqueterm"), *some)

@@ -1,11 +1,14 @@
+import random
 import re
+import unicodedata
+from functools import reduce
 
 import pytest
 from pyspark.sql import functions as F
 
 from daybook.functions import redact as r
 from daybook.functions.dates import boundary
-from daybook.functions.text import excerpt, fold_str, phrase_count, phrases, tokens, utf16_length, utf16_slice
+from daybook.functions.text import excerpt, fold, fold_str, phrase_count, phrases, tokens, utf16_length, utf16_slice
 
 CASES = [
     ("-----BEGIN RSA PRIVATE KEY-----\nabc\n-----END RSA PRIVATE KEY----- tail", "<REDACTED PRIVATE KEY> tail"),
@@ -49,6 +52,21 @@ def test_bounded_input(spark):
     long = "a" * (r.MOST_UNITS + 5)
     got = spark.createDataFrame([(long,)], "t string").select(r.redact_bounded(F.col("t"))).first()[0]
     assert got == "a" * r.MOST_UNITS + r.CUT_NOTE
+    half = r.MOST_UNITS // 2
+    texts = ["😀" * (half + 3), "a" + "😀" * (half + 3), "😀" * half, "é" * r.MOST_UNITS]
+    got = [x[0] for x in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(r.redact_bounded(F.col("t"))).collect()]
+    assert got == ["😀" * half + r.CUT_NOTE, "a" + "😀" * (half - 1) + r.CUT_NOTE, texts[2], texts[3]]
+
+
+def test_rules_run_wherever_they_match(spark):
+    """The strings that a rule needs spare no text that its pattern matches."""
+    rng = random.Random(4)
+    bits = [t for t, _ in CASES if t] + ["to.ken", "PASS_WORD", "Api-Key", "secret", "=", ": ", "x", "\n", '"', "Bearer ", "BASIC ", "?api_key=", "&", "K", "ſ", "sk-", "AKIA", "ABCDEFGHIJKL012", "curl ", "-u ", "a:b@c", "://", "{", "}"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 9))) for _ in range(1500)]
+    plain = reduce(lambda t, rule: rule.apply(t), r.RULES, F.col("t"))
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(r.redact(F.col("t")).alias("a"), plain.alias("b"))
+    rows = df.collect()
+    assert [x["a"] for x in rows] == [x["b"] for x in rows] and sum(x["a"] != t for x, t in zip(rows, texts, strict=True)) > 700
 
 
 @pytest.mark.parametrize(("text", "expected"), [("Crème BRÛLÉE", ["creme", "brulee"]), ("İstanbul", ["istanbul"]), ("straße ﬁn x²", ["straße", "ﬁn", "x²"]), ("priv", ["priv"]), ("", []), (None, [])])
@@ -61,6 +79,21 @@ def test_phrases():
     assert phrases('"AND" (*) NEAR/2') == [("and",), ("near", "2")]
     assert phrases("  ...  ") == []
     assert fold_str("Cafés") == "cafes"
+    assert phrases("가나다 がくせい パン") == [("가나다",), ("がくせい",), ("パン",)]
+
+
+def test_requests_and_texts_fold_alike(spark):
+    """Each character of Unicode 13, alone and in a word, by both functions."""
+    known = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) not in ("Cn", "Cc")]
+    rows = spark.createDataFrame([("".join(known[i : i + 50]),) for i in range(0, len(known), 50)], "t string").select("t", fold(F.col("t")).alias("f")).collect()
+    apart = [x["t"] for x in rows if fold_str(x["t"]) != x["f"]]
+    old = unicodedata.ucd_3_2_0
+    alone = [c for t in apart for c in t if old.category(c) != "Cn"]
+    again = spark.createDataFrame([(c,) for c in alone], "t string").select("t", fold(F.col("t")).alias("f")).collect() if alone else []
+    assert [x["t"] for x in again if fold_str(x["t"]) != x["f"]] == []
+    words = "가나다 がくせい パン Ἀθήνα ĳssel Москва ёлка Ångström".split()
+    df = spark.createDataFrame([(w,) for w in words], "t string").select(tokens(F.col("t")).alias("tk"))
+    assert [tuple(x["tk"]) for x in df.collect()] == [p for w in words for p in phrases(w)]
 
 
 def test_phrase_count_overlaps(spark):
@@ -79,6 +112,8 @@ def test_excerpt(spark):
     a, b = [x[0] for x in df.select(excerpt(F.col("t"), "word")).collect()]
     assert a.startswith("…x") and a.endswith("y…") and "Wörd y" in a
     assert b == "short wörd"
+    wide = spark.createDataFrame([("😀" * 200,), ("a" + "😀" * 159 + "bc",), ("a" + "😀" * 160,), ("😀" * 160,)], "t string").select(excerpt(F.col("t"), None))
+    assert [x[0] for x in wide.collect()] == ["😀" * 160 + "…", "a" + "😀" * 159 + "b…", "a" + "😀" * 159 + "…", "😀" * 160]
 
 
 def test_boundary():
@@ -87,5 +122,5 @@ def test_boundary():
     assert boundary("2026-02-31", False) == "2026-03-03T00:00:00.000Z"
     assert boundary("2026-01-02T03:04:05+02:00", False) == "2026-01-02T01:04:05.000Z"
     assert boundary(None, True) is None
-    with pytest.raises(ValueError, match="since must be a date"):
+    with pytest.raises(ValueError, match="since: .ayer. is neither"):
         boundary("ayer", False)
