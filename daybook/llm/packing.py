@@ -34,7 +34,7 @@ GRID = 64
 END = 2
 BUCKETS = 256
 #: Words whose ids a worker holds, and the gap to the linear program's bound at which pricing stops.
-WORDS_HELD, GAP = 1_500_000, 1e-4
+WORDS_HELD, GAP = 300_000, 1e-4
 #: What ends a word, and so may be cut from it: one mark on its own is one token group of its own.
 MARKS = frozenset(".,;:!?")
 #: Texts with white space beyond ASCII's are cut at ASCII's only, and the tokenizer sees to the rest.
