@@ -140,6 +140,63 @@ def test_secret_scan(spark, tables):
     assert clean[0] == 'x é <assign>" y' and clean[5] is None and clean[1] == "<access> AKIASHORT"
 
 
+def test_secret_scan_against_a_plain_version(spark, tables):
+    """The base columns of every text of the fixture, and of texts made of secrets' pieces, by plain loops."""
+    path, texts, _ = tables
+    rng = random.Random(21)
+    bits = ["password", "PASSWD", "token", "api_key", "apikey", '"', "'", " ", ":", "=", "AKIA", "ABCDEFGH01234567", "0123456789abcdef", "abcdef", "é", "\n", "x.y/z+w-", "😀", "secret", "_"]
+    texts = [*texts, *["".join(rng.choice(bits) for _ in range(rng.randrange(1, 24))) for _ in range(400)], "a" * 100_000 + " token=" + "q7" * 5000]
+    into = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, secrets int").write.parquet(f"{into}/documents.parquet")
+    got = by_id(secret_scan.op2_secret_scan(spark, into))
+    chars = lambda *ranges: {chr(c) for a, b in ranges for c in range(ord(a), ord(b) + 1)}
+    value, access, hexa = chars("AZ", "az", "09") | set("+/_.=-"), chars("AZ", "09"), chars("09", "af")
+
+    def run(t, at, allowed):
+        stop = at
+        while stop < len(t) and t[stop] in allowed:
+            stop += 1
+        return stop
+
+    def assigned(t, at):
+        low = t[at : at + 8].lower() if t[at : at + 8].isascii() else "".join(c.lower() if c.isascii() else c for c in t[at : at + 8])
+        for word in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if low.startswith(word):
+                p = at + len(word)
+                for q in ([p + 1] if t[p : p + 1] in ('"', "'") and t[p : p + 1] else []) + [p]:
+                    k = run(t, q, {" "})
+                    if t[k : k + 1] in (":", "="):
+                        k = run(t, k + 1, {" "})
+                        k += 1 if t[k : k + 1] and t[k] in "\"'" else 0
+                        stop = run(t, k, value)
+                        if stop > k:
+                            return stop, stop - k >= 8
+        return None
+
+    for i, t in enumerate(texts):
+        t, spans = t or "", []
+        at = 0
+        while at < len(t):
+            found = assigned(t, at)
+            if found:
+                spans += [(at, found[0], "assign")] * found[1]
+            at = found[0] if found else at + 1
+        for kind, begins, allowed, least in (("access", "AKIA", access, 16), ("hex", "", hexa, 32)):
+            at = 0
+            while at < len(t):
+                stop = run(t, at + len(begins), allowed) if t.startswith(begins, at) else at
+                if stop > at + len(begins):
+                    spans += [(at, stop, kind)] * (stop - at >= least)
+                    at = stop
+                else:
+                    at += 1
+        spans.sort(key=lambda x: (x[0], secret_scan.KINDS.index(x[2])))
+        r, line = got[i], ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
+        assert r["base_sha256"] == hashlib.sha256(line.encode()).hexdigest()
+        assert tuple(r[f"n_{k}"] for k in secret_scan.KINDS[:3]) == tuple(sum(x[2] == k for x in spans) for k in secret_scan.KINDS[:3])
+        assert set(filter(None, line.split(","))) <= set(r["spans"].split(","))
+
+
 def random_token(rng, n):
     return "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
 
@@ -198,6 +255,21 @@ def test_jaccard_join(spark, tables, monkeypatch, full, frequent):
     assert [(got[i]["n_shingles"], got[i]["component_id"]) for i in range(len(texts))] == brute_components(texts)
 
 
+def test_near_links_are_complete(spark, tables, monkeypatch):
+    path, texts, _ = tables
+    monkeypatch.setattr(jaccard_join, "FULL", 4)
+    links, members = jaccard_join.near_links(spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text"))
+    sets = {}
+    for i, t in enumerate(texts):
+        w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        s = frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+        sets.setdefault(s, i)
+    want = {tuple(sorted((x, y))) for (a, x), (b, y) in itertools.combinations(sets.items(), 2) if a and b and 100 * len(a & b) >= 75 * len(a | b)}
+    got = [(r["a"], r["b"]) for r in links.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 300
+    assert {r["set_id"] for r in members.collect()} - {None} == {i for s, i in sets.items() if s}
+
+
 def test_sketch_blocks_meet():
     rng = np.random.default_rng(2)
     for n in (1, 2, 3, 4, 7, 8, 15, 16, 33, 100, 300):
