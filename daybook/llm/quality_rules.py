@@ -10,7 +10,7 @@ labels for its bound, stays off. So with probability ``1 - delta`` no stratum
 loses more than ``alpha`` of its good documents to the rules.
 
 Only DataFrame operations are used. Defined cases: a null or empty text has no words and fails the base test; a null
-``lang`` is a stratum of its own; strata beyond the ``max_strata`` with most labels are pooled; rows that repeat are
+``lang`` is a stratum of its own; a stratum with too few labels for its bound has no cutoffs; rows that repeat are
 judged alike; a document with several label rows counts with its lowest quality; documents without label and labels
 without document do not take part in the choice; empty tables give no cutoffs and no rows.
 """
@@ -23,12 +23,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daybook.llm.common import bare, fresh, let, stage, table, words
+from daybook.llm.common import bare, fresh, let, small, stage, table, words
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-POOLED = "\u0000pooled"
 
 #: Rule: its statistic, +1 if large values are bad and -1 if small ones are, cutoffs from lenient to strict.
 RULES: dict[str, tuple[int, tuple[float, ...]]] = {
@@ -48,7 +47,6 @@ class Risk:
     alpha: float = 0.02
     delta: float = 0.05
     lift: float = 10.0
-    max_strata: int = 256
 
 
 def _repeat_words(found: Column) -> Column:
@@ -168,16 +166,6 @@ def choose_cutoffs(measured: DataFrame, labels: DataFrame, key: str = "doc_id",
         hit = rejects(F.col(f"rules.{r}"), r, c)
         sums += [F.count_if(hit & F.col("_good")).alias(f"g_{r}_{i}"), F.count_if(hit & ~F.col("_good")).alias(f"b_{r}_{i}")]
     by_stratum = joined.groupBy("_stratum", "_null").agg(*sums)
-    ranked = by_stratum.orderBy(F.desc("good"), "_null", "_stratum").limit(risk.max_strata).select("_stratum", "_null")
-    if by_stratum.limit(risk.max_strata + 1).count() > risk.max_strata:
-        kept = F.broadcast(ranked.withColumn("_own", F.lit(True)))
-        by_stratum = by_stratum.join(kept, ["_stratum", "_null"], "left")
-        by_stratum = (
-            by_stratum.withColumn("_stratum", F.when(F.col("_own"), F.col("_stratum")).otherwise(POOLED))
-            .withColumn("_null", F.coalesce(F.col("_null") & F.col("_own"), F.lit(False)))
-            .groupBy("_stratum", "_null")
-            .agg(*[F.sum(c).alias(c) for c in ("good", "bad", *(f"{x}_{r}_{i}" for x in "gb" for r, i, _ in tests))])
-        )
     listed = F.array(
         *[
             F.struct(F.lit(r).alias("rule"), F.lit(i).alias("step"), F.lit(c).alias("cutoff"), F.col(f"g_{r}_{i}").alias("good_lost"), F.col(f"b_{r}_{i}").alias("bad_caught"))
@@ -204,19 +192,14 @@ def choose_cutoffs(measured: DataFrame, labels: DataFrame, key: str = "doc_id",
 
 
 def judge(measured: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> DataFrame:
-    """measured with boolean ``kept`` and the array ``broken`` of the rules that a document breaks. The cutoffs are at
-    most one row for each stratum of a bounded number, so they are broadcast."""
+    """measured with boolean ``kept`` and the array ``broken`` of the rules that a document breaks. The cutoffs, a row for
+    each stratum that has any, are broadcast if they were counted and are few; else the documents are shuffled to them."""
     wide = cutoffs.groupBy("stratum", "is_null").pivot("rule", list(RULES)).agg(F.first("cutoff"))
-    wide = wide.select(F.when(F.col("is_null"), "n").when(F.col("stratum") == POOLED, "p").otherwise(F.concat(F.lit("v"), F.col("stratum"))).alias("_at"), *[F.col(r).alias(f"_cut_{r}") for r in RULES])
-    own = F.when(F.col(stratum).isNull(), "n").otherwise(F.concat(F.lit("v"), F.col(stratum).cast("string")))
-    pooled = wide.where("_at = 'p'").select(*[F.col(f"_cut_{r}").alias(f"_pool_{r}") for r in RULES])
-    known = wide.where("_at <> 'p'")
-    joined = measured.withColumn("_at", own).join(F.broadcast(known.withColumn("_known", F.lit(True))), "_at", "left")
-    joined = joined.join(F.broadcast(pooled), F.lit(True), "left")
-    broken = F.array_compact(
-        F.array(*[F.when(rejects(F.col(f"rules.{r}"), r, F.when(F.col("_known"), F.col(f"_cut_{r}")).otherwise(F.col(f"_pool_{r}"))), F.lit(r)) for r in RULES])
-    )
-    out = joined.withColumn("broken", broken).drop("_at", "_known", *[f"_cut_{r}" for r in RULES], *[f"_pool_{r}" for r in RULES])
+    at = lambda null, value: F.when(null, "n").otherwise(F.concat(F.lit("v"), value))
+    wide = wide.select(at(F.col("is_null"), F.col("stratum")).alias("_at"), *[F.col(r).alias(f"_cut_{r}") for r in RULES])
+    joined = measured.withColumn("_at", at(F.col(stratum).isNull(), F.col(stratum).cast("string"))).join(small(wide), "_at", "left")
+    broken = F.array_compact(F.array(*[F.when(rejects(F.col(f"rules.{r}"), r, F.col(f"_cut_{r}")), F.lit(r)) for r in RULES]))
+    out = joined.withColumn("broken", broken).drop("_at", *[f"_cut_{r}" for r in RULES])
     return out.withColumn("kept", ~F.col("rules.base_failed") & (F.size("broken") == 0))
 
 

@@ -121,6 +121,28 @@ def test_cutoffs_keep_good_documents(spark):
     assert kept == {i for i in range(4000) if i % 5}
 
 
+def test_every_stratum_has_cutoffs_of_its_own(spark, tmp_path):
+    """400 strata; rules act in those with labels enough, in both directions of the join; held against the SQL."""
+    import duckdb
+
+    rng = random.Random(31)
+    langs = [None, "", *[f"l{i}" for i in range(398)]]
+    rows = []
+    for i in range(26_000):
+        lang = langs[i % 3] if i < 24_000 else langs[i % 400]
+        bad = i % 7 == 0
+        rows.append((i, lang, " ".join(f"w{rng.randrange(10**5)}" for _ in range(60)) + (" #$%&" * 60 if bad else ""), int(not bad)))
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    spark.createDataFrame([r[:3] for r in rows], "doc_id long, lang string, text string").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(r[0], r[3], 0) for r in rows], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    got = {(r["doc_id"], r["kept"], r["broken"]) for r in quality_rules.op1_quality_rules(spark, path).collect()}
+    con = duckdb.connect()
+    for name in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{path.removeprefix('file://')}/{name}.parquet/*.parquet'")
+    want = con.execute(f"SELECT doc_id, kept, broken FROM ({quality_rules.op1_sql()})").fetchall()
+    assert got == set(want) and sum(bool(b) for _, _, b in got) > 3000
+
+
 def test_secret_scan(spark, tables):
     path, texts, _ = tables
     got = by_id(secret_scan.op2_secret_scan(spark, path))
