@@ -29,6 +29,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -52,13 +53,33 @@ BLOCK, UNIGRAMS, GRAMS, CONTEXT = 4 << 20, 32 << 20, 16 << 20, 2_000_000
 DISCOUNTED = 5
 
 
+@lru_cache(maxsize=1)
+def _zstd() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    """A worker's own, made once: messages are many and small."""
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def pressed(b: bytes) -> bytes:
+    return _zstd()[0].compress(b)
+
+
+def opened(b: bytes) -> bytes:
+    return _zstd()[1].decompress(b)
+
+
 def packed(x: np.ndarray) -> bytes:
-    """64-bit values byte plane by byte plane, compressed: sorted or small ones take a fraction of their size."""
-    return zstandard.compress(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+    """64-bit values byte plane by byte plane, as many as the largest has, compressed: sorted or small ones take a
+    fraction of their size."""
+    x = x.astype("<u8")
+    planes = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([planes]) + pressed(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :planes].T).tobytes())
 
 
 def unpacked(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(b), np.uint8).reshape(8, -1).T).reshape(-1).view("<u8")
+    raw = np.frombuffer(opened(b[1:]), np.uint8).reshape(b[0], -1)
+    out = np.zeros((raw.shape[1], 8), np.uint8)
+    out[:, : b[0]] = raw.T
+    return out.reshape(-1).view("<u8")
 
 
 def steps(x: np.ndarray) -> bytes:
@@ -72,11 +93,11 @@ def summed(b: bytes) -> np.ndarray:
 
 
 def bits(x: np.ndarray) -> bytes:
-    return zstandard.compress(np.packbits(x).tobytes(), 1)
+    return pressed(np.packbits(x).tobytes())
 
 
 def unbits(b: bytes, n: int) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(zstandard.decompress(b), np.uint8), count=n).astype(bool)
+    return np.unpackbits(np.frombuffer(opened(b), np.uint8), count=n).astype(bool)
 
 
 def is_training(doc_ids: pa.Array) -> np.ndarray:
@@ -354,7 +375,7 @@ class Scorer:
             total[v] += unpacked(r["total"]).astype(np.int64)
             for j in range(DISCOUNTED):
                 seen[j, v] += unpacked(r["seen"][j])
-            mass[v[own.held_out[v]]] += np.frombuffer(zstandard.decompress(r["mass"]))
+            mass[v[own.held_out[v]]] += np.frombuffer(opened(r["mass"]))
         n, lone, context, word = n[:k], lone[:k], own.context[:k], own.word[:k]
         freed = ((1 - d[1 : DISCOUNTED + 1]) * np.arange(1, DISCOUNTED + 1)) @ seen
         below = np.where(freed > 1e-9, total, total + 1)  # a context that frees nothing: as if it had one more, unknown, successor
@@ -438,7 +459,7 @@ def count_grams(docs: DataFrame, model: Model, parts: int) -> Order:
             asks = w[unbits(r["asks"], len(run))]
             out.append({
                 "block": r["block"], "part": r["part"], "n": packed(told[at : at + size]), "lone": bits(lone[at : at + size]), "total": packed(every[w]), "seen": [packed(x[w]) for x in sums],
-                "mass": zstandard.compress(mass[asks].tobytes(), 1),
+                "mass": pressed(mass[asks].tobytes()),
             })
             at, pos = at + size, pos + len(run)
         numbers = [int((total == j).sum()) for j in range(1, DISCOUNTED + 2)]
