@@ -2,6 +2,12 @@
 
 Each stage works on all that the one before it kept, as a Parquet table in the shared folder. All but the last return
 the columns of documents. A stage that filters keeps every document that its operator doesn't reject.
+
+Defined cases: null, empty and very short texts fail the quality rules' base test and go there; rows that repeat are near
+copies of each other, but only rows of another id go, so rows that repeat an id stay together; a row without an id is
+judged by its text like any other, and stays where only ids tell copies apart; extra columns come through all stages but
+the last, also where their names clash with an operator's own; an empty documents table gives no rows, empty labels no
+cutoffs, an empty benchmark no leaks.
 """
 
 from __future__ import annotations
