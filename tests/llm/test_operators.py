@@ -640,3 +640,19 @@ def test_pipeline_stages(spark, tables):
             assert ids == [own[k] for k, (_, c) in enumerate(want) if c == k]
         if name == "secret scans":
             assert ids == sorted(r["doc_id"] for r in before.collect())
+
+
+@pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="the pipeline goes with this subpackage")
+def test_pipeline_on_empty_tables_and_rows_without_id(spark, empty):
+    import corpus_pipeline
+
+    assert corpus_pipeline.run(spark, empty).collect() == []
+    rng = random.Random(41)
+    text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(120))
+    rows = [(None, text, "en", "s", 1, "x", 1, 2, 3, "k"), (None, None, None, None, None, "x", 1, 2, 3, "k"), (4, text + " more", "en", "s", 1, "x", 1, 2, 3, "k"), (4, text + " more", "en", "s", 1, "x", 1, 2, 3, "k")]
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{empty}/{name}.parquet").write.parquet(f"{path}/{name}.parquet")
+    got = corpus_pipeline.run(spark, path).collect()
+    assert sorted({str(r["doc_id"]) for r in got}) == ["4", "None"] and sum(r["start"] == 0 for r in got) == 3
