@@ -65,9 +65,10 @@ def find_ambiguous(spark: SparkSession, d: str) -> DataFrame:
 
 
 def read_page(spark: SparkSession, d: str) -> DataFrame:
-    """The second page of 100 characters of each entry, and where the next begins."""
-    c = conversations(spark, d).where("chars > 100")
-    return c.select("entry_id", F.substring("text", 101, 100).alias("text"), F.when(F.col("chars") > 200, F.lit(200).cast("long")).alias("next_offset"))
+    """Every page of 100 characters of each entry, and where the next begins."""
+    at = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("chars") - 1, F.lit(0)), F.lit(100).cast("long")))
+    c = conversations(spark, d).select("entry_id", "text", "chars", at.alias("at"))
+    return c.select("entry_id", "at", F.expr("substring(text, CAST(at AS INT) + 1, 100)").alias("text"), F.when(F.col("at") + 100 < F.col("chars"), F.col("at") + 100).alias("next_offset"))
 
 
 def _scoped(spark, d, scope, **more):
@@ -206,7 +207,7 @@ def sql() -> dict[str, str]:
         "summaries_list": e(f"SELECT {cols} FROM e WHERE kind IN ('compaction', 'branch_summary') {_PAGE}"),
         "find_entry": e(f"SELECT path, {cols}, chars, \"offset\", length FROM e WHERE entry_id = '7-1'"),
         "find_ambiguous": e("SELECT 'turn-' || turn AS entry_id, count(DISTINCT session_id) AS sessions, max(ts) AS latest FROM e GROUP BY turn HAVING count(DISTINCT session_id) > 1"),
-        "read_page": e("SELECT entry_id, substring(text, 101, 100) AS text, CASE WHEN chars > 200 THEN CAST(200 AS BIGINT) END AS next_offset FROM e WHERE chars > 100"),
+        "read_page": e('SELECT entry_id, "at", substring(text, "at" + 1, 100) AS text, CASE WHEN "at" + 100 < chars THEN "at" + 100 END AS next_offset FROM (SELECT *, unnest(range(0, greatest(chars, 1), 100)) AS "at" FROM e) p'),
         "scope_session": e("SELECT entry_id, cwd FROM e WHERE session_id = '11'"),
         "scope_project": e(f"SELECT entry_id, cwd FROM e WHERE cwd = '{FOLDERS[0]}' OR lower(cwd) LIKE lower('{FOLDERS[0]}/') || '%'"),
         "scope_global": e("SELECT entry_id, cwd FROM e WHERE kind = 'user'"),
