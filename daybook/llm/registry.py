@@ -1,5 +1,6 @@
 """The queries of the training-data operators, and their SQL where SQL can express them."""
 
+from daybook.llm.collocations import op11_collocations, op11_sql
 from daybook.llm.decontamination import op6_decontamination, op6_sql
 from daybook.llm.jaccard_join import op3_jaccard_join, op3_sql
 from daybook.llm.katz import op8_katz
@@ -24,6 +25,7 @@ def queries() -> dict:
         "op8_katz": op8_katz,
         "op9_packing": op9_packing,
         "op10_weak_labels": op10_weak_labels,
+        "op11_collocations": op11_collocations,
     }
 
 
@@ -34,4 +36,5 @@ def oracle_sql() -> dict:
         "op5_warc": OP5_SQL,
         "op6_decontamination": op6_sql(),
         "op7_license_scan": op7_sql(),
+        "op11_collocations": op11_sql(),
     }

@@ -14,10 +14,10 @@ CHUNK = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[ord("A") : ord("Z") + 1] += 32
+LOWER_BYTES = np.arange(256, dtype=np.uint8)
+LOWER_BYTES[ord("A") : ord("Z") + 1] += 32
 _BASE = U(0x9E3779B97F4A7C15)
-_STEPS = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], U)
+STEPS = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], U)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -29,12 +29,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-_VALUE = mix(np.arange(1, 257, dtype=U) * _BASE)
+VALUE = mix(np.arange(1, 257, dtype=U) * _BASE)
 _INVERSE = U(pow(int(_BASE), -1, 1 << 64))
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     size = max(CHUNK * 2, 1 << max(n, 1).bit_length())
     if not _powers or next(iter(_powers)) < n:
         up, down = np.full(size, _BASE, U), np.full(size, _INVERSE, U)
@@ -76,9 +76,9 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tup
     last = offsets[1:][offsets[1:] > 0] - 1
     stops[last] = solid[last]
     at, to = np.flatnonzero(starts), np.flatnonzero(stops) + 1
-    up, down = _power_tables(n + 1)
+    up, down = power_tables(n + 1)
     sums = np.zeros(n + 1, U)
-    np.cumsum(_VALUE[_LOWER[raw] if lower else raw] * up[:n], out=sums[1:])
+    np.cumsum(VALUE[LOWER_BYTES[raw] if lower else raw] * up[:n], out=sums[1:])
     return mix((sums[to] - sums[at]) * down[at] + (to - at).astype(U)), np.searchsorted(at, offsets)
 
 
@@ -88,7 +88,7 @@ def shingle_sets(texts: pa.Array, width: int = 5) -> Iterator[tuple[int, np.ndar
         h, cuts = word_hashes(raw, offsets)
         s = np.zeros(max(0, len(h) - width + 1), U)
         for k in range(width):
-            s += h[k : len(h) - width + 1 + k] * _STEPS[k % 5] ** U(k // 5 + 1) if len(s) else U(0)
+            s += h[k : len(h) - width + 1 + k] * STEPS[k % 5] ** U(k // 5 + 1) if len(s) else U(0)
         s = mix(s)
         for i in range(last - first):
             a, b = int(cuts[i]), int(cuts[i + 1])
@@ -97,7 +97,7 @@ def shingle_sets(texts: pa.Array, width: int = 5) -> Iterator[tuple[int, np.ndar
             elif b > a:
                 few = np.array([b - a], U)
                 for k in range(a, b):
-                    few = mix(few * _STEPS[0] + h[k : k + 1])
+                    few = mix(few * STEPS[0] + h[k : k + 1])
                 yield first + i, few
             else:
                 yield first + i, np.zeros(0, U)
