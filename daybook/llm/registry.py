@@ -6,6 +6,7 @@ from daybook.llm.jaccard_join import op3_jaccard_join, op3_sql
 from daybook.llm.katz import op8_katz
 from daybook.llm.license_scan import op7_license_scan, op7_sql
 from daybook.llm.packing import op9_packing
+from daybook.llm.prefix_trie import op12_prefix_trie, op12_sql
 from daybook.llm.quality_rules import op1_quality_rules, op1_sql
 from daybook.llm.secret_scan import op2_secret_scan
 from daybook.llm.sharding import op4_sharding
@@ -26,6 +27,7 @@ def queries() -> dict:
         "op9_packing": op9_packing,
         "op10_weak_labels": op10_weak_labels,
         "op11_collocations": op11_collocations,
+        "op12_prefix_trie": op12_prefix_trie,
     }
 
 
@@ -37,4 +39,5 @@ def oracle_sql() -> dict:
         "op6_decontamination": op6_sql(),
         "op7_license_scan": op7_sql(),
         "op11_collocations": op11_sql(),
+        "op12_prefix_trie": op12_sql(),
     }
