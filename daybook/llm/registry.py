@@ -1,5 +1,6 @@
 """The queries of the training-data operators, and their SQL where SQL can express them."""
 
+from daybook.llm.chat_format import op13_chat_format, op13_sql
 from daybook.llm.collocations import op11_collocations, op11_sql
 from daybook.llm.decontamination import op6_decontamination, op6_sql
 from daybook.llm.jaccard_join import op3_jaccard_join, op3_sql
@@ -28,6 +29,7 @@ def queries() -> dict:
         "op10_weak_labels": op10_weak_labels,
         "op11_collocations": op11_collocations,
         "op12_prefix_trie": op12_prefix_trie,
+        "op13_chat_format": op13_chat_format,
     }
 
 
@@ -40,4 +42,5 @@ def oracle_sql() -> dict:
         "op7_license_scan": op7_sql(),
         "op11_collocations": op11_sql(),
         "op12_prefix_trie": op12_sql(),
+        "op13_chat_format": op13_sql(),
     }
