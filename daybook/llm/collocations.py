@@ -7,11 +7,12 @@ the first word are both proposed. A frequent phrase of the border that was not p
 frequent phrases are then proposed too, and a further full pass counts what came into the border by that, until no new
 phrase is frequent. The result doesn't depend on the sample.
 
-Passes count hashes. Which phrases are proposed is told to the tasks by a sieve of at most ``MOST_BITS`` bits, so it is
-bounded at any size of the corpus. What the sieve lets through by mistake is counted like the rest: a count is a count, so
-mistakes cost rows, and no phrase is lost; with far more phrases than bits the pass counts all phrases, which grows in
-proportion to the text. Tasks sum what they count before it is shuffled, so a phrase that stands everywhere is a few rows.
-At the end a pass counts the frequent phrases by their words, so no hash is in the result.
+Passes count hashes of 61 bits, each with a second one of 31 and the number of words, so what is counted together is one
+phrase. Which phrases are proposed is told to the tasks by a sieve of at most ``MOST_BITS`` bits, so it is bounded at any
+size of the corpus. What the sieve lets through by mistake is counted like the rest: a count is a count, so mistakes cost
+rows, and no phrase is lost; with far more phrases than bits the pass counts all phrases, which grows in proportion to the
+text. Tasks sum what they count before it is shuffled, so a phrase that stands everywhere is a few rows. At the end the
+frequent phrases get their words from growing shares of the documents, until none is without: a task tells a phrase once.
 
 Cut scores are integers of decimals with 38 digits. A candidate goes if a longer candidate holds it as often: then one that
 is longer by a single word does, so only those are compared.
@@ -26,6 +27,7 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,9 @@ from daybook.llm.tokens import LOWER_BYTES, STEPS, U, VALUE, mix, power_tables,
 
 MIN_COUNT, MAX_WORDS, TOP = 100, 5, 2000
 #: The share of documents that are sampled, and the count that makes a phrase frequent in the sample.
-SAMPLE, LOWERED = 0.1, 3
+SAMPLE, LOWERED = 0.1, 5
+#: The shares of the documents that phrases without a name are looked for in, one after the other.
+NAMING = (1 / 64, 1 / 8, 1)
 MOST_BITS, LEAST_BITS = 1 << 28, 1 << 16
 #: Hashes, and phrases, that a task holds before it hands them on.
 HELD_HASHES, HELD_PHRASES = 1 << 22, 200_000
@@ -138,86 +142,95 @@ def phrases(w: Words, held: Sieve | None, old: Sieve | None = None, known: int =
         was[at[before]] = old.has(tagged[before]) if old else False
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Words, list[str]]]:
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Words, list[str], np.ndarray]]:
+    """Words, and the language of each text with its seed."""
     for batch in batches:
         langs = batch.column("lang").to_pylist()
         seed = {x: U(int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little")) for x in set(langs)}
         for first, last, raw, offsets in text_chunks(batch.column("text")):
-            if len(raw):
-                yield Words(raw, offsets, np.array([seed[x] for x in langs[first:last]], U)), langs[first:last]
+            seeds = np.array([seed[x] for x in langs[first:last]], U)
+            yield Words(raw, offsets, seeds), langs[first:last], seeds
 
 
-def counted(docs: DataFrame, held: Sieve | None, old: Sieve | None = None, levels: tuple[int, int] = (1, MAX_WORDS), known: int = MAX_WORDS - 1) -> DataFrame:
-    """h, n: how often each phrase of these numbers of words occurs of which ``phrases`` says that it is to be counted now."""
-    context = docs.sparkSession.sparkContext
-    told = context.broadcast((held.bits if held else None, old.bits if old else None))
+def _second(check: np.ndarray) -> np.ndarray:
+    return (mix(check) >> U(33)).astype(np.int32)
+
+
+def counted(docs: DataFrame, held: Sieve | None, old: Sieve | None = None, levels: tuple[int, int] = (0, MAX_WORDS), known: int = MAX_WORDS - 1) -> DataFrame:
+    """h, c, n: how often each phrase of these numbers of words occurs of which ``phrases`` says that it is to be counted
+    now. With no words: how many words its language has."""
+    told = docs.sparkSession.sparkContext.broadcast((held.bits if held else None, old.bits if old else None))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine, before = (Sieve(b) if b is not None else None for b in told.value)
-        gathered, size = [], 0
+        gathered, size, totals = [], 0, defaultdict(int)
 
         def summed() -> pa.RecordBatch:
-            h, n = np.unique(np.concatenate(gathered), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
-
-        for w, _ in _chunks(batches):
-            for k, _, tagged, new in phrases(w, mine, before, known, levels[1]):
+            h, c = (np.concatenate(x) for x in zip(*gathered, strict=True))
+            order = np.argsort(h)
+            h, c = h[order], c[order]
+            first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])]))
+            return pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(c[first]), pa.array(np.diff(np.append(first, len(h))))], ["h", "c", "n"])
+
+        for w, _, seeds in _chunks(batches):
+            if levels[0] == 0:
+                for seed, n in zip(seeds.tolist(), np.bincount(w.text, minlength=len(seeds)).tolist(), strict=True):
+                    totals[seed] += n
+            for k, at, tagged, new in phrases(w, mine, before, known, levels[1]):
                 if k >= levels[0]:
-                    gathered.append(tagged[new])
-                    size += len(gathered[-1])
+                    gathered.append((tagged[new], _second(w.checks(at[new], k))))
+                    size += len(gathered[-1][0])
             if size >= HELD_HASHES:
                 yield summed()
                 gathered, size = [], 0
         if size:
             yield summed()
+        if totals:
+            seeds = np.array(list(totals), U)
+            yield pa.RecordBatch.from_arrays([pa.array(_tagged(seeds, 0).view(np.int64)), pa.array(_second(seeds)), pa.array(list(totals.values()))], ["h", "c", "n"])
 
-    return docs.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(run, "h long, c int, n long").groupBy("h", "c").agg(F.sum("n").alias("n"))
 
 
-def named(docs: DataFrame, frequent: Sieve) -> DataFrame:
-    """lang, phrase, n: how often the phrases that the sieve has occur, by their words; the empty phrase counts all words."""
-    told = docs.sparkSession.sparkContext.broadcast(frequent.bits)
+def names(docs: DataFrame, wanted: Sieve) -> DataFrame:
+    """h, c, lang, phrase: the words of the phrases that the sieve has; the empty phrase for a language."""
+    told = docs.sparkSession.sparkContext.broadcast(wanted.bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine, names, totals = Sieve(told.value), {}, defaultdict(int)
-
-        def summed() -> pa.RecordBatch:
-            rows = [(*names[key], n) for key, n in totals.items()]
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["lang", "phrase", "n"])
-
-        for w, langs in _chunks(batches):
-            for lang, n in zip(langs, np.bincount(w.text, minlength=len(langs)).tolist(), strict=True):
-                names[lang] = (lang, "")
-                totals[lang] += n
-            for k, at, tagged, _ in phrases(w, mine):
+        mine, seen = Sieve(told.value), set()
+        for w, langs, seeds in _chunks(batches):
+            rows = []
+            for tag, c, has, lang in zip(_tagged(seeds, 0).tolist(), _second(seeds).tolist(), mine.has(_tagged(seeds, 0)).tolist(), langs, strict=True):
+                if has and (tag, c) not in seen:
+                    seen.add((tag, c))
+                    rows.append((tag, c, lang, ""))
+            for k, at, tagged, _ in phrases(w, None):
                 mask = mine.has(tagged)
                 at, tagged = at[mask], tagged[mask]
-                if not len(at):
-                    continue
-                order = np.argsort(tagged)
-                at, tagged = at[order], tagged[order]
-                check = w.checks(at, k)
-                first = np.flatnonzero(np.concatenate([[True], (tagged[1:] != tagged[:-1]) | (check[1:] != check[:-1])]))
-                sizes = np.diff(np.append(first, len(at)))
-                for h, c, i, n in zip(tagged[first].tolist(), check[first].tolist(), at[first].tolist(), sizes.tolist(), strict=True):
-                    if (h, c) not in names:
-                        names[h, c] = (langs[w.text[i]], w.phrase(i, k))
-                    totals[h, c] += n
-            if len(totals) >= HELD_PHRASES:
-                yield summed()
-                names, totals = {}, defaultdict(int)
-        if totals:
-            yield summed()
-
-    return docs.mapInArrow(run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+                c = _second(w.checks(at, k))
+                order = np.lexsort((c, tagged))
+                at, tagged, c = at[order], tagged[order], c[order]
+                first = np.flatnonzero(np.concatenate([[True], (tagged[1:] != tagged[:-1]) | (c[1:] != c[:-1])])[: len(at)])
+                for tag, c, i in zip(tagged[first].tolist(), c[first].tolist(), at[first].tolist(), strict=True):
+                    if (tag, c) not in seen:
+                        seen.add((tag, c))
+                        rows.append((tag, c, langs[w.text[i]], w.phrase(i, k)))
+            if rows:
+                tags, seconds, own, said = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(tags, U).view(np.int64)), pa.array(seconds, pa.int32()), pa.array(own), pa.array(said)], ["h", "c", "lang", "phrase"])
+            if len(seen) >= HELD_PHRASES:
+                seen = set()
+
+    return docs.mapInArrow(run, "h long, c int, lang string, phrase string").dropDuplicates(["h", "c"])
 
 
 def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, sample: float = SAMPLE, lowered: int = LOWERED) -> DataFrame:
     """lang, phrase, n (staged): all phrases of at most ``MAX_WORDS`` words that occur ``min_count`` times or more in a
-    language, and for each language the empty phrase with the number of its words. docs: text, lang."""
+    language, and for each language with as many words the empty phrase with their number. docs: text, lang."""
     docs = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"), F.coalesce(F.col("lang"), F.lit(UND)).alias("lang"))
-    some = docs.where(F.pmod(F.xxhash64("text", "lang"), F.lit(1_000_000)) < int(sample * 1_000_000))
+    share = lambda of, seed: docs.where(F.pmod(F.xxhash64(F.lit(seed), "text", "lang"), F.lit(1_000_000)) < int(of * 1_000_000))
     often = lambda df, least, label: stage(df.where(F.col("n") >= least), label)
+    some = share(sample, 1)
     short = often(counted(some, None, levels=(1, 2)), lowered, "phrases-sampled")
     long = often(counted(some, sieve(short, bits_for(short.count())), levels=(3, MAX_WORDS), known=2), lowered, "phrases-sampled")
     proposed = short.unionByName(long)
@@ -231,8 +244,15 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, sample: float
             break
         found = found.unionByName(often(counted(docs, wider, held, levels=(2, MAX_WORDS)), min_count, "phrases-frequent"))
         held = wider
-    by_words = named(docs, sieve(found, bits_for(found.count())))
-    return stage(by_words.where((F.col("n") >= min_count) | (F.col("phrase") == "")), "phrases-named")
+    missing, named = found, []
+    for of in NAMING:
+        wanted = missing.count()
+        if not wanted:
+            break
+        told = names(share(of, 2), sieve(missing, bits_for(wanted))).join(missing, ["h", "c"])
+        named.append(stage(told.select("h", "c", "lang", "phrase", "n"), "phrases-named"))
+        missing = stage(missing.join(named[-1].select("h", "c"), ["h", "c"], "left_anti"), "phrases-missing")
+    return reduce(DataFrame.unionByName, named).select("lang", "phrase", "n") if named else docs.sparkSession.createDataFrame([], "lang string, phrase string, n long")
 
 
 def _joined(w: Column) -> Column:
