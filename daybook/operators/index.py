@@ -1,44 +1,64 @@
 """The index: pointers, terms and statistics as Parquet, without any text.
 
-All tables of a version lie in one folder, and a small file names the current version: compacting writes a new version and
-then changes the name in one step, so that a reader or a crash finds one version whole.
+A version is a list of parts, committed by the log (``log.py``). A part has four tables:
 
-Each ingested batch is a folder of its own, written over if the batch is run again, so that rows and cursor stay in
-step with the stream's checkpoint. A journal's rows hold its generation; readers keep the latest only, so a rewritten
-journal's old rows are dead at once and go when the index is compacted. Postings are split into folders by a hash of
-the term: a search reads the folders of its own terms. Joins with the journals carry no hint: Spark broadcasts them while
-they are small, and shuffles them when they are not."""
+- ``entries``: a row for each entry, sorted by journal and offset, read for those that are shown or listed;
+- ``facts``: a row for each block, with the offset, length in tokens, kind, role and time of each of its entries. A block
+  has the entries that begin in one stretch of ``STRETCH`` bytes of a journal; blocks and the entries in them are numbered;
+- ``postings``: a row for each term of each block: how many of its entries have the term, and each occurrence as the entry's
+  number and the token's place in the block, both ascending. Rows lie in folders by a checksum of the term, as many as the
+  part's tokens need, sorted by term, so a term is stored once for many blocks and a search opens few files;
+- ``journals``: what each journal has: header, bytes, entries, tokens.
+
+A block's journal and generation decide whether it is live; readers join the latest generations only, and merging leaves
+the others out. Parts of one level are merged when there are ``FANOUT`` of them, so n batches leave about
+``FANOUT * log(n)`` parts. Joins carry no hint: Spark broadcasts what is small, and shuffles what is not."""
 
 from __future__ import annotations
 
-import json
-import os
+import math
 import posixpath
-import shutil
+import random
 import time
-import uuid
-from collections.abc import Callable, Iterator
+import zlib
+from collections.abc import Iterator
 from contextlib import contextmanager
+from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from daybook.functions.entries import SUMMARIES, with_entries
 from daybook.functions.redact import redact
 from daybook.functions.text import tokens
-
-BUCKETS = 32
-ENTRIES = "path string, generation int, entry_id string, parent_id string, ts string, kind string, role string, name string, chars int, tokens_before double, offset bigint, length int, dl int, batch string"
-POSTINGS = "term string, path string, generation int, offset bigint, positions array<int>, batch string, tb int"
-JOURNALS = "path string, generation int, session_id string, cwd string, started_at string, header_at bigint, bytes bigint, entries bigint, tokens bigint, batch string"
-#: Layout of the tables; an index of another layout is to be rebuilt.
-LAYOUT = 2
+from daybook.operators.log import LAYOUT, Fenced, Held, Leases, Log, Manifest, Part
+from daybook.operators.search import frequencies
+from daybook.sources.files import Files
+
+ENTRIES = "path string, generation int, entry_id string, parent_id string, ts string, kind string, role string, name string, chars int, tokens_before double, offset bigint, length int, dl int"
+FACTS = "part bigint, block int, path string, generation int, offsets array<bigint>, dls array<int>, kinds array<string>, roles array<string>, tss array<string>"
+POSTINGS = "part bigint, block int, term string, df int, rows array<int>, places array<int>"
+JOURNALS = "path string, generation int, session_id string, cwd string, started_at string, header_at bigint, bytes bigint, entries bigint, tokens bigint"
+#: Bytes of a journal whose entries are one block, and tokens that make one folder of postings.
+STRETCH, BUCKET_TOKENS, MOST_BUCKETS = 1 << 20, 1 << 20, 4096
+FANOUT = 8
+#: Shares that blocks are numbered in.
+NUMBERED = 64
 #: Journals of a batch whose names are pushed down into the scan for entries known already.
 NAMED = 500
+KEYS = ("path", "generation", "offset")
+OF_ENTRY = ("part", "block", "row")
+#: By index: version, n, avgdl.
+_sizes: dict[str, tuple] = {}
+
+
+def bucket_of(term: str, buckets: int) -> int:
+    """The checksum that ``_bucket`` has, of a request's own term."""
+    return zlib.crc32(term.encode()) % buckets
 
 
-def bucket_of(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+def _bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.crc32(term), F.lit(buckets)).cast("int")
 
 
 def index_rows(lines: DataFrame) -> DataFrame:
@@ -49,110 +69,189 @@ def index_rows(lines: DataFrame) -> DataFrame:
     return kept.withColumn("tk", F.when(F.col("entry").isNotNull(), tokens(redact(F.col("entry.text")))))
 
 
-class Index:
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.base = spark, folder.removeprefix("file://")
+def numbered(entries: DataFrame) -> DataFrame:
+    """entries (path, generation, offset, dl) with block, row in it, and start: the tokens of the block before it. Numbers
+    are dealt in shares, so no task numbers all blocks."""
+    cut = entries.withColumn("_stretch", F.floor(F.col("offset") / STRETCH))
+    own = ["path", "generation", "_stretch"]
+    share = F.pmod(F.xxhash64(*own), F.lit(NUMBERED))
+    blocks = cut.select(*own).distinct().withColumn("_share", share)
+    blocks = blocks.withColumn("block", ((F.row_number().over(Window.partitionBy("_share").orderBy(*own)) - 1) * NUMBERED + F.col("_share")).cast("int"))
+    inside = Window.partitionBy("block").orderBy("offset")
+    start = F.coalesce(F.sum("dl").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
+    return cut.join(blocks.drop("_share"), own).withColumns({"row": (F.row_number().over(inside) - 1).cast("int"), "start": start}).drop("_stretch")
 
-    @property
-    def folder(self) -> str:
-        """The current version's."""
-        told = self._told("_current.json") or {"version": "v0", "layout": LAYOUT}
-        if told["layout"] != LAYOUT:
-            raise ValueError(f"the index at {self.base} has layout {told['layout']}, not {LAYOUT}: rebuild it")
-        return f"{self.base}/{told['version']}"
-
-    def _told(self, name: str) -> dict | None:
-        try:
-            with open(f"{self.base}/{name}") as f:
-                return json.load(f)
-        except (OSError, ValueError):
-            return None
 
-    def _tell(self, name: str, what: dict) -> None:
-        """Replaces a small file in one step."""
-        os.makedirs(self.base, exist_ok=True)
-        temp = f"{self.base}/.{uuid.uuid4().hex}"
-        with open(temp, "w") as f:
-            json.dump(what, f)
-        os.replace(temp, f"{self.base}/{name}")
+class Index:
+    def __init__(self, spark: SparkSession, folder: str, pinned: Manifest | None = None):
+        self.spark, self.base, self._pinned = spark, folder.removeprefix("file://"), pinned
+        self.files = Files(self.base)
+        self.log, self.leases = Log(self.files), Leases(self.files)
+
+    def pinned(self) -> Index:
+        """The index as it is now, whatever is committed meanwhile."""
+        return Index(self.spark, self.base, self.manifest)
 
-    def _read(self, name: str, schema: str) -> DataFrame:
-        path = f"{self.folder}/{name}"
-        if not os.path.isdir(path):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(path)
+    @property
+    def manifest(self) -> Manifest:
+        found = self._pinned or self.log.current()
+        if found.layout != LAYOUT:
+            raise ValueError(f"the index at {self.base} has layout {found.layout}, not {LAYOUT}: rebuild it")
+        return found
+
+    def _read(self, table: str, schema: str, parts: tuple[Part, ...] | None = None, terms: list[str] | None = None) -> DataFrame:
+        parts, paths = self.manifest.parts if parts is None else parts, []
+        for p in parts:
+            own = f"{self.base}/{p.folder}/{table}"
+            if table == "postings":
+                wanted = p.filled if terms is None else sorted({bucket_of(t, p.buckets) for t in terms} & set(p.filled))
+                paths += [f"{own}/tb={b}" for b in wanted]
+            else:
+                paths.append(own)
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     # Writing
 
-    def append(self, lines: DataFrame, batch: str) -> int:
-        """Adds a batch of journal lines (path, generation, offset, length, line) and says how many entries that gave.
-        Running it again changes nothing."""
-        folder = self.folder
-        if not os.path.exists(f"{self.base}/_current.json"):
-            self._tell("_current.json", {"version": "v0", "layout": LAYOUT})
-        rows = index_rows(lines).persist()
+    def append(self, lines: DataFrame, batch: int, lease: Held | None = None) -> int:
+        """Adds a batch of journal lines (path, generation, offset, length, line) and says how many entries that gave. A
+        batch that is in already changes nothing."""
+        now = self.manifest
+        if batch <= now.batch:
+            return 0
+        rows = index_rows(lines).select(
+            "path", "generation", "offset", "length", "header", *[F.col(f"entry.{c}").alias(c) for c in ("entry_id", "parent_id", "ts", "kind", "role", "name", "chars", "tokens_before")], "tk", F.size("tk").alias("dl"),
+        ).persist()
+        try:
+            entries = rows.where("entry_id IS NOT NULL")
+            if now.parts:
+                # Only entries of the batch's own journals can be known already; a few names also spare the scan the rest.
+                journals = rows.select("path").distinct()
+                some = [r["path"] for r in journals.limit(NAMED + 1).collect()]
+                before = self._read("entries", ENTRIES, now.parts)
+                before = before.where(F.col("path").isin(*some)) if len(some) <= NAMED else before.join(journals, "path", "left_semi")
+                entries = entries.join(before.select("path", "generation", "entry_id"), ["path", "generation", "entry_id"], "left_anti")
+            held = numbered(entries).persist()
+            try:
+                hits = held.select("block", "row", "start", F.posexplode("tk").alias("pos", "term")).select("block", "row", (F.col("start") + F.col("pos")).alias("place"), "term")
+                heads = rows.groupBy("path", "generation").agg(
+                    F.min_by("header", F.when(F.col("header").isNotNull(), F.col("offset"))).alias("h"), F.min(F.when(F.col("header").isNotNull(), F.col("offset"))).alias("header_at"),
+                    F.max(F.col("offset") + F.col("length") + 1).alias("bytes"),
+                )
+                added = held.groupBy("path", "generation").agg(F.count(F.lit(1)).alias("entries"), F.sum("dl").cast("long").alias("tokens"))
+                heads = heads.join(added, ["path", "generation"], "left").fillna(0, ["entries", "tokens"])
+                heads = heads.select("path", "generation", "h.session_id", "h.cwd", "h.started_at", "header_at", "bytes", "entries", "tokens")
+                part = self._write(held, held, hits, heads, 0)
+            finally:
+                held.unpersist()
+        finally:
+            rows.unpersist()
+        self.log.commit(lambda m: None if batch <= m.batch else replace(m, batch=batch, parts=(*m.parts, part)), lease and lease.number)
+        return part.entries
+
+    def _write(self, entries: DataFrame, facts: DataFrame, hits: DataFrame, journals: DataFrame, level: int) -> Part:
+        """A part of these rows, which no version names yet. facts: block, row and what they tell of it."""
+        number = random.getrandbits(62)
+        part = Part(number, level, 0, 0, ())
+        into = lambda df: df.write.option("compression", "zstd").option("parquet.writer.version", "v2")
+        to = lambda table: f"{self.base}/{part.folder}/{table}"
+        this = F.lit(number).cast("long").alias("part")
         own = [c.strip().split()[0] for c in ENTRIES.split(", ")]
-        entries = rows.where("entry IS NOT NULL").select("path", "generation", "entry.*", "offset", "length", F.size("tk").alias("dl"), "tk")
-        if os.path.isdir(f"{folder}/entries"):
-            # Only entries of the batch's own journals can be known already; a few names also spare the scan the rest.
-            named = rows.select("path").distinct()
-            some = [r["path"] for r in named.limit(NAMED + 1).collect()]
-            before = self._read("entries", ENTRIES).where(F.col("batch") != batch)
-            before = before.where(F.col("path").isin(*some)) if len(some) <= NAMED else before.join(named, "path", "left_semi")
-            entries = entries.join(before.select("path", "generation", "entry_id"), ["path", "generation", "entry_id"], "left_anti")
-        entries = entries.persist()
-        entries.select(*own[:-1]).repartition("path").sortWithinPartitions("path", "ts").write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/entries/batch={batch}")
-        posted = entries.select("path", "generation", "offset", F.posexplode("tk").alias("pos", "term")).groupBy("term", "path", "generation", "offset").agg(F.sort_array(F.collect_list("pos")).alias("positions"))  # of one entry
-        posted = posted.withColumn("tb", bucket_of(F.col("term"))).repartition("tb").sortWithinPartitions("term", "path", "offset")
-        posted.write.mode("overwrite").option("compression", "zstd").partitionBy("tb").parquet(f"{folder}/postings/batch={batch}")
-        heads = rows.groupBy("path", "generation").agg(
-            F.min_by("header", F.when(F.col("header").isNotNull(), F.col("offset"))).alias("h"), F.min(F.when(F.col("header").isNotNull(), F.col("offset"))).alias("header_at"),
-            F.max(F.col("offset") + F.col("length") + 1).alias("bytes"),
-        )
-        added = entries.groupBy("path", "generation").agg(F.count(F.lit(1)).alias("entries"), F.sum("dl").cast("long").alias("tokens"))
-        heads = heads.join(added, ["path", "generation"], "left").fillna(0, ["entries", "tokens"])
-        heads.select("path", "generation", "h.session_id", "h.cwd", "h.started_at", "header_at", "bytes", "entries", "tokens").write.mode("overwrite").parquet(f"{folder}/journals/batch={batch}")
-        n = entries.count()
-        entries.unpersist()
-        rows.unpersist()
-        return n
-
-    def forget(self, paths: list[str]) -> None:
-        """Takes journals out: only batches that hold rows of them are written anew, without them."""
-        gone = self.spark.createDataFrame([(p,) for p in paths], "path string")
-        folder = self.folder
-        # Journals first: without its row there a journal has no live generation, so what else is left of it is dead.
-        for name, schema in (("journals", JOURNALS), ("entries", ENTRIES), ("postings", POSTINGS)):
-            held = self._read(name, schema)
-            for row in held.join(gone, "path", "left_semi").select("batch").distinct().collect():
-                part, old = f"{folder}/{name}/batch={row['batch']}", f"{folder}/.old-{uuid.uuid4().hex}"
-                kept = self.spark.read.schema(schema).option("basePath", f"{folder}/{name}").parquet(part).join(gone, "path", "left_anti").drop("batch")
-                writer = kept.write.partitionBy("tb") if name == "postings" else kept.write
-                writer.parquet(f"{old}-new")
-                os.rename(part, old)
-                os.rename(f"{old}-new", part)
-                shutil.rmtree(old)
-
-    def compact(self) -> None:
-        """All live rows as one batch of a new version; dead generations go. The version before stays until the next
-        time, for readers that have it open."""
-        name, now = f"v{uuid.uuid4().hex[:12]}", os.path.basename(self.folder)
-        into = lambda table: f"{self.base}/{name}/{table}/batch=compact"
-        self.entries(joined=False).drop("batch").repartition("path").sortWithinPartitions("path", "ts").write.option("compression", "zstd").parquet(into("entries"))
-        self.postings().drop("batch").repartition("tb").sortWithinPartitions("term", "path", "offset").write.option("compression", "zstd").partitionBy("tb").parquet(into("postings"))
-        self.journals().drop("batch").write.parquet(into("journals"))
-        self._tell("_current.json", {"version": name, "layout": LAYOUT})
-        for other in os.listdir(self.base):
-            if other.startswith("v") and other not in (name, now):
-                shutil.rmtree(f"{self.base}/{other}")
-
-    def clear(self) -> None:
-        """All but the lease goes."""
-        for other in os.listdir(self.base) if os.path.isdir(self.base) else ():
-            if other.startswith("v"):
-                shutil.rmtree(f"{self.base}/{other}")
-        if os.path.exists(f"{self.base}/_current.json"):
-            os.remove(f"{self.base}/_current.json")
+        into(entries.select(*own).hint("rebalance", "path").sortWithinPartitions("path", "generation", "offset")).parquet(to("entries"))
+        told = F.sort_array(F.collect_list(F.struct("row", "offset", "dl", "kind", "role", "ts")))
+        by_block = facts.groupBy("block", "path", "generation").agg(told.alias("f"))
+        lists = {"offsets": "offset", "dls": "dl", "kinds": "kind", "roles": "role", "tss": "ts"}
+        into(by_block.select(this, "block", "path", "generation", *[F.col(f"f.{c}").alias(name) for name, c in lists.items()])).parquet(to("facts"))
+        into(journals).parquet(to("journals"))
+        sums = self.spark.read.schema(JOURNALS).parquet(to("journals")).agg(F.sum("entries").alias("n"), F.sum("tokens").alias("t")).first()
+        buckets = max(1, min(MOST_BUCKETS, 1 << math.ceil(math.log2(max(1, (sums["t"] or 0) / BUCKET_TOKENS)))))
+        # Row and place in one number, which is sorted faster than a struct.
+        both = F.shiftleft(F.col("row").cast("long"), 32).bitwiseOR(F.col("place"))
+        each = hits.groupBy("block", "term").agg(F.sort_array(F.collect_list(both)).alias("h"))
+        rows, places = F.transform("h", lambda x: F.shiftright(x, 32).cast("int")), F.transform("h", lambda x: x.bitwiseAND(0xFFFFFFFF).cast("int"))
+        posted = each.select(this, "block", "term", rows.alias("rows"), places.alias("places")).select("part", "block", "term", F.size(F.array_distinct("rows")).alias("df"), "rows", "places", _bucket(F.col("term"), buckets).alias("tb"))
+        # A bucket with a term that stands everywhere is split when it is written.
+        posted = posted.hint("rebalance", "tb").sortWithinPartitions("tb", "term", "block")
+        into(posted).partitionBy("tb").parquet(to("postings"))
+        filled = tuple(sorted(int(n[3:]) for n in self.files.names(f"{part.folder}/postings") if n.startswith("tb=")))
+        return replace(part, entries=sums["n"] or 0, buckets=buckets, filled=filled)
+
+    def _rewritten(self, parts: tuple[Part, ...], level: int, without: DataFrame | None = None) -> Part:
+        """One part of the live rows of several. without: (path) journals that are left out."""
+        live = self._live()
+        kept = (lambda df: df.join(without, "path", "left_anti").join(live, ["path", "generation"], "left_semi")) if without is not None else (lambda df: df.join(live, ["path", "generation"], "left_semi"))
+        old = kept(self._read("facts", FACTS, parts))
+        each = old.select("part", "block", "path", "generation", F.posexplode(F.arrays_zip("offsets", "dls", "kinds", "roles", "tss")).alias("row", "f"))
+        each = each.select("part", F.col("block").alias("was_block"), F.col("row").alias("was_row"), "path", "generation", F.col("f.offsets").alias("offset"), F.col("f.dls").alias("dl"), F.col("f.kinds").alias("kind"), F.col("f.roles").alias("role"), F.col("f.tss").alias("ts"))
+        before = Window.partitionBy("part", "was_block").orderBy("was_row").rowsBetween(Window.unboundedPreceding, -1)
+        each = each.withColumn("was_start", F.coalesce(F.sum("dl").over(before), F.lit(0)).cast("int"))
+        new = numbered(each).persist()
+        try:
+            moved = new.select("part", "was_block", "was_row", "block", "row", (F.col("start") - F.col("was_start")).alias("shift"))
+            hits = self._hits(self._read("postings", POSTINGS, parts)).withColumnsRenamed({"block": "was_block", "row": "was_row"})
+            hits = hits.join(moved, ["part", "was_block", "was_row"]).select("block", "row", (F.col("place") + F.col("shift")).alias("place"), "term")
+            first = lambda c: F.min_by(c, "header_at").alias(c)
+            heads = kept(self._read("journals", JOURNALS, parts)).groupBy("path", "generation").agg(first("session_id"), first("cwd"), first("started_at"), F.min("header_at").alias("header_at"), F.max("bytes").alias("bytes"), F.sum("entries").alias("entries"), F.sum("tokens").alias("tokens"))
+            return self._write(kept(self._read("entries", ENTRIES, parts)), new, hits, heads, level)
+        finally:
+            new.unpersist()
+
+    @staticmethod
+    def _hits(postings: DataFrame) -> DataFrame:
+        """part, block, row, place, term: a row for each occurrence."""
+        return postings.select("part", "block", "term", F.inline(F.arrays_zip("rows", "places"))).withColumnsRenamed({"rows": "row", "places": "place"})
+
+    def _swapped(self, old: tuple[Part, ...], new: Part, lease: Held | None) -> None:
+        gone = {p.id for p in old}
+
+        def change(m: Manifest) -> Manifest:
+            if not gone <= {p.id for p in m.parts}:
+                raise Fenced("the parts that were rewritten are no longer there")
+            return replace(m, parts=(*[p for p in m.parts if p.id not in gone], new))
+
+        self.log.commit(change, lease and lease.number)
+
+    def forget(self, paths: list[str] | DataFrame, lease: Held | None = None) -> None:
+        """Takes journals out, in one step: the parts that have rows of them become one without these."""
+        gone = paths if isinstance(paths, DataFrame) else self.spark.createDataFrame([(p,) for p in paths], "path string")
+        held = self.pinned()
+        hit = tuple(p for p in held.manifest.parts if not held._read("journals", JOURNALS, (p,)).join(gone, "path", "left_semi").isEmpty())
+        if hit:
+            self._swapped(hit, held._rewritten(hit, max(p.level for p in hit), gone), lease)
+
+    def merge(self, lease: Held | None = None) -> int:
+        """Merges parts of a level while there are ``FANOUT`` of it; says how many merges that took. Then what no version
+        names any more is removed."""
+        done = 0
+        while True:
+            held = self.pinned()
+            levels: dict[int, list[Part]] = {}
+            for p in held.manifest.parts:
+                levels.setdefault(p.level, []).append(p)
+            full = next((level for level, own in sorted(levels.items()) if len(own) >= FANOUT), None)
+            if full is None:
+                break
+            old = tuple(levels[full])
+            self._swapped(old, held._rewritten(old, full + 1), lease)
+            done += 1
+        if done:
+            self.log.clean()
+        return done
+
+    def compact(self, lease: Held | None = None) -> None:
+        """All live rows as one part."""
+        held = self.pinned()
+        old = held.manifest.parts
+        if old:
+            self._swapped(old, held._rewritten(old, max(p.level for p in old) + 1), lease)
+            self.log.clean()
+
+    def progress(self, done: int, files: int, lease: Held | None = None) -> None:
+        """Keeps how many journals are indexed to their end, and how many there are."""
+        self.log.commit(lambda m: None if (m.done, m.files) == (done, files) else replace(m, done=done, files=files), lease and lease.number)
+
+    def clear(self, lease: Held | None = None) -> Manifest:
+        """Nothing is left, in one step; what is indexed from now on belongs to a new epoch."""
+        return self.log.commit(lambda m: Manifest(version=m.version, epoch=m.epoch + 1, fence=m.fence), lease and lease.number)
 
     # Reading
 
@@ -161,24 +260,67 @@ class Index:
 
     def journals(self) -> DataFrame:
         """A row for each journal of its latest generation: the first header, the bytes indexed."""
-        held = self._read("journals", JOURNALS).join(self._live(), ["path", "generation"])
+        held = self._read("journals", JOURNALS)
         first = lambda c: F.min_by(c, "header_at").alias(c)
-        return held.groupBy("path", "generation").agg(first("session_id"), first("cwd"), first("started_at"), F.min("header_at").alias("header_at"), F.max("bytes").alias("bytes"), F.sum("entries").alias("entries"), F.sum("tokens").alias("tokens"))
+        summed = held.groupBy("path", "generation").agg(first("session_id"), first("cwd"), first("started_at"), F.min("header_at").alias("header_at"), F.max("bytes").alias("bytes"), F.sum("entries").alias("entries"), F.sum("tokens").alias("tokens"))
+        latest = summed.groupBy("path").agg(F.max_by(F.struct("generation", "session_id", "cwd", "started_at", "header_at", "bytes", "entries", "tokens"), "generation").alias("j"))
+        return latest.select("path", "j.*")
 
     def corpus(self) -> DataFrame:
         """One row: n, avgdl; from what each journal counts, so that no entry is read."""
         return self.journals().agg(F.sum("entries").alias("n"), (F.sum("tokens") / F.sum("entries")).alias("avgdl"))
 
+    def size(self) -> tuple[int, float]:
+        """n and avgdl as numbers, kept for the last version that was asked."""
+        version = self.manifest.version
+        if _sizes.get(self.base, (None,))[0] != version:
+            row = self.corpus().first()
+            _sizes[self.base] = (version, row["n"] or 0, row["avgdl"] or 0.0)
+        return _sizes[self.base][1:]
+
     def entries(self, joined: bool = True) -> DataFrame:
-        held = self._read("entries", ENTRIES).join(self._live(), ["path", "generation"])
-        return held.join(self.journals().select("path", "session_id", "cwd"), "path") if joined else held
+        held = self._read("entries", ENTRIES)
+        own = self.journals().select("path", "generation", "session_id", "cwd") if joined else self._live()
+        return held.join(own, ["path", "generation"])
+
+    def _blocks(self) -> DataFrame:
+        """Live blocks with the session and folder of their journal."""
+        return self._read("facts", FACTS).join(self.journals().select("path", "generation", "session_id", "cwd"), ["path", "generation"])
 
     def postings(self, terms: list[str] | None = None) -> DataFrame:
-        held = self._read("postings", POSTINGS)
-        if terms is not None:
-            buckets = self.spark.createDataFrame([(t,) for t in terms], "t string").select(bucket_of(F.col("t")).alias("b")).distinct().collect() if terms else []
-            held = held.where(F.col("tb").isin(*[r["b"] for r in buckets]) & F.col("term").isin(*terms))
-        return held.join(self._live(), ["path", "generation"])
+        """path, generation, offset, term, positions: of all terms, or of these; a row for each term of each entry."""
+        held = self._read("postings", POSTINGS, terms=terms)
+        held = held if terms is None else held.where(F.col("term").isin(*terms))
+        each = self._hits(held).groupBy(*OF_ENTRY, "term").agg(F.sort_array(F.collect_list("place")).alias("places"))
+        blocks = self._blocks().select("part", "block", "path", "generation", "offsets")
+        return each.join(blocks, ["part", "block"]).select("path", "generation", F.get("offsets", F.col("row")).alias("offset"), "term", F.col("places").alias("positions"))
+
+    def matches(self, wanted: list[tuple[str, ...]]) -> DataFrame:
+        """What a search filters and ranks by, of the entries that have any of the phrases: path, generation, offset, kind,
+        role, ts, session_id, cwd, dl, tf. Only the terms' postings and the blocks' facts are read, no entries."""
+        terms = sorted({t for p in wanted for t in p})
+        hits = self._hits(self._read("postings", POSTINGS, terms=terms).where(F.col("term").isin(*terms)))
+        found = frequencies(hits, wanted, OF_ENTRY)
+        at = lambda name, c: F.get(name, F.col("row")).alias(c)
+        return found.join(self._blocks(), ["part", "block"]).select("path", "generation", at("offsets", "offset"), at("kinds", "kind"), at("roles", "role"), at("tss", "ts"), "session_id", "cwd", at("dls", "dl"), "tf")
+
+    def frequency(self, wanted: list[tuple[str, ...]]) -> list[int] | None:
+        """How many live entries have each phrase, from what postings say of their blocks, without the occurrences; None
+        where a phrase has several terms, which only occurrences tell."""
+        if any(len(p) > 1 for p in wanted):
+            return None
+        terms = sorted({p[0] for p in wanted})
+        told = self._read("postings", POSTINGS, terms=terms).where(F.col("term").isin(*terms)).select("part", "block", "term", "df")
+        live = self._read("facts", FACTS).select("part", "block", "path", "generation").join(self._live(), ["path", "generation"], "left_semi")
+        sums = {r["term"]: r["n"] for r in told.join(live, ["part", "block"], "left_semi").groupBy("term").agg(F.sum("df").alias("n")).collect()}
+        return [sums.get(p[0], 0) for p in wanted]
+
+    def at(self, hits: list[Row]) -> DataFrame:
+        """The entries of a search's candidates, with session_id, cwd and score: journals and offsets are pushed down into the
+        scan, whose files are sorted by them."""
+        named = self.spark.createDataFrame([tuple(h[c] for c in (*KEYS, "session_id", "cwd", "score")) for h in hits], "path string, generation int, offset bigint, session_id string, cwd string, score double")
+        held = self._read("entries", ENTRIES).where(F.col("path").isin(*{h["path"] for h in hits}) & F.col("offset").isin(*{h["offset"] for h in hits}))
+        return held.join(F.broadcast(named), list(KEYS))  # no more rows than candidates
 
     def cwds(self, above: str | None = None) -> list[str]:
         """The distinct folders of the journals; above: only those that are this folder or lie above it, which are no more
@@ -201,53 +343,23 @@ class Index:
     # One writer at a time
 
     def lease(self, owner: str, ttl_ms: int = 120_000, now_ms: int | None = None) -> bool:
-        """Takes or renews the writer's lease; False while another holds one that has not run out. Looking and taking are
-        one step: a folder that only one can make is held meanwhile."""
-        now = now_ms if now_ms is not None else int(time.time() * 1000)
-        with self._alone():
-            held = self._told("_lease.json")
-            if held and held["owner"] != owner and held["until"] > now:
-                return False
-            self._tell("_lease.json", {"owner": owner, "until": now + ttl_ms})
-            return True
+        """Takes or renews the writer's lease; False while another holds one that has not run out."""
+        return self.leases.take(owner, ttl_ms, now_ms if now_ms is not None else int(time.time() * 1000)) is not None
 
     def release(self, owner: str) -> None:
-        with self._alone():
-            held = self._told("_lease.json")
-            if held and held["owner"] == owner:
-                os.remove(f"{self.base}/_lease.json")
+        self.leases.release(owner)
 
     @contextmanager
-    def writing(self, owner: str, ttl_ms: int = 120_000) -> Iterator[Callable[[], None] | None]:
-        """Holds the lease while it lasts, and gives the call that renews it; None where another writer has it."""
-        if not self.lease(owner, ttl_ms):
+    def writing(self, owner: str, ttl_ms: int = 120_000) -> Iterator[Held | None]:
+        """Holds the lease while it lasts, renewed by a heartbeat; None where another writer has it. The log knows its
+        number before anything is written."""
+        number = self.leases.take(owner, ttl_ms, int(time.time() * 1000))
+        if number is None:
             yield None
             return
-
-        def renew() -> None:
-            if not self.lease(owner, ttl_ms):
-                raise RuntimeError(f"{owner} lost the lease of {self.base}")
-
-        try:
-            yield renew
-        finally:
-            self.release(owner)
-
-    @contextmanager
-    def _alone(self, patience_s: float = 10) -> Iterator[None]:
-        os.makedirs(self.base, exist_ok=True)
-        lock, since = f"{self.base}/_lease.lock", time.monotonic()
-        while True:
-            try:
-                os.mkdir(lock)
-                break
-            except FileExistsError:
-                # Its holder only reads and writes a small file; one that is still there has died.
-                if time.monotonic() - since > patience_s:
-                    os.rmdir(lock)
-                    since = time.monotonic()
-                time.sleep(0.01)
+        held = Held(self.leases, number, owner, ttl_ms)
         try:
-            yield
+            self.log.commit(lambda m: None if m.fence == number else m, number)
+            yield held
         finally:
-            os.rmdir(lock)
+            held.end()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from daybook.functions.entries import SUMMARIES
 from daybook.operators.index import Index
+from daybook.operators.log import Held
 from daybook.sources.journal import journals as journal_files
 
 # Temporary folders, the quiet time, the replies of a trivial session.
@@ -69,7 +70,7 @@ def preview(index: Index, root: str, keep: list[str], now_ms: int | None = None,
     return [r.asDict() for r in candidates(stats, files, keep, now_ms if now_ms is not None else int(time.time() * 1000), roots).collect()]
 
 
-def collect(index: Index, found: list[dict]) -> dict:
+def collect(index: Index, found: list[dict], lease: Held | None = None) -> dict:
     """Deletes previewed journals that haven't changed since, and forgets them; a journal that is gone is forgotten too."""
     done, size, skipped = [], 0, 0
     for c in found:
@@ -86,7 +87,7 @@ def collect(index: Index, found: list[dict]) -> dict:
         done.append(c)
         size += c["bytes"]
     if done:
-        index.forget([c["path"] for c in done])
+        index.forget([c["path"] for c in done], lease)
     return {"deleted": len(done), "bytes": size, "skipped": skipped}
 
 

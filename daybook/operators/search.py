@@ -40,6 +40,17 @@ def matches_in_postings(postings: DataFrame, wanted: list[tuple[str, ...]], keys
     return slots.select(*keys, F.array(*[F.size(s) for s in starts]).alias("tf")).where(F.exists("tf", lambda x: x > 0))
 
 
+def frequencies(hits: DataFrame, wanted: list[tuple[str, ...]], keys: tuple[str, ...]) -> DataFrame:
+    """keys and tf, of the entries that have at least one phrase. hits: keys, term, place (a row for each occurrence). The
+    places of a term are gathered only where a phrase has several."""
+    joint = sorted({t for p in wanted if len(p) > 1 for t in p})
+    own = sorted({p[0] for p in wanted if len(p) == 1})
+    slots = hits.groupBy(*keys).agg(F.count(F.lit(1)).alias("_"), *[F.count_if(F.col("term") == t).alias(f"n{i}") for i, t in enumerate(own)], *[F.collect_list(F.when(F.col("term") == t, F.col("place"))).alias(f"p{i}") for i, t in enumerate(joint)])
+    back = lambda t, k: F.transform(F.col(f"p{joint.index(t)}"), lambda x: x - k)
+    count = lambda p: F.col(f"n{own.index(p[0])}").cast("int") if len(p) == 1 else F.size(reduce(F.array_intersect, [back(t, k) for k, t in enumerate(p)]))
+    return slots.select(*keys, F.array(*[count(p) for p in wanted]).alias("tf")).where(F.exists("tf", lambda x: x > 0))
+
+
 def _df(n_phrases: int) -> Column:
     return F.array(*[F.count_if(F.get("tf", F.lit(i)) > 0) for i in range(n_phrases)]).alias("df")
 
@@ -60,17 +71,23 @@ def scored(matches: DataFrame, corpus: DataFrame, n_phrases: int) -> DataFrame:
     return both.withColumn("score", _score(n_phrases)).withColumn("n_matched", F.size(F.filter("tf", lambda x: x > 0))).drop("df", "n", "avgdl")
 
 
-def ranked(matches: DataFrame, filters: Filters, n_phrases: int, corpus: DataFrame | None = None) -> DataFrame:
+def ranked(matches: DataFrame, filters: Filters, n_phrases: int, corpus: DataFrame | None = None, told: tuple[list[int], int, float] | None = None) -> DataFrame:
     """The filtered entries that have every phrase, or, if none has, any; match says which. With score and n_matched.
 
     One pass over the matches finds all that concerns the whole: each phrase's entries, counted before any filter, and the
     most phrases that a filtered entry has. corpus: one row n, avgdl; without it matches are all entries, and it is
-    counted in the same pass."""
+    counted in the same pass. told: how many entries have each phrase, n and avgdl, where they are known: with a single
+    phrase nothing is left to be counted."""
+    if told is not None and n_phrases == 1:
+        df, n, avgdl = told
+        known = {"df": F.array(*[F.lit(x).cast("long") for x in df]), "n": F.lit(n).cast("long"), "avgdl": F.lit(avgdl).cast("double")}
+        kept = matches.where(filters.predicate() & F.exists("tf", lambda x: x > 0)).withColumns({"n_matched": F.lit(1), **known})
+        return kept.withColumns({"score": _score(1), "match": F.lit("all")}).drop("df", "n", "avgdl")
     matches = matches.withColumn("n_matched", F.size(F.filter("tf", lambda x: x > 0)))
     most = F.max(F.when(filters.predicate(), F.col("n_matched"))).alias("_most")
     own = [] if corpus is not None else [F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")]
-    told = matches.agg(_df(n_phrases), most, *own)
-    both = matches.where(filters.predicate() & (F.col("n_matched") > 0)).crossJoin(F.broadcast(told if corpus is None else told.crossJoin(corpus)))  # one row
+    sums = matches.agg(_df(n_phrases), most, *own)
+    both = matches.where(filters.predicate() & (F.col("n_matched") > 0)).crossJoin(F.broadcast(sums if corpus is None else sums.crossJoin(corpus)))  # one row
     kept = both.where((F.col("n_matched") == n_phrases) | (F.col("_most") < n_phrases))
     match = F.when(F.col("_most") == n_phrases, "all").otherwise("any")
     return kept.withColumn("score", _score(n_phrases)).withColumn("match", match).drop("df", "n", "avgdl", "_most")

@@ -38,6 +38,8 @@ class Context:
     zone: str = "UTC"
     indexing: tuple[int, int] | None = None
     caller_entry_id: str | None = None
+    #: The caller's own journal.
+    journal: str | None = None
 
 
 @dataclass(frozen=True)

@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from daybook.functions.entries import SUMMARIES
 from daybook.functions.text import phrases
 from daybook.operators import junk
-from daybook.operators.history import KEYS, fetched
+from daybook.operators.history import fetched, found
 from daybook.operators.index import Index
-from daybook.operators.search import candidates, listed, matches_in_postings, page, ranked, reranked
+from daybook.operators.search import candidates, listed, page, reranked
 from daybook.plans.scope import Filters
 from daybook.queries.views import CONV_SQL, NOW, TOKENS_SQL, conversations
 from daybook.streaming.ingest import catch_up
@@ -72,10 +72,10 @@ def built(spark: SparkSession, d: str) -> Index:
 
 
 def engine_search(spark: SparkSession, d: str) -> DataFrame:
-    index, wanted = built(spark, d), phrases(WORDS)
-    matched = matches_in_postings(index.postings(sorted({t for p in wanted for t in p})), wanted, KEYS)
-    top = candidates(ranked(matched.join(index.entries(), list(KEYS)), Filters(kinds=("user", "assistant")), len(wanted), index.corpus()).withColumn("score", F.round("score", 9)))
-    return page(reranked(top, NOW).withColumn("value", F.round("value", 9))).select("entry_id", "session_id", "ts", "kind", "match", F.round("value", 6).alias("value"))
+    index = built(spark, d).pinned()
+    top = candidates(found(index, phrases(WORDS), Filters(kinds=("user", "assistant"))).withColumn("score", F.round("score", 9)))
+    shown = top.select("path", "generation", "offset", "score", "match", "session_id").join(index.entries(joined=False), ["path", "generation", "offset"])
+    return page(reranked(shown, NOW).withColumn("value", F.round("value", 9))).select("entry_id", "session_id", "ts", "kind", "match", F.round("value", 6).alias("value"))
 
 
 def engine_summaries(spark: SparkSession, d: str) -> DataFrame:

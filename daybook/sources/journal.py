@@ -2,11 +2,17 @@
 
 ``spark.readStream.format("journal").load(root)`` gives the lines that were added since the last batch;
 ``spark.read.format("journal").load(root)`` all complete lines. A file that has shrunk starts again at byte 0 under the
-next generation. A span of more than ``splitBytes`` is read by several tasks: each takes the lines that begin in its part."""
+next generation. A span of more than ``splitBytes`` is read by several tasks: each takes the lines that begin in its part; short
+spans share a task until it has ``packBytes``.
+
+A stream admits at most ``maxBytes`` at a time (whole lines; one line at least), of the journals written last first. What
+is left over is told with the offset, under the empty path: journals that lag, and journals there are. A journal that is
+read to its end isn't opened again until its size changes. ``only`` names the journals that are looked at, a line each."""
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,7 +21,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 SCHEMA = "path string, generation int, offset bigint, length int, line string"
 CHUNK = 1 << 20
-SPLIT = 64 << 20
+#: The key of an offset that tells how many journals lag, and how many there are.
+LAG = ""
+SPLIT, PACK = 64 << 20, 4 << 20
 
 
 def journals(root: str) -> list[tuple[str, int, int]]:
@@ -56,6 +64,25 @@ def complete_bytes(path: str, size: int) -> int:
     return 0
 
 
+def next_line(path: str, start: int, size: int) -> int:
+    """Where the line that begins at start ends, with its newline; start if it doesn't end before size."""
+    try:
+        with open(path, "rb") as f:
+            f.seek(start)
+            at = start
+            while at < size:
+                raw = f.read(min(CHUNK, size - at))
+                cut = raw.find(b"\n")
+                if cut >= 0:
+                    return at + cut + 1
+                if not raw:
+                    break
+                at += len(raw)
+    except OSError:
+        pass
+    return start
+
+
 @dataclass
 class Span(InputPartition):
     path: str
@@ -69,6 +96,23 @@ def spans(path: str, generation: int, start: int, stop: int, split: int) -> list
     return [Span(path, generation, a, min(stop, a + split), a == start) for a in range(start, stop, split)]
 
 
+@dataclass
+class Bundle(InputPartition):
+    spans: list[Span]
+
+
+def bundles(found: list[Span], pack: int) -> list[Bundle]:
+    """Spans in their order, as many to a bundle as stay below so many bytes."""
+    out, held = [], 0
+    for s in found:
+        if not out or held + s.stop - s.start > pack:
+            out.append(Bundle([]))
+            held = 0
+        out[-1].spans.append(s)
+        held += s.stop - s.start
+    return out
+
+
 def lines_of(span: Span) -> Iterator[tuple[str, int, int, int, str]]:
     """The lines that begin in the span; the last may end beyond it. Bytes that aren't UTF-8 become U+FFFD."""
     with open(span.path, "rb") as f:
@@ -88,48 +132,72 @@ def lines_of(span: Span) -> Iterator[tuple[str, int, int, int, str]]:
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.root, self.split = options["path"], int(options.get("splitbytes", SPLIT))
+        self.root, self.split, self.pack = options["path"], int(options.get("splitbytes", SPLIT)), int(options.get("packbytes", PACK))
 
-    def partitions(self) -> list[Span]:
-        return [s for path, size, _ in journals(self.root) for s in spans(path, 0, 0, complete_bytes(path, size), self.split)]
+    def partitions(self) -> list[Bundle]:
+        return bundles([s for path, size, _ in journals(self.root) for s in spans(path, 0, 0, complete_bytes(path, size), self.split)], self.pack)
 
-    def read(self, partition: Span) -> Iterator[tuple]:
-        return lines_of(partition)
+    def read(self, partition: Bundle) -> Iterator[tuple]:
+        for span in partition.spans:
+            yield from lines_of(span)
 
 
 class _StreamReader(DataSourceStreamReader):
     """Offsets: {path: [generation, bytes]}. What a restart replays teaches the reader where it was."""
 
     def __init__(self, options: dict):
-        self.root, self.split = options["path"], int(options.get("splitbytes", SPLIT))
+        self.root, self.split, self.pack = options["path"], int(options.get("splitbytes", SPLIT)), int(options.get("packbytes", PACK))
+        self.most = int(options["maxbytes"]) if options.get("maxbytes") else None
         self.skip = set(filter(None, options.get("skip", "").split("\n")))
+        self.only = set(filter(None, options.get("only", "").split("\n")))
         self.known: dict[str, list[int]] = {}
 
     def initialOffset(self) -> dict:
         return {}
 
     def latestOffset(self) -> dict:
+        left, lag, files, admitted = self.most, 0, 0, False
         for path, size, _ in journals(self.root):
             if path in self.skip:
                 continue
+            files += 1
             generation, done = self.known.get(path, [0, 0])
             if size < done:
                 generation, done = generation + 1, 0
-            self.known[path] = [generation, max(done, complete_bytes(path, size))]
+            if size == done and path in self.known:
+                continue
+            if self.only and path not in self.only or left is not None and left <= 0:
+                lag += 1
+                continue
+            stop = complete_bytes(path, size)
+            if left is not None and stop - done > left:
+                stop = max(complete_bytes(path, done + left), done)
+                # A line that is longer than all that may be read is read whatever its length.
+                stop = stop if stop > done or admitted else next_line(path, done, size)
+                lag += 1
+            stop = max(done, stop)
+            admitted |= self.known.get(path) != [generation, stop]
+            self.known[path] = [generation, stop]
+            left = None if left is None else left - (stop - done)
+        if admitted:
+            self.known[LAG] = [lag, files]
         return dict(self.known)
 
-    def partitions(self, start: dict, end: dict) -> list[Span]:
+    def partitions(self, start: dict, end: dict) -> list[Bundle]:
         self.known = {k: list(v) for k, v in {**self.known, **end}.items()}
         out = []
         for path, (generation, stop) in end.items():
+            if path == LAG:
+                continue
             was, done = start.get(path, [0, 0])
             begin = done if was == generation else 0
             if stop > begin:
                 out += spans(path, generation, begin, stop, self.split)
-        return out
+        return bundles(out, self.pack)
 
-    def read(self, partition: Span) -> Iterator[tuple]:
-        return lines_of(partition)
+    def read(self, partition: Bundle) -> Iterator[tuple]:
+        for span in partition.spans:
+            yield from lines_of(span)
 
     def commit(self, end: dict) -> None:
         pass
@@ -150,6 +218,12 @@ class JournalSource(DataSource):
         return _StreamReader(self.options)
 
 
+def lag_of(offset: str | None) -> tuple[int, int] | None:
+    """Journals that lag, and journals there are, of an offset as a query's progress shows it."""
+    told = re.search(r"""['"]{2}: \[(\d+), (\d+)\]""", offset or "")
+    return (int(told[1]), int(told[2])) if told else None
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(JournalSource)
 

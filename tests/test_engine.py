@@ -210,8 +210,7 @@ def test_compaction_changes_version_in_one_step(engine):
     write(f"{engine.root}/a.jsonl", message("9", "user", "later"), mode="a")
     engine.refresh()
     assert {k[1] for k in rows(engine)} == before | {"9"}
-    with open(f"{engine.index.base}/_current.json", "w") as f:
-        json.dump({"version": "v0", "layout": 1}, f)
+    assert engine.index.files.create("log/000000000900.json", b'{"layout": 1, "version": 900}')
     with pytest.raises(ValueError, match="rebuild"):
         engine.index.entries()
     assert engine.command("rebuild") and {k[1] for k in rows(engine)} == before | {"9"}
