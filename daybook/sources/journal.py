@@ -169,16 +169,16 @@ class _StreamReader(DataSourceStreamReader):
             if self.only and path not in self.only or left is not None and left <= 0:
                 lag += 1
                 continue
-            stop = complete_bytes(path, size)
-            if left is not None and stop - done > left:
-                stop = max(complete_bytes(path, done + left), done)
-                # A line that is longer than all that may be read is read whatever its length.
+            stop = max(done, complete_bytes(path, size))
+            rest = None if left is None else left - (stop - done)
+            if rest is not None and rest < 0:
+                # No journal goes before one that was written later. A line that is longer than all that may be read at a
+                # time is read whatever its length.
+                stop, rest = max(done, complete_bytes(path, done + left)), 0
                 stop = stop if stop > done or admitted else next_line(path, done, size)
                 lag += 1
-            stop = max(done, stop)
             admitted |= self.known.get(path) != [generation, stop]
-            self.known[path] = [generation, stop]
-            left = None if left is None else left - (stop - done)
+            self.known[path], left = [generation, stop], rest
         if admitted:
             self.known[LAG] = [lag, files]
         return dict(self.known)
