@@ -5,8 +5,13 @@ content for zstandard. A text that repeats counts once. Ordinary words have no d
 in at least ``MIN_TEXTS`` texts, and there more often than as part of a candidate or of an assigned value; so a secret
 that repeats doesn't make its own pieces cheap. A candidate is a token that stands in a sensitive context: a sensitive word close before it on its line.
 The candidate's marginal bytes are what it adds to its surroundings when both are compressed together with the
-dictionary at hand. Natural words, identifiers and repeated text add few bytes for each character; a random string adds
-about what its alphabet's entropy says. Candidates above ``NOVELTY`` bytes a character are reported as ``novel``.
+dictionary at hand. Words that the dictionary has and repeated text add few bytes for each character; a random string adds
+about what its alphabet's entropy says. Candidates above ``NOVELTY`` bytes a character are reported as ``novel``, unless
+they are word-like: made of parts (between signs, digits and changes of case) that read as words. Words which no dictionary
+has cost as much as random letters under compression, so bytes alone can't tell these.
+
+Of the corpus's words the first ``LONGEST`` letters go into the dictionary; a candidate's surroundings are ``AROUND``
+characters on each side. A random string of letters alone passes for word-like about once in ten; with digits, about once in a hundred.
 
 Texts are scanned whole, each in one task; a place is counted in code points, its end exclusive.
 
@@ -48,6 +53,10 @@ VALUE = re.compile(rf"[A-Za-z0-9+/_.~-]{{{SHORTEST},}}=*")
 IDENTIFIER, LONGEST = re.compile(r"(?<![A-Za-z_0-9])[A-Za-z_]{4,}+(?![A-Za-z_0-9])"), 24
 REACH, AROUND, LEVEL = 48, 256, 9
 NOVELTY = 0.55
+#: Parts of a token; what makes them words: letters a part on average, consonants in a row, letters a part may have without
+#: a vowel, and words for each number but the first.
+PART, VOWELS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+"), re.compile("[aeiouy]")
+LETTERS_A_PART, CONSONANTS, WITHOUT_VOWEL, WORDS_A_NUMBER = 3, re.compile("[^aeiouy]{5}"), 4, 4
 WORDS_LISTED, WORDS_HELD = 4096, 100_000
 #: Distinct texts that an identifier of the dictionary stands in, outside sensitive contexts; texts that a task knows again.
 MIN_TEXTS, TEXTS_KNOWN = 2, 1 << 17
@@ -174,10 +183,19 @@ def uncovered(a: int, b: int, taken: list[tuple[int, int, str]]) -> Iterator[tup
         yield a, b
 
 
+def wordlike(token: str) -> bool:
+    parts = PART.findall(token)
+    words = [p.lower() for p in parts if p[0] > "9"]
+    numbers = len(parts) - len(words)
+    if not words or sum(map(len, words)) < LETTERS_A_PART * len(words) or numbers > 1 + len(words) // WORDS_A_NUMBER:
+        return False
+    return not any(CONSONANTS.search(w) or len(w) > WITHOUT_VOWEL and not VOWELS.search(w) for w in words)
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, str]], novelty: Novelty) -> list[tuple[int, int, str]]:
     found, taken = [], sorted(taken)
     for a, b in (part for token in candidates(text, sensitive_words(text)) for piece in pieces(text, *token) for part in uncovered(*piece, taken)):
-        if novelty.added(text[max(0, a - AROUND) : a], text[a:b], text[b : b + AROUND]) >= NOVELTY * (b - a):
+        if not wordlike(text[a:b]) and novelty.added(text[max(0, a - AROUND) : a], text[a:b], text[b : b + AROUND]) >= NOVELTY * (b - a):
             found.append((a, b, "novel"))
     return found
 
