@@ -4,16 +4,18 @@ Writing: of records with equal payloads of at least ``min_bytes`` the one with t
 are revisits that refer to it. Each task streams its own files, of at most about ``FILE_BYTES``, under names that no
 other attempt uses, and only files that a finished task has told of count.
 
-Reading: a file is read as a stream through a window no larger than a record or two, so its size doesn't matter; files
-of a store that only Spark opens are read whole, by Spark. A record is checked: its gzip member, its version line, its
-length, its digests. After a failed check the reader goes on at the next valid member or version line; what it passed
+Reading: a file is read as a stream through a window of a record or two, so its size doesn't matter; a record's end is
+sought before it is read, and nothing beyond ``MOST`` bytes is, so a wrong length or a member that inflates without end is
+no matter either. Files of a store that only Spark opens are read whole, by Spark. A record is checked: its gzip member,
+its version line, its length, its digests. After a failed check the reader goes on at the next valid member or version line; what it passed
 over is a gap with offset, length and reason, so that records and gaps together cover every byte of a file. Gaps are
 logged as a table (``logged``), which is empty for whole archives.
 
 Defined cases: a null payload counts as the empty one; a null id is written and read back as null, and refers to the
 smallest id that has its payload, if one has; an id with several payloads has a record for each, told apart by digest;
 rows that repeat id and payload repeat the record, all of the same type; an empty table gives no files and no rows; extra
-columns are ignored; an archive without a valid record gives gaps only.
+columns are ignored; an archive without a valid record gives gaps only; a record of more than ``MOST`` bytes
+is a gap.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ from pyspark.sql import functions as F
 from daybook.llm.common import shared_dir, small, stage, table
 
 FILE_BYTES = 256 << 20
+#: Bytes of the longest record that is read; a longer one is a gap, and so is a member that inflates to more.
+MOST = 1 << 30
 #: Bytes read at a time, bytes of a record's head at most, bytes of payloads in a batch of rows.
 STEP, HEAD, BATCH = 1 << 16, 1 << 20, 4 << 20
 DATE = "2026-01-01T00:00:00Z"
@@ -85,6 +89,7 @@ class Window:
 
     def __init__(self, stream: BinaryIO):
         self._stream, self.data, self.base = stream, b"", 0
+        self._start = stream.tell() if stream.seekable() else None
 
     def more(self) -> bool:
         """Reads on, as much as is held already (so that what is copied stays in proportion); False at the end."""
@@ -98,6 +103,15 @@ class Window:
             pass
         return len(self.data) >= stop
 
+    def follows(self, at: int, what: bytes) -> bool:
+        """Whether the stream has these bytes at ``at``, without what stands before them where the stream can be sought."""
+        if at + len(what) <= len(self.data) or self._start is None:
+            return self.holds(at + len(what)) and self.data.startswith(what, at)
+        self._stream.seek(self._start + self.base + at)
+        there = self._stream.read(len(what))
+        self._stream.seek(self._start + self.base + len(self.data))
+        return there == what
+
     def drop(self, n: int) -> None:
         self.data, self.base = self.data[n:], self.base + n
 
@@ -131,7 +145,10 @@ def parsed(window: Window, at: int = 0) -> Parsed | str:
     if not (length.isascii() and length.isdigit()):
         return "no length"
     start, stop = end + 4, end + 4 + int(length)
-    if not window.holds(stop + 4) or window.data[stop : stop + 4] != b"\r\n\r\n":
+    if int(length) > MOST:
+        return "too long"
+    # The record's end is looked at before the record is read: a wrong length costs no reading of what it spans.
+    if not window.follows(stop, b"\r\n\r\n") or not window.holds(stop + 4):
         return "bad length"
     block = window.data[start:stop]
     if (want := headers.get("warc-block-digest")) and want.removeprefix("sha1:") != digest(block):
@@ -144,11 +161,16 @@ def _valid(window: Window, at: int) -> tuple[int, Parsed] | str:
     if not (window.holds(at + len(GZIP)) and window.data.startswith(GZIP, at)):
         got = parsed(window, at)
         return got if isinstance(got, str) else (got.size, got)
-    press, parts, p = zlib.decompressobj(31), [], at
+    press, parts, p, size = zlib.decompressobj(31), [], at, 0
     try:
         while not press.eof and (p < len(window.data) or window.more()):
-            parts.append(press.decompress(window.data[p : p + STEP]))
-            p = min(p + STEP, len(window.data))
+            rest = window.data[p : p + STEP]
+            p += len(rest)
+            while rest and not press.eof:
+                parts.append(press.decompress(rest, STEP))
+                size, rest = size + len(parts[-1]), press.unconsumed_tail
+                if size > MOST + HEAD:
+                    return "too long"
     except zlib.error:
         return "bad gzip member"
     if not press.eof:
@@ -233,7 +255,7 @@ def read_archives(spark: SparkSession, folder: str, only: DataFrame | None = Non
                     stream = io.BytesIO(batch.column("content")[k].as_buffer())
                 else:
                     store, at = pyarrow.fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
-                    stream = store.open_input_stream(at, compression=None)
+                    stream = store.open_input_file(at)
                 rows, held = [], 0
                 with stream:
                     for found in salvage(stream):

@@ -1,6 +1,8 @@
 import base64
 import hashlib
+import io
 import random
+import time
 import uuid
 
 import pytest
@@ -94,3 +96,40 @@ def test_empty_table(spark):
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{path}/pages.parquet")
     assert warc.op5_warc(spark, path).collect() == []
+
+
+class Counting(io.BytesIO):
+    """Tells the largest piece that was read at once."""
+
+    most = 0
+
+    def read(self, n=-1):
+        got = super().read(n)
+        self.most = max(self.most, len(got))
+        return got
+
+
+def test_a_wrong_length_costs_no_reading_of_what_it_spans(monkeypatch):
+    parts = [warc.record("response", f"urn:x-page:{i}", "http://a/", random.Random(i).randbytes(20_000)) for i in range(3000)]
+    length = parts[0].split(b"Content-Length: ")[1].split(b"\r\n")[0]
+    longer = str(sum(map(len, parts)) - 500).encode()
+    for wrong in (longer, b"99999999999", b"99999999999999999999999999"):
+        first = parts[0].replace(b"Content-Length: " + length + b"\r\n\r\nHTTP", b"Content-Length: " + wrong + b"\r\n\r\nHTTP")
+        assert first != parts[0]
+        stream = Counting(b"".join([first, *parts[1:]]))
+        began = time.process_time()
+        got = list(warc.salvage(stream))
+        assert time.process_time() - began < 20 and stream.most < 1 << 20
+        assert (got[0][0], got[0][1]) == (0, len(first)) and got[0][2] in ("bad length", "too long")
+        assert [g.headers["warc-record-id"] for _, _, g in got[1:]] == [f"<urn:x-page:{i}>" for i in range(1, 3000)]
+
+
+def test_records_and_members_that_are_too_long(monkeypatch):
+    monkeypatch.setattr(warc, "MOST", 100_000)
+    monkeypatch.setattr(warc, "HEAD", 2000)
+    short, long = (warc.record("response", "urn:x-page:1", "http://a/", b"x" * n) for n in (1000, 150_000))
+    bomb = warc.member(b"\0" * 50_000_000)
+    for parts in ([long, short], [warc.member(long), warc.member(short)], [bomb, warc.member(short)], [bomb, short]):
+        got = list(warc.salvage(b"".join(parts)))
+        assert [g if isinstance(g, str) else "record" for _, _, g in got] == ["too long", "record"]
+        assert [(at, n) for at, n, _ in got] == [(0, len(parts[0])), (len(parts[0]), len(parts[1]))]
