@@ -15,8 +15,9 @@ exchange deals out, frequent ones small. A context that occurs once in all docum
 that knows it, so nothing is asked about it at a higher order. A context with more than ``CONTEXT`` tokens is split over
 several partitions, and a block asks all of them for their share of its sums.
 
-Texts come from a table's files (a staged one, where docs is not a plain scan), so that a block is the same rows each
-time it is read. Defined cases: null and empty texts are the end token alone; a null doc_id is training; rows that
+Texts come from a table's files (a staged one, where docs is not a plain scan). Spark cuts these by the cores that it has
+at the moment; so the model keeps the number that it was trained with, and every pass over its blocks asks for cuts by that
+number, whatever executors have come or gone: a block is the same rows each time it is read. Defined cases: null and empty texts are the end token alone; a null doc_id is training; rows that
 repeat count as often as they occur; without training documents every score is 0; an empty table gives no rows; extra
 columns are ignored.
 """
@@ -28,6 +29,7 @@ import math
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -40,7 +42,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daybook.llm.common import shared_dir, shuffles_freed, table
+from daybook.llm.common import shared_dir, shuffles_freed, stage, table
 from daybook.llm.tokens import U, mix, text_chunks, word_hashes
 
 ORDER = 3
@@ -224,6 +226,29 @@ def _answered(answers: DataFrame, label: str) -> tuple[Replies, list[int]]:
     return Replies(folder), [int(r["n"]) for r in told.groupBy("i").agg(F.sum("n").alias("n")).orderBy("i").collect()]
 
 
+#: Spark's settings by which files are cut into partitions.
+CUTS = ("spark.sql.files.minPartitionNum", "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.maxPartitionNum")
+
+
+def cuts_of(spark: SparkSession) -> dict[str, str | None]:
+    """The settings as they hold now, the number of cores among them."""
+    held = {k: spark.conf.get(k, None) for k in CUTS}
+    cores = spark.conf.get("spark.sql.leafNodeDefaultParallelism", None) or spark.sparkContext.defaultParallelism
+    return held | {CUTS[0]: held[CUTS[0]] or str(cores)}
+
+
+@contextmanager
+def same_cuts(spark: SparkSession, cuts: dict[str, str | None]) -> Iterator[None]:
+    """What is executed inside cuts files so."""
+    before = {k: spark.conf.get(k, None) for k in CUTS}
+    put = lambda held: [spark.conf.unset(k) if v is None else spark.conf.set(k, v) for k, v in held.items()]
+    put(cuts)
+    try:
+        yield
+    finally:
+        put(before)
+
+
 def _scan(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
 
@@ -272,6 +297,7 @@ class Model:
     word_parts: int
     unigrams: Unigrams
     orders: list[Order]
+    cuts: dict[str, str | None]
 
     def words_of(self, b: Block) -> tuple[np.ndarray, np.ndarray]:
         """(training count, number) of each of the block's words."""
@@ -479,20 +505,26 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
     """The model of docs, which has doc_id and text and is read from files: answers for its own blocks."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     word_parts, parts = 4 + size // UNIGRAMS, 4 + size // GRAMS
-    words, unigrams = count_unigrams(docs, word_parts)
-    model = Model(words, word_parts, unigrams, [])
-    for _ in range(2, order + 1):
-        model.orders.append(count_grams(docs, model, parts))
+    cuts = cuts_of(docs.sparkSession)
+    with same_cuts(docs.sparkSession, cuts):
+        words, unigrams = count_unigrams(docs, word_parts)
+        model = Model(words, word_parts, unigrams, [], cuts)
+        for _ in range(2, order + 1):
+            model.orders.append(count_grams(docs, model, parts))
     return model
 
 
 def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: a row for each row of docs, which has
     doc_id and text and is read from files. Training leaves out the documents with crc32(doc_id) mod 7 = 2."""
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    if docs.isEmpty():
-        return docs.sparkSession.createDataFrame([], schema)
-    model = train(docs, order)
+    return docs.sparkSession.createDataFrame([], SCORES) if docs.isEmpty() else scored(docs, train(docs, order))
+
+
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def scored(docs: DataFrame, model: Model) -> DataFrame:
+    """The scores (staged) of the documents that the model was trained with."""
     told = model.unigrams
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -502,9 +534,10 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
             logs = climbed(b, model).log if told.tokens else np.zeros(len(b.token))
             sums = lambda x: np.add.reduceat(x, b.first)
             cols = [b.ids, pa.array(~b.training), pa.array(b.lengths), pa.array(sums((n[b.token] > 0).astype(np.int64))), pa.array(np.full(len(b.first), told.tokens)), pa.array(sums(base)), pa.array(sums(logs))]
-            yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in schema.split(", ")])
+            yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in SCORES.split(", ")])
 
-    return _scan(docs).mapInArrow(run, schema)
+    with same_cuts(docs.sparkSession, model.cuts):
+        return stage(_scan(docs).mapInArrow(run, SCORES), "katz-scores")
 
 
 def op8_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
