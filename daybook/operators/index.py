@@ -22,9 +22,11 @@ import random
 import time
 import zlib
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from dataclasses import replace
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -156,11 +158,9 @@ class Index:
         to = lambda table: f"{self.base}/{part.folder}/{table}"
         this = F.lit(number).cast("long").alias("part")
         own = [c.strip().split()[0] for c in ENTRIES.split(", ")]
-        into(entries.select(*own).hint("rebalance", "path").sortWithinPartitions("path", "generation", "offset")).parquet(to("entries"))
         told = F.sort_array(F.collect_list(F.struct("row", "offset", "dl", "kind", "role", "ts")))
         by_block = facts.groupBy("block", "path", "generation").agg(told.alias("f"))
         lists = {"offsets": "offset", "dls": "dl", "kinds": "kind", "roles": "role", "tss": "ts"}
-        into(by_block.select(this, "block", "path", "generation", *[F.col(f"f.{c}").alias(name) for name, c in lists.items()])).parquet(to("facts"))
         into(journals).parquet(to("journals"))
         sums = self.spark.read.schema(JOURNALS).parquet(to("journals")).agg(F.sum("entries").alias("n"), F.sum("tokens").alias("t")).first()
         buckets = max(1, min(MOST_BUCKETS, 1 << math.ceil(math.log2(max(1, (sums["t"] or 0) / BUCKET_TOKENS)))))
@@ -171,7 +171,15 @@ class Index:
         posted = each.select(this, "block", "term", rows.alias("rows"), places.alias("places")).select("part", "block", "term", F.size(F.array_distinct("rows")).alias("df"), "rows", "places", _bucket(F.col("term"), buckets).alias("tb"))
         # A bucket with a term that stands everywhere is split when it is written.
         posted = posted.hint("rebalance", "tb").sortWithinPartitions("tb", "term", "block")
-        into(posted).partitionBy("tb").parquet(to("postings"))
+        writes = (
+            lambda: into(posted).partitionBy("tb").parquet(to("postings")),
+            lambda: into(entries.select(*own).hint("rebalance", "path").sortWithinPartitions("path", "generation", "offset")).parquet(to("entries")),
+            lambda: into(by_block.select(this, "block", "path", "generation", *[F.col(f"f.{c}").alias(name) for name, c in lists.items()])).parquet(to("facts")),
+        )
+        # None waits for another: a small batch is mostly waiting.
+        with ThreadPoolExecutor(len(writes)) as pool:
+            for done in [pool.submit(inheritable_thread_target(w)) for w in writes]:
+                done.result()
         filled = tuple(sorted(int(n[3:]) for n in self.files.names(f"{part.folder}/postings") if n.startswith("tb=")))
         return replace(part, entries=sums["n"] or 0, buckets=buckets, filled=filled)
 
