@@ -25,7 +25,7 @@ class Engine:
     owner: str = "engine"
     ttl_ms: int = 120_000
     most_bytes: int | None = MOST_BYTES
-    _previewed: list[dict] | None = field(default=None, init=False)
+    _previewed: junk.Preview | None = field(default=None, init=False)
 
     @property
     def index(self) -> Index:
@@ -68,7 +68,7 @@ class Engine:
             self._previewed = junk.preview(self.index, self.root, list(keep), now_ms, temporary)
             return junk.describe(self._previewed)
         if what == "gc confirm":
-            if not self._previewed:
+            if not self._previewed or not self._previewed.journals:
                 return "Nothing to confirm: run gc first."
             with self.index.writing(self.owner, self.ttl_ms) as lease:
                 if lease is None:

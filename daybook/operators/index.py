@@ -178,7 +178,7 @@ class Index:
         )
         # None waits for another: a small batch is mostly waiting.
         with ThreadPoolExecutor(len(writes)) as pool:
-            for done in [pool.submit(inheritable_thread_target(w)) for w in writes]:
+            for done in [pool.submit(inheritable_thread_target(self.spark)(w)) for w in writes]:
                 done.result()
         filled = tuple(sorted(int(n[3:]) for n in self.files.names(f"{part.folder}/postings") if n.startswith("tb=")))
         return replace(part, entries=sums["n"] or 0, buckets=buckets, filled=filled)

@@ -5,7 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 import time
+import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +22,8 @@ from daybook.sources.journal import journals as journal_files
 TEMPORARY = ("/tmp", "/private/tmp", "/private/var/folders", "/var/folders")
 QUIET_MS = 24 * 3_600_000
 FEW_REPLIES = 2
+#: Where previews lie beside the index.
+JUNK = "junk"
 
 
 def journal_stats(journals: DataFrame, entries: DataFrame) -> DataFrame:
@@ -62,42 +68,74 @@ def by_reason(found: DataFrame) -> DataFrame:
     return found.groupBy("reason").agg(F.count(F.lit(1)).alias("journals"), F.sum("bytes").alias("bytes"))
 
 
-def preview(index: Index, root: str, keep: list[str], now_ms: int | None = None, roots: tuple[str, ...] | None = None) -> list[dict]:
-    """The candidates as rows at hand: what is confirmed later is what was shown, not what a plan finds by then."""
+@dataclass(frozen=True)
+class Preview:
+    """Candidates as a table, which is what a person confirms, and what is shown of them."""
+
+    folder: str
+    journals: int
+    bytes: int
+    reasons: dict[str, int]
+    examples: tuple[tuple[int, str, str], ...]
+
+
+def preview(index: Index, root: str, keep: list[str], now_ms: int | None = None, roots: tuple[str, ...] | None = None, examples: int = 8) -> Preview:
+    """The candidates, staged beside the index: what is confirmed later is what was shown, not what a plan finds by then. The
+    driver sees how many there are for each reason, and the largest few."""
     spark: SparkSession = index.spark
     files = spark.createDataFrame(journal_files(root), "path string, size bigint, modified bigint")
     stats = journal_stats(index.journals(), index.entries(joined=False))
-    return [r.asDict() for r in candidates(stats, files, keep, now_ms if now_ms is not None else int(time.time() * 1000), roots).collect()]
-
-
-def collect(index: Index, found: list[dict], lease: Held | None = None) -> dict:
-    """Deletes previewed journals that haven't changed since, and forgets them; a journal that is gone is forgotten too."""
-    done, size, skipped = [], 0, 0
-    for c in found:
-        try:
-            now = os.stat(c["path"])
-        except FileNotFoundError:
-            done.append(c)
-            size += c["bytes"]
-            continue
-        if now.st_size != c["bytes"] or now.st_mtime_ns // 1_000_000 != c["modified_ms"]:
-            skipped += 1
-            continue
-        os.remove(c["path"])
-        done.append(c)
-        size += c["bytes"]
-    if done:
-        index.forget([c["path"] for c in done], lease)
-    return {"deleted": len(done), "bytes": size, "skipped": skipped}
-
-
-def describe(found: list[dict], examples: int = 8) -> str:
-    if not found:
+    folder = f"{index.base}/{JUNK}/{uuid.uuid4().hex}"
+    candidates(stats, files, keep, now_ms if now_ms is not None else int(time.time() * 1000), roots).write.parquet(folder)
+    held = spark.read.parquet(folder)
+    reasons = {r["reason"]: r for r in by_reason(held).orderBy(F.desc("journals"), "reason").collect()}
+    shown = held.orderBy(F.desc("bytes"), "path").limit(examples).collect()
+    return Preview(folder, sum(r["journals"] for r in reasons.values()), sum(r["bytes"] for r in reasons.values()), {k: r["journals"] for k, r in reasons.items()}, tuple((r["bytes"], r["reason"], r["path"]) for r in shown))
+
+
+def deleted(found: DataFrame) -> DataFrame:
+    """path, bytes, outcome: journals that haven't changed since are deleted by the tasks that have their rows. One that is
+    gone counts as deleted, so a task that runs again says the same."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            outcomes = []
+            for path, size, modified in zip(*(batch.column(c).to_pylist() for c in ("path", "bytes", "modified_ms")), strict=True):
+                try:
+                    now = os.stat(path)
+                    same = (now.st_size, now.st_mtime_ns // 1_000_000) == (size, modified)
+                    if same:
+                        os.remove(path)
+                    outcomes.append("deleted" if same else "changed")
+                except FileNotFoundError:
+                    outcomes.append("deleted")
+                except OSError:
+                    outcomes.append("kept")
+            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("bytes"), pa.array(outcomes, pa.string())], ["path", "bytes", "outcome"])
+
+    return found.mapInArrow(run, "path string, bytes long, outcome string")
+
+
+def collect(index: Index, found: Preview, lease: Held | None = None) -> dict:
+    """Deletes previewed journals that haven't changed since, and forgets them, in one step of the index."""
+    if lease is not None:
+        lease()
+    told = f"{found.folder}-done"
+    deleted(index.spark.read.parquet(found.folder)).write.mode("overwrite").parquet(told)
+    done = index.spark.read.parquet(told)
+    gone = done.where("outcome = 'deleted'")
+    sums = done.agg(F.count_if(F.col("outcome") == "deleted").alias("deleted"), F.coalesce(F.sum(F.when(F.col("outcome") == "deleted", F.col("bytes"))), F.lit(0)).alias("bytes"), F.count_if(F.col("outcome") != "deleted").alias("skipped")).first().asDict()
+    if sums["deleted"]:
+        index.forget(gone.select("path"), lease)
+    for name in (found.folder, told):
+        index.files.remove(name.removeprefix(f"{index.base}/"))
+    return sums
+
+
+def describe(found: Preview) -> str:
+    if not found.journals:
         return "No junk journals."
-    reasons: dict[str, int] = {}
-    for c in found:
-        reasons[c["reason"]] = reasons.get(c["reason"], 0) + 1
-    total = sum(c["bytes"] for c in found) / 1e6
-    lines = [f"{len(found):,} journals, {total:.1f} MB: " + ", ".join(f"{n:,} {r}" for r, n in reasons.items())]
-    lines += [f"{c['bytes'] / 1e6:.1f} MB  {c['reason']}  {c['path']}" for c in found[:examples]]
-    return "\n".join([*lines, *([f"... {len(found) - examples:,} more"] if len(found) > examples else [])])
+    lines = [f"{found.journals:,} journals, {found.bytes / 1e6:.1f} MB: " + ", ".join(f"{n:,} {r}" for r, n in found.reasons.items())]
+    lines += [f"{size / 1e6:.1f} MB  {reason}  {path}" for size, reason, path in found.examples]
+    left = found.journals - len(found.examples)
+    return "\n".join([*lines, *([f"... {left:,} more"] if left else [])])

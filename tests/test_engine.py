@@ -184,7 +184,7 @@ def test_maintenance_stops_while_another_writes(engine):
     for what in ("index", "rebuild", "gc"):
         assert engine.command(what).startswith("Another writer")
     assert engine.command("gc confirm").startswith("Nothing")
-    engine._previewed = [{"path": f"{engine.root}/a.jsonl", "bytes": 1, "modified_ms": 0}]
+    engine._previewed = junk.Preview("nowhere", 1, 1, {"reason": 1}, ())
     assert engine.command("gc confirm").startswith("Another writer") and os.path.exists(f"{engine.root}/a.jsonl")
     with engine.index.writing("third") as renew:
         assert renew is None
@@ -242,6 +242,19 @@ def test_junk_preview_and_collect(engine):
     assert engine.command("what") .startswith("Usage")
 
 
+def test_deletion_that_runs_again_says_the_same(spark, tmp_path):
+    """A task may die after it has deleted some: its second attempt counts them as deleted, and touches nothing else."""
+    for name in ("a", "b", "changed"):
+        write(str(tmp_path / f"{name}.jsonl"), "{}")
+    at = lambda name: str(tmp_path / f"{name}.jsonl")
+    row = lambda name, size=3: (at(name), size, os.stat(at(name)).st_mtime_ns // 1_000_000)
+    rows = spark.createDataFrame([row("a"), row("b"), row("changed", 99), (at("never"), 5, 1)], "path string, bytes long, modified_ms long").repartition(2)
+    want = {at("a"): "deleted", at("b"): "deleted", at("changed"): "changed", at("never"): "deleted"}
+    for _ in range(2):
+        assert {r["path"]: r["outcome"] for r in junk.deleted(rows).collect()} == want
+    assert os.listdir(tmp_path) == ["changed.jsonl"]
+
+
 def test_project_root():
     known = [f"{HOME}/Apps/shop", f"{HOME}/Apps/shop/web", f"{HOME}/Apps"]
     assert project_root(f"{HOME}/Apps/shop/web/src", known, HOME) == f"{HOME}/Apps/shop"
