@@ -6,8 +6,8 @@ votes bad, so that they overlap freely. Expectation-maximisation estimates how a
 documents are, from how often the votes fall together and without any given label: it needs only the counts of the vote
 patterns, of which there are at most 3 ** labellers, so all documents take part. Each pattern's posterior is the weak
 label of its documents. A linear scorer over hashed words and the labellers' statistics is fitted to the posteriors of a
-sample (``SAMPLE`` distinct documents at most, those with the smallest hashes of id and text, in that order) and scores
-every document whole. So neither partitions nor their order change a score.
+sample (those with the smallest hashes of id and text, in that order: ``SAMPLE`` distinct documents at most, and no more of
+them than have ``SAMPLE_BYTES`` bytes of features, which is what the driver holds) and scores every document whole. So neither partitions nor their order change a score.
 
 Defined cases: null and empty texts get no vote, the prior as posterior, and a score; texts of fewer than ``SHORT``
 words get no vote; rows that repeat are scored alike and are one document of the sample; where no document gets a vote
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from daybook.llm.common import stage, table
 from daybook.llm.tokens import U, text_chunks, word_hashes
 
-SAMPLE = 16_384
+SAMPLE, SAMPLE_BYTES = 16_384, 128 << 20
 BITS = 14
 #: Documents with at least this score are kept: doubtful ones stay.
 KEEP = 0.3
@@ -175,7 +175,7 @@ def fit_scorer(dense: np.ndarray, buckets: list[np.ndarray], hashed: list[np.nda
     return total / passes
 
 
-def classify(docs: DataFrame, sample: int = SAMPLE, keep: float = KEEP) -> DataFrame:
+def classify(docs: DataFrame, sample: int = SAMPLE, keep: float = KEEP, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """doc_id, posterior, score, kept. docs: doc_id, text."""
     spark = docs.sparkSession
     seen = stage(vote_patterns(docs), "quality-votes")
@@ -192,7 +192,11 @@ def classify(docs: DataFrame, sample: int = SAMPLE, keep: float = KEEP) -> DataF
 
     last = seen.select("rank").distinct().orderBy("rank").limit(sample).agg(F.max("rank")).first()[0]
     some = docs.select(_rank().alias("rank"), "text").where(F.col("rank") <= F.lit(last)) if last is not None else docs.select(_rank().alias("rank"), "text").limit(0)
-    told = some.mapInArrow(featured, "rank long, d binary, b binary, w binary, y double").dropDuplicates(["rank"]).toArrow().sort_by("rank")
+    made = stage(some.mapInArrow(featured, "rank long, d binary, b binary, w binary, y double").dropDuplicates(["rank"]), "quality-features")
+    # Of at most ``sample`` rows the ranks and sizes; the first is taken whatever its size.
+    sizes = made.select("rank", (F.octet_length("d") + F.octet_length("b") + F.octet_length("w")).alias("n")).toArrow().sort_by("rank")
+    held = max(1, int(np.searchsorted(np.cumsum(sizes.column("n").to_numpy().astype(np.int64)), sample_bytes, "right")))
+    told = made.where(F.col("rank") <= F.lit(sizes.column("rank")[min(held, len(sizes)) - 1].as_py())).toArrow().sort_by("rank") if len(sizes) else made.toArrow()
     arrays = lambda name, kind: [np.frombuffer(x.as_buffer(), kind) for x in told.column(name)]
     weights = fit_scorer(np.array(arrays("d", "<f4"), float).reshape(-1, N_DENSE), arrays("b", "<u2"), arrays("w", "<f4"), told.column("y").to_numpy())
     del told
