@@ -124,3 +124,22 @@ def test_boundary():
     assert boundary(None, True) is None
     with pytest.raises(ValueError, match="since: .ayer. is neither"):
         boundary("ayer", False)
+
+
+@pytest.mark.parametrize(
+    ("value", "want"),
+    [
+        ("2026/1/5", "2026-01-05T05:00"), ("1/5/2026", "2026-01-05T05:00"), ("Jan 5, 2026", "2026-01-05T05:00"), ("5 January 2026", "2026-01-05T05:00"), ("Mon, 05 Jan 2026 10:00:00 GMT", "2026-01-05T10:00"),
+        ("Monday January 5 2026 10:30 pm", "2026-01-06T03:30"), ("Jan 5, 2026 12:15 AM", "2026-01-05T05:15"), ("Mon Jan 05 2026 10:00:00 GMT+0200 (somewhere)", "2026-01-05T08:00"), ("5-Jan-2026 10:00 -05:30", "2026-01-05T15:30"),
+        ("2026", "2026-01-01T00:00"), ("2026-03", "2026-03-01T00:00"), ("2026-01-05 10:00", "2026-01-05T15:00"), ("2026-01-05T10:00:07.5Z", "2026-01-05T10:00"), ("2026-01-05T10:00:00.123456+00:00", "2026-01-05T10:00"),
+    ],
+)
+def test_times_in_usual_forms(value, want):
+    assert boundary(value, False, "America/Bogota").startswith(want)
+    assert boundary(f" {value} ", True, "America/Bogota").startswith(want)
+
+
+@pytest.mark.parametrize("value", ["13/13/2026", "Feb 30, 2026", "5 Foo 2026", "2026-01-05 25:00", "Jan 5, 2026 13:00 pm", "tomorrow", "2026-13", "10:00"])
+def test_what_is_no_time(value):
+    with pytest.raises(ValueError, match="neither"):
+        boundary(value, False)
