@@ -21,6 +21,7 @@ from daybook.operators.index import Index
 from daybook.operators.search import candidates, listed, page, reranked
 from daybook.plans.scope import Filters
 from daybook.queries.views import CONV_SQL, NOW, TOKENS_SQL, conversations
+from daybook.sources.journal import journals
 from daybook.streaming.ingest import catch_up
 
 WORDS, READ_SESSION, ROOTS = "the that", "7", ("/tmp",)
@@ -71,8 +72,42 @@ def built(spark: SparkSession, d: str) -> Index:
     return _built[key]
 
 
+def merged(spark: SparkSession, d: str) -> Index:
+    """An index of the same journals from many batches, each of a twelfth of their bytes, merged as they came."""
+    key = (spark.sparkContext.applicationId, f"{d}/merged")
+    if key not in _built:
+        folder = os.path.dirname(built(spark, d).base)
+        index = Index(spark, f"{folder}/merged/index")
+        sizes = sum(size for _, size, _ in journals(f"{folder}/journals"))
+        catch_up(spark, f"{folder}/journals", index, f"file://{folder}/merged/checkpoint", most_bytes=max(1, sizes // 12))
+        _built[key] = index
+    return _built[key]
+
+
+def engine_batches(spark: SparkSession, d: str) -> DataFrame:
+    """What each session has in an index of many batches: bounded ingest, commits and merges lose and repeat nothing."""
+    return merged(spark, d).entries().groupBy("session_id").agg(F.count(F.lit(1)).alias("entries"), F.sum("dl").alias("tokens"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+def engine_forget(spark: SparkSession, d: str) -> DataFrame:
+    """What is left of each session after all junk journals were forgotten, in one step."""
+    folder = os.path.dirname(built(spark, d).base)
+    index = Index(spark, f"{folder}/forgotten-{uuid.uuid4().hex[:8]}")
+    catch_up(spark, f"{folder}/journals", index, f"file://{index.base}-checkpoint")
+    stats = junk.journal_stats(index.journals(), index.entries(joined=False))
+    index.forget(stats.where(junk.junk_reason(ROOTS).isNotNull()).select("path"))
+    return index.entries().groupBy("session_id").agg(F.count(F.lit(1)).alias("entries"), F.sum("dl").alias("tokens"))
+
+
+def engine_search_merged(spark: SparkSession, d: str) -> DataFrame:
+    return _searched(merged(spark, d).pinned())
+
+
 def engine_search(spark: SparkSession, d: str) -> DataFrame:
-    index = built(spark, d).pinned()
+    return _searched(built(spark, d).pinned())
+
+
+def _searched(index: Index) -> DataFrame:
     top = candidates(found(index, phrases(WORDS), Filters(kinds=("user", "assistant"))).withColumn("score", F.round("score", 9)))
     shown = top.select("path", "generation", "offset", "score", "match", "session_id").join(index.entries(joined=False), ["path", "generation", "offset"])
     return page(reranked(shown, NOW).withColumn("value", F.round("value", 9))).select("entry_id", "session_id", "ts", "kind", "match", F.round("value", 6).alias("value"))
@@ -104,19 +139,25 @@ def sql() -> dict[str, str]:
     value = f"score / (1 + greatest(0, epoch_ms(CAST('{NOW[:-1]}' AS TIMESTAMP)) - epoch_ms(CAST(left(ts, 23) AS TIMESTAMP))) / 2592000000.0)"
     part = lambda i: f"greatest(ln((n - n{i} + 0.5) / (n{i} + 0.5)), 1e-6) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * dl / avgdl))"
     a, b = WORDS.split()
-    return {
-        "engine_search": f"""WITH {CONV_SQL}, t AS (SELECT *, {words} AS tk FROM e), x AS (SELECT *, len(tk) AS dl, len(list_filter(tk, lambda z: z = '{a}')) AS f1, len(list_filter(tk, lambda z: z = '{b}')) AS f2 FROM t),
+    search = f"""WITH {CONV_SQL}, t AS (SELECT *, {words} AS tk FROM e), x AS (SELECT *, len(tk) AS dl, len(list_filter(tk, lambda z: z = '{a}')) AS f1, len(list_filter(tk, lambda z: z = '{b}')) AS f2 FROM t),
 st AS (SELECT count(*) AS n, avg(dl) AS avgdl, count(*) FILTER (WHERE f1 > 0) AS n1, count(*) FILTER (WHERE f2 > 0) AS n2 FROM x),
 m AS (SELECT x.*, round({part(1)} + {part(2)}, 9) AS score, CAST(f1 > 0 AS INT) + CAST(f2 > 0 AS INT) AS k FROM x, st WHERE (f1 > 0 OR f2 > 0) AND kind IN ('user', 'assistant')),
 r AS (SELECT * FROM m WHERE k = 2 OR (SELECT max(k) FROM m) < 2 ORDER BY score DESC, ts DESC LIMIT 400)
-SELECT entry_id, session_id, ts, kind, CASE WHEN k = 2 THEN 'all' ELSE 'any' END AS match, round(round({value}, 9), 6) AS value FROM r ORDER BY round({value}, 9) DESC, ts DESC LIMIT 20""",
+SELECT entry_id, session_id, ts, kind, CASE WHEN k = 2 THEN 'all' ELSE 'any' END AS match, round(round({value}, 9), 6) AS value FROM r ORDER BY round({value}, 9) DESC, ts DESC LIMIT 20"""
+    counted = f"SELECT session_id, count(*) AS entries, CAST(sum(len({words})) AS BIGINT) AS tokens"
+    stats = """s AS (SELECT session_id, any_value(cwd) AS cwd, count(*) FILTER (WHERE kind = 'user') AS users, CAST(0 AS BIGINT) AS messages, count(*) FILTER (WHERE kind = 'assistant') AS replies,
+  count(*) FILTER (WHERE kind = 'compaction') AS summaries FROM e GROUP BY session_id)"""
+    reason = "CASE WHEN summaries > 0 THEN NULL WHEN cwd = '/tmp' OR starts_with(cwd, '/tmp/') THEN 'temporary folder' WHEN users = 0 THEN 'no instructions' WHEN replies <= 2 THEN 'two replies or fewer' END"
+    return {
+        "engine_search": search,
+        "engine_search_merged": search,
+        "engine_batches": f"WITH {CONV_SQL} {counted}, min(ts) AS first_ts, max(ts) AS last_ts FROM e GROUP BY session_id",
+        "engine_forget": f"WITH {CONV_SQL}, {stats}, j AS (SELECT session_id FROM s WHERE {reason} IS NULL) {counted} FROM e WHERE session_id IN (SELECT session_id FROM j) GROUP BY session_id",
         "engine_summaries": f"WITH {CONV_SQL} SELECT entry_id, session_id, cwd, ts, kind, chars FROM e WHERE kind = 'compaction' ORDER BY ts DESC LIMIT 20",
         "engine_read": f"WITH {CONV_SQL} SELECT entry_id, trim(text, ' \t\r\n') AS text FROM e WHERE session_id = '{READ_SESSION}' ORDER BY ts DESC LIMIT 20",
         "engine_status": f"WITH {CONV_SQL} SELECT count(DISTINCT session_id) AS files, count(DISTINCT session_id) AS sessions, count(*) AS entries, count(*) FILTER (WHERE kind = 'compaction') AS summaries FROM e",
-        "engine_junk": f"""WITH {CONV_SQL}, s AS (SELECT session_id, any_value(cwd) AS cwd, count(*) FILTER (WHERE kind = 'user') AS users, CAST(0 AS BIGINT) AS messages, count(*) FILTER (WHERE kind = 'assistant') AS replies,
-  count(*) FILTER (WHERE kind = 'compaction') AS summaries FROM e GROUP BY session_id)
-SELECT *, CASE WHEN summaries > 0 THEN NULL WHEN cwd = '/tmp' OR starts_with(cwd, '/tmp/') THEN 'temporary folder' WHEN users = 0 THEN 'no instructions' WHEN replies <= 2 THEN 'two replies or fewer' END AS reason FROM s""",
+        "engine_junk": f"WITH {CONV_SQL}, {stats} SELECT *, {reason} AS reason FROM s",
     }
 
 
-NAMES = (engine_search, engine_summaries, engine_read, engine_status, engine_junk)
+NAMES = (engine_search, engine_search_merged, engine_batches, engine_forget, engine_summaries, engine_read, engine_status, engine_junk)

@@ -60,7 +60,7 @@ def _rule_sql(name: str, text: str) -> str:
     if isinstance(rule, r.Rule):
         pattern, options = _re2(rule.pattern)
         return f"regexp_replace({text}, {_quoted(pattern)}, {_quoted(rule.replacement.replace('$1', chr(92) + '1').replace('$2', chr(92) + '2'))}, '{options}')"
-    kv, segment, ending = (_quoted("(?i)" + _re2(p)[0]) for p in (rule.pattern, rule.segment, rule.ending))
+    kv, segment, ending = (_quoted("(?i)" + _re2(p)[0]) for p in (rule.pattern, r.SECRET_SEGMENT, r.SECRET_ENDING))
     key = f"regexp_extract(m, {kv}, 1)"
     secret = f"regexp_matches({key}, {segment}) OR regexp_matches(regexp_replace({key}, '[_.-]', '', 'g'), {ending})"
     judged = f"list_transform(regexp_extract_all({text}, {kv}), lambda m: CASE WHEN {secret} THEN {key} || regexp_extract(m, {kv}, 2) || '{r.MARK}' ELSE m END)"
