@@ -53,6 +53,8 @@ COUNTED, COUNTED_KEYS, FREQUENT = 4096, 1 << 21, 3
 LISTED = 1 << 18
 #: Groups that a frequent block is split into, and sets compared at a time.
 SALTS, SQUARE = 64, 2000
+#: Rows of blocks, and bytes of sets, that a task hands on at a time.
+ROWS, SENT = 1 << 17, 1 << 22
 #: Bytes of a shingle's hash that are sent to verify a pair.
 PLANES = 5
 
@@ -164,8 +166,12 @@ def block_rows(docs: DataFrame, listed: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top, seen = frequent_keys.value, set()
+        keys, salts, needs, signs, size = [], [], [], [], 0
+
+        def gathered() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *[pa.array(np.concatenate(x)) for x in (salts, needs, signs)]], names=["key", "salt", "need", "s1"])
+
         for batch in batches:
-            keys, salts, needs, signs = [], [], [], []
             for _, s in shingle_sets(batch.column("text")):
                 sign = _signature(s) if len(s) else (0, 0)
                 if not len(s) or sign in seen:
@@ -179,8 +185,12 @@ def block_rows(docs: DataFrame, listed: np.ndarray) -> DataFrame:
                     salts.append(np.where(frequent, 1 + (sign[1] & (SALTS - 1)), 0).astype(np.int8))
                     needs.append(np.full(len(k), min(SHARED, max(1, spare)), np.int8))
                     signs.append(np.full(len(k), sign[0], np.int64))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *[pa.array(np.concatenate(x)) for x in (salts, needs, signs)]], names=["key", "salt", "need", "s1"])
+                    size += len(k)
+                if size >= ROWS:
+                    yield gathered()
+                    keys, salts, needs, signs, size = [], [], [], [], 0
+        if size:
+            yield gathered()
 
     return docs.select("text").mapInArrow(run, "key long, salt byte, need byte, s1 long")
 
@@ -191,8 +201,15 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [sent(s) for _, s in shingle_sets(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], names=["id", "set"])
+            sets, size, first = [], 0, 0
+            for _, s in shingle_sets(batch.column("text")):
+                sets.append(sent(s))
+                size += len(sets[-1])
+                if size >= SENT:
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(sets)), pa.array(sets, pa.binary())], names=["id", "set"])
+                    sets, size, first = [], 0, first + len(sets)
+            if sets:
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first), pa.array(sets, pa.binary())], names=["id", "set"])
 
     wanted = docs.select(F.col("doc_id").cast("long"), "text").join(small(ids), F.col("doc_id") == F.col("id"), "left_semi")
     return wanted.mapInArrow(run, "id long, set binary")
