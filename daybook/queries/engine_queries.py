@@ -59,12 +59,21 @@ def write_journals(lines: DataFrame, folder: str) -> None:
     lines.repartition("session").sortWithinPartitions("session", "turn").foreachPartition(write)
 
 
+def _shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share; one of our own only where all is one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="daybook-")
+    return named.removeprefix("file://").rstrip("/")
+
+
 def built(spark: SparkSession, d: str) -> Index:
     """The index of the conversations. Journals are read by byte offset, so they lie where executors open files."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _built:
-        named = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='daybook-')}").removeprefix("file://")
-        folder = f"{named.rstrip('/')}/engine-{uuid.uuid4().hex[:12]}"
+        folder = f"{_shared(spark)}/engine-{uuid.uuid4().hex[:12]}"
         write_journals(journal_lines(conversations(spark, d)), f"{folder}/journals")
         index = Index(spark, f"{folder}/index")
         catch_up(spark, f"{folder}/journals", index, f"file://{folder}/checkpoint")

@@ -101,9 +101,14 @@ def test_a_crash_at_any_step_of_any_change(spark, tmp_path, monkeypatch, step):
     index.append(lines_df(spark, ("a", 0, 0, "1", "x"), ("b", 0, 0, "2", "y")), 0)
     index.append(lines_df(spark, ("b", 0, 20, "3", "y"), ("c", 0, 0, "4", "z")), 1)
     whole = [("a", "1"), ("b", "2"), ("b", "3"), ("c", "4")]
-    changes = {"append": (lambda: index.append(lines_df(spark, ("d", 0, 0, "5", "w")), 2), [*whole, ("d", "5")]), "forget": (lambda: index.forget(["b"]), [("a", "1"), ("c", "4"), ("d", "5")]), "compact": (index.compact, [("a", "1"), ("c", "4"), ("d", "5")]), "clear": (index.clear, [])}
+    changes = [
+        (lambda: index.append(lines_df(spark, ("d", 0, 0, "5", "w")), 2), [*whole, ("d", "5")]), (lambda: index.forget(["b"]), [("a", "1"), ("c", "4"), ("d", "5")]),
+        (index.compact, [("a", "1"), ("c", "4"), ("d", "5")]), (index.clear, []),
+    ]
     before = whole
-    for change, after in changes.values():
+    if step == 2:  # only what removes old parts has a third step
+        changes, before = [(index.compact, whole)], whole
+    for change, after in changes:
         with monkeypatch.context() as m:
             crashing(m, step)
             try:
