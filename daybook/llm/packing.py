@@ -18,6 +18,9 @@ which is padding.
 from __future__ import annotations
 
 import re
+import struct
+import sys
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,60 +36,64 @@ CAPACITY = 4096
 GRID = 64
 END = 2
 BUCKETS = 256
-#: Words whose ids a worker holds, and the gap to the linear program's bound at which pricing stops.
-WORDS_HELD, GAP = 300_000, 1e-4
-#: What ends a word, and so may be cut from it: one mark on its own is one token group of its own.
-MARKS = frozenset(".,;:!?")
-#: Texts with white space beyond ASCII's are cut at ASCII's only, and the tokenizer sees to the rest.
-SPACES, ODD_SPACE = re.compile(r"[\x20\x09-\x0D]+"), re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: The gap to the linear program's bound at which pricing stops.
+GAP = 1e-4
+#: Bytes of words and their ids that a worker holds, and the longest word, in code points, that is held.
+BYTES_HELD, LONGEST = 100 << 20, 32
+#: Characters that NFC leaves as they are and that are lower-cased one by one, whatever stands beside them.
+PLAIN = [chr(c) for c in (*range(0x21, 0x7F), *range(0xA1, 0x180), *range(0x400, 0x460), *range(0x2010, 0x2028), *range(0x2030, 0x205F)) if c != 0x130]
 
 
-class Words:
-    """Token ids of texts, word by word. The tokenizer splits at white space and between letters and marks, so a word's
-    ids don't depend on its neighbours; each distinct word is tokenised once a worker."""
+def _kind(category: str) -> str:
+    return re.escape("".join(c for c in PLAIN if c == c.lower() and unicodedata.category(c)[0] == category))
+
+
+SPACE = r"\x20\x09-\x0D"
+SPACES, NOT_PLAIN = re.compile(f"[{SPACE}]+"), re.compile(f"[^{SPACE}{re.escape(''.join(PLAIN))}]")
+#: The tokenizer's own pattern, for lower-cased plain characters.
+WORD = re.compile(rf"[{_kind('L')}]+|[{_kind('N')}]|'(?:[stmd]|re|ve|ll)|[^{SPACE}{_kind('L')}{_kind('N')}]+")
+#: The characters that stand for bytes in the tokenizer's vocabulary.
+BYTES = {b: 256 + n for n, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
+
+
+class Words(dict):
+    """Token ids of texts, word by word, each distinct word looked up once while it is held. Plain texts are normalised
+    and split here, by the rules of ``word_bpe_49k.json``, and only their words go through the tokenizer's model; a word
+    with any other character, or with what may be a special token, goes through the whole tokenizer. That splits at white
+    space too, so a word's ids don't depend on its neighbours."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._ids: dict[str, bytes] = {}
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self._ids) > WORDS_HELD:
-            self._ids.clear()
-        plain = [w for w in words if w.isalpha() and w.isascii()]
-        if plain:
-            found = self._tokenizer.encode(" ".join(plain), add_special_tokens=False)
-            at, ids = np.array(found.word_ids), np.array(found.ids, "<u4")
-            cuts = np.searchsorted(at, np.arange(len(plain) + 1))
-            self._ids.update((w, ids[a:b].tobytes()) for w, a, b in zip(plain, cuts[:-1], cuts[1:], strict=True))
-        rest = [w for w in words if w not in self._ids]
-        for w, found in zip(rest, self._tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self._ids[w] = np.array(found.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """The little-endian 32-bit ids of each text."""
-        cut = []
-        for text in texts:
-            parts = []
-            for w in SPACES.split(text) if ODD_SPACE.search(text) else text.split():
-                if not w:
-                    continue
-                if w.isalpha():
-                    parts.append(w.lower() if w.isascii() else w)
-                elif w[-1] in MARKS and w[:-1].isalpha():
-                    parts += (w[:-1].lower() if w.isascii() else w[:-1], w[-1])
-                else:
-                    parts.append(w)
-            cut.append(parts)
-        missing = {w for parts in cut for w in parts}.difference(self._ids)
-        if missing:
-            if len(self._ids) + len(missing) > WORDS_HELD:
-                missing = {w for parts in cut for w in parts}
-            self._learn(sorted(missing))
-        get = self._ids.__getitem__
-        for parts in cut:
-            yield b"".join(map(get, parts))
+        self._model = self._tokenizer.model
+        self._bytes = 0
+
+    def __missing__(self, word: str) -> bytes:
+        if NOT_PLAIN.search(word) or "<|" in word:
+            found = self._tokenizer.encode(word, add_special_tokens=False).ids
+        else:
+            found = [t.id for t in self._model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(BYTES))]
+        ids = struct.pack(f"<{len(found)}I", *found)
+        if len(word) <= LONGEST:
+            self._bytes += sys.getsizeof(word) + sys.getsizeof(ids) + 64  # about what its place in the table takes
+            if self._bytes > BYTES_HELD:
+                self.clear()
+                self._bytes = 0
+            self[word] = ids
+        return ids
+
+    @staticmethod
+    def split(text: str) -> list[str]:
+        """The words of a text: parts of one kind of characters where it is plain, else all between white space."""
+        if NOT_PLAIN.search(text) or "<|" in text:
+            whole = (w for w in SPACES.split(text) if w)
+            return [p for w in whole for p in ([w] if NOT_PLAIN.search(w) or "<|" in w else WORD.findall(w.lower()))]
+        return WORD.findall(text.lower())
+
+    def encode(self, text: str) -> bytes:
+        """The little-endian 32-bit ids of a text."""
+        return b"".join(map(self.__getitem__, self.split(text)))
 
 
 @lru_cache(maxsize=2)
@@ -113,8 +120,8 @@ def pieces(docs: DataFrame, tokenizer: str) -> DataFrame:
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)
                 rows, out = [], []
-                for i, ids in enumerate(words.encode([t or "" for t in part.column("text").to_pylist()])):
-                    ids += end
+                for i, text in enumerate(part.column("text").to_pylist()):
+                    ids = words.encode(text or "") + end
                     n = len(ids) // 4
                     for at, length in cuts(n):
                         rows.append(i)
