@@ -21,7 +21,7 @@ from daybook.operators.index import Index
 from daybook.operators.search import candidates, listed, page, reranked
 from daybook.plans.scope import Filters
 from daybook.queries.views import CONV_SQL, NOW, TOKENS_SQL, conversations
-from daybook.sources.journal import journals
+from daybook.sources.journal import listed as journals_in
 from daybook.streaming.ingest import catch_up
 
 WORDS, READ_SESSION, ROOTS = "the that", "7", ("/tmp",)
@@ -87,7 +87,7 @@ def merged(spark: SparkSession, d: str) -> Index:
     if key not in _built:
         folder = os.path.dirname(built(spark, d).base)
         index = Index(spark, f"{folder}/merged/index")
-        sizes = sum(size for _, size, _ in journals(f"{folder}/journals"))
+        sizes = sum(size for _, size, _ in journals_in(f"{folder}/journals"))
         catch_up(spark, f"{folder}/journals", index, f"file://{folder}/merged/checkpoint", most_bytes=max(1, sizes // 12))
         _built[key] = index
     return _built[key]

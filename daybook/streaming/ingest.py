@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import shutil
 from collections.abc import Callable
 
@@ -21,6 +22,12 @@ def checkpoint_of(index: Index, checkpoint: str) -> str:
     return f"{checkpoint}/{index.log.current().epoch}"
 
 
+def ledger_of(index: Index, checkpoint: str) -> str:
+    """Where a stream that keeps its place there keeps how far it has read each journal: beside the index, where executors
+    read, too."""
+    return f"{index.base}/ledgers/{hashlib.sha256(checkpoint_of(index, checkpoint).removeprefix('file://').encode()).hexdigest()[:16]}"
+
+
 def follow(
     spark: SparkSession, root: str, index: Index, checkpoint: str, skip: tuple[str, ...] = (), every: str | None = None, lease: Held | None = None, added: list[int] | None = None, most_bytes: int | None = MOST_BYTES, only: tuple[str, ...] = (),
 ) -> StreamingQuery:
@@ -35,7 +42,7 @@ def follow(
         if added is not None:
             added.append(n)
 
-    source = spark.readStream.format("journal").option("skip", "\n".join(skip)).option("only", "\n".join(only))
+    source = spark.readStream.format("journal").option("skip", "\n".join(skip)).option("only", "\n".join(only)).option("ledger", ledger_of(index, checkpoint))
     lines = (source.option("maxBytes", most_bytes) if most_bytes else source).load(root)
     writer = lines.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint_of(index, checkpoint))
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
@@ -86,7 +93,8 @@ def catch_up(
 def rebuild(spark: SparkSession, root: str, index: Index, checkpoint: str, lease: Held | None = None) -> dict:
     """Throws the index away and reads all journals again. It is thrown away in one step, and a new place of the stream goes
     with that, so a crash anywhere leaves an index that catches up."""
-    before = checkpoint_of(index, checkpoint)
+    before = checkpoint_of(index, checkpoint), ledger_of(index, checkpoint)
     index.clear(lease)
-    shutil.rmtree(before.removeprefix("file://"), ignore_errors=True)
+    for folder in before:
+        shutil.rmtree(folder.removeprefix("file://"), ignore_errors=True)
     return catch_up(spark, root, index, checkpoint, lease=lease)

@@ -3,6 +3,7 @@
 import itertools
 import json
 import os
+import pickle
 import random
 import threading
 import time
@@ -371,3 +372,78 @@ def test_a_followed_folder_tells_its_progress(spark, tmp_path):
         query.stop()
         spark.streams.removeListener(listener)
     assert (index.log.current().done, index.log.current().files) == (4, 4) and len(ids(index)) == 13
+
+
+# What a stream has read, as files
+
+
+def test_a_ledger_admits_what_the_whole_offset_does_and_names_no_journal(tmp_path, monkeypatch):
+    """The same batches as without one, also from a new reader each time; offsets and partitions don't grow with the
+    journals, and rows are sorted in pieces."""
+    monkeypatch.setattr("daybook.sources.ledger.HELD", 3)
+    root, folder = str(tmp_path / "journals"), str(tmp_path / "ledger")
+    for i in range(40):
+        write(f"{root}/{i % 3}/{i}.jsonl", *["x" * 9] * (i % 7))
+        os.utime(f"{root}/{i % 3}/{i}.jsonl", (i % 5, i % 5))
+    write(f"{root}/long.jsonl", "y" * 500, "z")
+    options = {"path": root, "maxbytes": "150", "packbytes": "64", "splitbytes": "60"}
+    whole, was, now, batches = _StreamReader(options), {}, {}, 0
+    shown = lambda parts: [[(s.path, s.generation, s.start, s.stop, s.begins) for s in p.spans] for p in parts]
+    plain = lambda parts: {s for p in shown(parts) for s in p}
+    grown = 0
+    while True:
+        one = _StreamReader(options | {"ledger": folder})
+        one.partitions(now, now)
+        if now:
+            one.commit(now)
+        expected, got = json.loads(json.dumps(whole.latestOffset())), json.loads(json.dumps(one.latestOffset()))
+        if expected == was:
+            assert got == now
+            if grown == 2:
+                break
+            # A journal that has grown, one that was rewritten, one without a whole line, one that is new.
+            with open(f"{root}/1/1.jsonl", "a") as f:
+                f.write("more\n")
+            write(f"{root}/0/6.jsonl", "short")
+            write(f"{root}/0/new{grown}.jsonl", "n")
+            with open(f"{root}/half.jsonl", "a") as f:
+                f.write("half")
+            grown += 1
+            continue
+        assert got[""] == expected[""] and len(json.dumps(got)) < 100
+        parts = one.partitions(now, got)
+        assert shown(parts) == shown(_StreamReader(options | {"ledger": folder}).partitions(now, got))
+        assert plain(parts) == plain(whole.partitions(was, expected))
+        assert max(len(pickle.dumps(p)) for p in parts) < 300 if parts else True
+        assert sum(x.count for x in parts) == len(plain(parts))
+        was, now, batches = expected, got, batches + 1
+    assert batches > 8 and len(os.listdir(folder)) < 20
+
+
+def test_a_ledger_takes_over_an_offset_that_has_every_journal(tmp_path):
+    root, folder = str(tmp_path / "journals"), str(tmp_path / "ledger")
+    for i in range(6):
+        write(f"{root}/{i}.jsonl", str(i))
+    before = _StreamReader({"path": root}).latestOffset()
+    write(f"{root}/7.jsonl", "7")
+    for _ in range(2):  # the second time after a crash before the offset was kept
+        one = _StreamReader({"path": root, "ledger": folder})
+        one.partitions(before, before)
+        after = one.latestOffset()
+        assert [(s.path, s.start, s.stop) for p in one.partitions(before, after) for s in p.spans] == [(f"{root}/7.jsonl", 0, 2)]
+    again = _StreamReader({"path": root, "ledger": folder})
+    again.partitions(after, after)
+    assert again.latestOffset() == after and len(again.partitions(before, after)) == 1
+    with pytest.raises(ValueError, match="rebuild"):
+        again.partitions(after, {"version": "gone"})
+
+
+def test_offsets_of_a_stream_name_no_journal(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "journals"), str(tmp_path / "engine"), most_bytes=900)
+    journals(engine.root, 9)
+    engine.refresh()
+    folder = f"{engine.checkpoint}/{engine.index.log.current().epoch}/offsets"
+    held = [open(f"{folder}/{n}").read() for n in os.listdir(folder) if n.isdigit()]
+    assert len(held) > 3 and not any(".jsonl" in x for x in held) and len(ids(engine.index)) == 36
+    engine.command("rebuild")
+    assert len(ids(engine.index)) == 36 and len(os.listdir(f"{engine.index.base}/ledgers")) == 1
