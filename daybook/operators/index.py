@@ -12,7 +12,12 @@ A version is a list of parts, committed by the log (``log.py``). A part has four
 
 A block's journal and generation decide whether it is live; readers join the latest generations only, and merging leaves
 the others out. Parts of one level are merged when there are ``FANOUT`` of them, so n batches leave about
-``FANOUT * log(n)`` parts. Joins carry no hint: Spark broadcasts what is small, and shuffles what is not."""
+``FANOUT * log(n)`` parts.
+
+Spark broadcasts what it takes to be small: a scan or a cached table has its compressed bytes, a tenth of what a broadcast
+puts into the driver, and a broadcast once planned stays, as shuffles would cost more. So joins with many journals or
+entries shuffle both sides, by a hint where the side is known to be large, else by dealing both by the keys, which lets
+Spark choose by what it has measured."""
 
 from __future__ import annotations
 
@@ -46,12 +51,16 @@ STRETCH, BUCKET_TOKENS, MOST_BUCKETS = 1 << 20, 1 << 20, 4096
 FANOUT = 8
 #: Shares that blocks are numbered in.
 NUMBERED = 64
+#: Journals, and entries, that may be broadcast whatever Spark takes them to be.
+FEW_JOURNALS, FEW = 1 << 14, 1 << 15
 #: Journals of a batch whose names are pushed down into the scan for entries known already.
 NAMED = 500
 KEYS = ("path", "generation", "offset")
 OF_ENTRY = ("part", "block", "row")
 #: By index: version, n, avgdl.
 _sizes: dict[str, tuple] = {}
+#: By index: version, rows of journals.
+_listed: dict[str, tuple] = {}
 
 
 def bucket_of(term: str, buckets: int) -> int:
@@ -71,9 +80,9 @@ def index_rows(lines: DataFrame) -> DataFrame:
     return kept.withColumn("tk", F.when(F.col("entry").isNotNull(), tokens(redact(F.col("entry.text")))))
 
 
-def numbered(entries: DataFrame) -> DataFrame:
+def numbered(entries: DataFrame, many: bool = False) -> DataFrame:
     """entries (path, generation, offset, dl) with block, row in it, and start: the tokens of the block before it. Numbers
-    are dealt in shares, so no task numbers all blocks."""
+    are dealt in shares, so no task numbers all blocks. many: that there are many journals."""
     cut = entries.withColumn("_stretch", F.floor(F.col("offset") / STRETCH))
     own = ["path", "generation", "_stretch"]
     share = F.pmod(F.xxhash64(*own), F.lit(NUMBERED))
@@ -81,7 +90,13 @@ def numbered(entries: DataFrame) -> DataFrame:
     blocks = blocks.withColumn("block", ((F.row_number().over(Window.partitionBy("_share").orderBy(*own)) - 1) * NUMBERED + F.col("_share")).cast("int"))
     inside = Window.partitionBy("block").orderBy("offset")
     start = F.coalesce(F.sum("dl").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
-    return cut.join(blocks.drop("_share"), own).withColumns({"row": (F.row_number().over(inside) - 1).cast("int"), "start": start}).drop("_stretch")
+    blocks = blocks.drop("_share").hint("merge") if many else blocks.drop("_share")
+    # Each row has its block; a left join, as only the right side of it can be broadcast.
+    return cut.join(blocks, own, "left").withColumns({"row": (F.row_number().over(inside) - 1).cast("int"), "start": start}).drop("_stretch")
+
+
+def few(parts: tuple[Part, ...]) -> bool:
+    return sum(p.entries for p in parts) <= FEW
 
 
 class Index:
@@ -131,7 +146,8 @@ class Index:
                 some = [r["path"] for r in journals.limit(NAMED + 1).collect()]
                 before = self._read("entries", ENTRIES, now.parts)
                 before = before.where(F.col("path").isin(*some)) if len(some) <= NAMED else before.join(journals, "path", "left_semi")
-                entries = entries.join(before.select("path", "generation", "entry_id"), ["path", "generation", "entry_id"], "left_anti")
+                before = before.select("path", "generation", "entry_id")
+                entries = entries.join(before if few(now.parts) else before.hint("merge"), ["path", "generation", "entry_id"], "left_anti")
             held = numbered(entries).persist()
             try:
                 hits = held.select("block", "row", "start", F.posexplode("tk").alias("pos", "term")).select("block", "row", (F.col("start") + F.col("pos")).alias("place"), "term")
@@ -185,18 +201,18 @@ class Index:
 
     def _rewritten(self, parts: tuple[Part, ...], level: int, without: DataFrame | None = None) -> Part:
         """One part of the live rows of several. without: (path) journals that are left out."""
-        live = self._live()
-        kept = (lambda df: df.join(without, "path", "left_anti").join(live, ["path", "generation"], "left_semi")) if without is not None else (lambda df: df.join(live, ["path", "generation"], "left_semi"))
+        kept = lambda df: self._of_live(df if without is None else df.join(without, "path", "left_anti"))
         old = kept(self._read("facts", FACTS, parts))
         each = old.select("part", "block", "path", "generation", F.posexplode(F.arrays_zip("offsets", "dls", "kinds", "roles", "tss")).alias("row", "f"))
         each = each.select("part", F.col("block").alias("was_block"), F.col("row").alias("was_row"), "path", "generation", F.col("f.offsets").alias("offset"), F.col("f.dls").alias("dl"), F.col("f.kinds").alias("kind"), F.col("f.roles").alias("role"), F.col("f.tss").alias("ts"))
         before = Window.partitionBy("part", "was_block").orderBy("was_row").rowsBetween(Window.unboundedPreceding, -1)
         each = each.withColumn("was_start", F.coalesce(F.sum("dl").over(before), F.lit(0)).cast("int"))
-        new = numbered(each).persist()
+        new = numbered(each, self._many()).persist()
         try:
             moved = new.select("part", "was_block", "was_row", "block", "row", (F.col("start") - F.col("was_start")).alias("shift"))
             hits = self._hits(self._read("postings", POSTINGS, parts)).withColumnsRenamed({"block": "was_block", "row": "was_row"})
-            hits = hits.join(moved, ["part", "was_block", "was_row"]).select("block", "row", (F.col("place") + F.col("shift")).alias("place"), "term")
+            was = ["part", "was_block", "was_row"]
+            hits = hits.repartition(*was).join(moved.repartition(*was), was).select("block", "row", (F.col("place") + F.col("shift")).alias("place"), "term")
             first = lambda c: F.min_by(c, "header_at").alias(c)
             heads = kept(self._read("journals", JOURNALS, parts)).groupBy("path", "generation").agg(first("session_id"), first("cwd"), first("started_at"), F.min("header_at").alias("header_at"), F.max("bytes").alias("bytes"), F.sum("entries").alias("entries"), F.sum("tokens").alias("tokens"))
             return self._write(kept(self._read("entries", ENTRIES, parts)), new, hits, heads, level)
@@ -287,13 +303,34 @@ class Index:
         return _sizes[self.base][1:]
 
     def entries(self, joined: bool = True) -> DataFrame:
-        held = self._read("entries", ENTRIES)
-        own = self.journals().select("path", "generation", "session_id", "cwd") if joined else self._live()
-        return held.join(own, ["path", "generation"])
+        held = self._of_live(self._read("entries", ENTRIES))
+        return self._with_journals(held) if joined else held
+
+    def _many(self) -> bool:
+        """Whether there are many journals; counted once for a version, and only where there are as many entries."""
+        now = self.manifest
+        if few(now.parts):
+            return False
+        if _listed.get(self.base, (None,))[0] != now.version:
+            _listed[self.base] = (now.version, self._read("journals", JOURNALS, now.parts).count())
+        return _listed[self.base][1] > FEW_JOURNALS
+
+    def _of_live(self, rows: DataFrame) -> DataFrame:
+        live = self._live()
+        return rows.join(live.hint("merge") if self._many() else live, ["path", "generation"], "left_semi")
+
+    def _with_journals(self, live: DataFrame) -> DataFrame:
+        """Live rows, which all have a journal, with its session and folder."""
+        own = self.journals().select("path", "generation", "session_id", "cwd")
+        return live.join(own.hint("merge") if self._many() else own, ["path", "generation"], "left")
+
+    def _dealt(self, rows: DataFrame) -> DataFrame:
+        """What is joined by its block, dealt by that, so that it is measured, unless there are few entries."""
+        return rows if few(self.manifest.parts) else rows.repartition("part", "block")
 
     def _blocks(self) -> DataFrame:
         """Live blocks with the session and folder of their journal."""
-        return self._read("facts", FACTS).join(self.journals().select("path", "generation", "session_id", "cwd"), ["path", "generation"])
+        return self._dealt(self._with_journals(self._of_live(self._read("facts", FACTS))))
 
     def postings(self, terms: list[str] | None = None) -> DataFrame:
         """path, generation, offset, term, positions: of all terms, or of these; a row for each term of each entry."""
@@ -308,7 +345,7 @@ class Index:
         role, ts, session_id, cwd, dl, tf. Only the terms' postings and the blocks' facts are read, no entries."""
         terms = sorted({t for p in wanted for t in p})
         hits = self._hits(self._read("postings", POSTINGS, terms=terms).where(F.col("term").isin(*terms)))
-        found = frequencies(hits, wanted, OF_ENTRY)
+        found = self._dealt(frequencies(hits, wanted, OF_ENTRY))
         at = lambda name, c: F.get(name, F.col("row")).alias(c)
         return found.join(self._blocks(), ["part", "block"]).select("path", "generation", at("offsets", "offset"), at("kinds", "kind"), at("roles", "role"), at("tss", "ts"), "session_id", "cwd", at("dls", "dl"), "tf")
 
@@ -319,8 +356,8 @@ class Index:
             return None
         terms = sorted({p[0] for p in wanted})
         told = self._read("postings", POSTINGS, terms=terms).where(F.col("term").isin(*terms)).select("part", "block", "term", "df")
-        live = self._read("facts", FACTS).select("part", "block", "path", "generation").join(self._live(), ["path", "generation"], "left_semi")
-        sums = {r["term"]: r["n"] for r in told.join(live, ["part", "block"], "left_semi").groupBy("term").agg(F.sum("df").alias("n")).collect()}
+        live = self._dealt(self._of_live(self._read("facts", FACTS).select("part", "block", "path", "generation")).select("part", "block"))
+        sums = {r["term"]: r["n"] for r in self._dealt(told).join(live, ["part", "block"], "left_semi").groupBy("term").agg(F.sum("df").alias("n")).collect()}
         return [sums.get(p[0], 0) for p in wanted]
 
     def at(self, hits: list[Row]) -> DataFrame:

@@ -447,3 +447,37 @@ def test_offsets_of_a_stream_name_no_journal(spark, tmp_path):
     assert len(held) > 3 and not any(".jsonl" in x for x in held) and len(ids(engine.index)) == 36
     engine.command("rebuild")
     assert len(ids(engine.index)) == 36 and len(os.listdir(f"{engine.index.base}/ledgers")) == 1
+
+
+def test_joins_of_a_large_index_broadcast_no_table_by_its_compressed_size(index, monkeypatch):
+    """Many entries that compress well: neither a search, a listing nor a merge broadcasts a scan or a cached table of
+    them, or a row for each journal."""
+    spark = index.spark
+    rows = spark.range(3000).select(F.concat(F.lit("/" + "j" * 200), F.col("id"), F.lit(".jsonl")).alias("path"), "id")
+    line = F.to_json(F.struct(F.lit("message").alias("type"), F.col("id").cast("string").alias("id"), F.struct(F.lit("user").alias("role"), F.lit("common words").alias("content")).alias("message")))
+    lines = rows.select("path", F.lit(0).alias("generation"), F.lit(0).cast("bigint").alias("offset"), F.lit(10).alias("length"), line.alias("line"))
+    monkeypatch.setattr(index_module, "FEW", 100, raising=False)
+    monkeypatch.setattr(index_module, "FEW_JOURNALS", 100, raising=False)
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(limit, "100k")
+    try:
+        index.append(lines.where("id < 1500"), 0)
+        index.append(lines.where("id >= 1500"), 1)
+        plans = []
+        real = Index._write
+
+        def write(self, entries, facts, hits, journals, level):
+            plans.extend([entries, hits])
+            return real(self, entries, facts, hits, journals, level)
+
+        monkeypatch.setattr(Index, "_write", write)
+        index.compact()
+        hits = index.matches([("common",), ("words",)])
+        assert index.entries().count() == hits.count() == 3000 and index.frequency([("common",)]) == [3000]
+        listed = index.entries()
+        assert {tuple(r) for r in listed.groupBy("session_id").count().collect()} == {(None, 3000)}
+        for df in (plans[0], listed, hits):
+            df.collect()
+            assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().finalPhysicalPlan().toString()
+    finally:
+        spark.conf.unset(limit)
